@@ -10,6 +10,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of one Arrow batch that a Python task holds at once.
@@ -41,6 +42,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """df marked for broadcast if it has no more than so many rows (of some 30 bytes), else as it is. df should be a written table."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
@@ -89,22 +95,3 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return {
         "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
     }[kind.simpleString()]
-
-
-def memo_size(default: int = 1 << 17) -> int:
-    """Entries of a per-process memo of encoded words (about 40 MB)."""
-    return default
-
-
-class Memo(dict):
-    """A bounded memo: computes what is missing, and starts anew when it is full."""
-
-    def __init__(self, compute: Callable, most: int | None = None):
-        super().__init__()
-        self.compute, self.most = compute, most or memo_size()
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        got = self[key] = self.compute(key)
-        return got
