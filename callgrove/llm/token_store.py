@@ -14,6 +14,7 @@ doc_id lie next to each other, each with its own start; an empty table gives no
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,8 +34,10 @@ FRAME, FILE_IDS = 1 << 18, 1 << 27
 #: Fixed values of the seekable format: skippable frames, and the magic number at the end.
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "<u1"), ("start", "<u8"), ("n", "<u8")])
-#: Chunks of text whose ids a process keeps.
-MEMO = 600_000
+#: Chunks of text, and letters of words, whose ids a process keeps.
+MEMO, CORES = 400_000, 900_000
+#: Letters of one byte in Latin-1, which are in composed form and have simple lower case, and marks after them.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
 
 
 class StoreWriter:
@@ -108,24 +111,49 @@ class StoreReader:
 
 
 class ChunkTokenizer:
-    """Ids by the tokenizers library. White space parts tokens in these vocabularies, so chunks between it are memoised."""
+    """Ids by the tokenizers library, with two bounded memos.
+
+    White space parts tokens in these vocabularies, so a chunk between it is encoded alone. A chunk of plain letters and
+    marks after them is two tokens at least, and case does not matter, so its letters are looked up in lower case.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.chunks, self.cores = Tokenizer.from_file(path), {}, {}
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each of the words, which hold no white space; many go to the library as one text."""
+        out = []
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            starts = np.cumsum([0, *[len(w) + 1 for w in some]])
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            packed = np.array(got.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.fromiter((x[0] for x in got.offsets), np.int64, len(got.ids)), starts)).tolist()
+            out += [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
+    def learn(self, new: list[bytes]) -> None:
+        parts = [(w, m[1].lower(), m[2]) if (m := PLAIN(w)) else (w, w, "") for w in (x.decode() for x in new)]
+        wanted = {x for _, core, tail in parts for x in (core, tail) if x}
+        if len(self.cores) + len(wanted) > CORES:
+            self.cores.clear()
+        missing = list(wanted.difference(self.cores))
+        self.cores.update(zip(missing, self.encode(missing), strict=True))
+        cores = self.cores
+        for key, (_, core, tail) in zip(new, parts, strict=True):
+            self.chunks[key] = cores[core] + cores[tail] if tail else cores[core]
 
     def pack(self, texts: list) -> list[bytes]:
         split = [t.encode().split() if t else [] for t in texts]
         wanted = set().union(*split)
-        new = wanted.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
+        new = wanted.difference(self.chunks)
+        if len(self.chunks) + len(new) > MEMO:
+            self.chunks.clear()
             new = wanted
-        new = list(new)
-        for word, got in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.memo[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(self.memo.__getitem__, words)) for words in split]
+        self.learn(list(new))
+        return [b"".join(map(self.chunks.__getitem__, words)) for words in split]
 
 
 _loaded: dict = {}
