@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from callgrove.plans import concordance_queries, filter_queries, model_queries, projection_queries, source_queries, statistic_queries  # noqa: F401
+from callgrove.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["cnc3_summary"](spark, sf_dir)
+    return QUERIES["cnc3_summary"](spark, sf_dir)
