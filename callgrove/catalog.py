@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callgrove.plans import concordance_queries, filter_queries, model_queries, projection_queries, source_queries, statistic_queries  # noqa: F401
+from callgrove.plans import concordance_queries, filter_queries, model_queries, pipeline_queries, projection_queries, source_queries, statistic_queries  # noqa: F401
 from callgrove.plans.registry import ORACLES, QUERIES
 
 

@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-CALLS = T.StructType.fromDDL("variant_id long, sample_id long, gt int, dp int, gq int, af double, gt_true int")
-VARIANTS = T.StructType.fromDDL("variant_id long, chrom string, pos long, ref string, alt string, filter string, mq double, vqslod double")
-SAMPLES = T.StructType.fromDDL("sample_id long, iid string, pheno int, sex int, target_depth string")
+CALLS = "variant_id long, sample_id long, gt int, dp int, gq int, af double, gt_true int"
+VARIANTS = "variant_id long, chrom string, pos long, ref string, alt string, filter string, mq double, vqslod double"
+SAMPLES = "sample_id long, iid string, pheno int, sex int, target_depth string"
 
 #: The thresholds of the full sweep.
 GRID_DP, GRID_GQ = list(range(1, 31)), [10, 20, 30]
