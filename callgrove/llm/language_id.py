@@ -101,7 +101,7 @@ class Network:
 
     def predict(self, texts: list, block: int = 256) -> tuple[list[str], list[float]]:
         """Language and probability of each text; its windows go through the network in blocks of bounded size."""
-        known = [k for k, t in enumerate(texts) if t and LETTER.search(t)]
+        known = [k for k, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
         sums = np.zeros((len(texts), len(self.languages)))
         counts = np.zeros(len(texts))
         held: list[np.ndarray] = []
@@ -125,10 +125,9 @@ class Network:
         flush()
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
         for k in known:
-            if self.languages:
-                p = np.exp(sums[k] / counts[k])
-                best = int(p.argmax())
-                names[k], scores[k] = self.languages[best], float(p[best] / p.sum())
+            p = np.exp(sums[k] / counts[k])
+            best = int(p.argmax())
+            names[k], scores[k] = self.languages[best], float(p[best] / p.sum())
         return names, scores
 
 
