@@ -35,7 +35,7 @@ FRAME, FILE_IDS = 1 << 18, 1 << 27
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "<u1"), ("start", "<u8"), ("n", "<u8")])
 #: Chunks of text, and letters of words, whose ids a process keeps.
-MEMO, CORES = 400_000, 900_000
+MEMO, CORES = 900_000, 1_200_000
 #: Letters of one byte in Latin-1, which are in composed form and have simple lower case, and marks after them.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
 
@@ -146,14 +146,20 @@ class ChunkTokenizer:
             self.chunks[key] = cores[core] + cores[tail] if tail else cores[core]
 
     def pack(self, texts: list) -> list[bytes]:
-        split = [t.encode().split() if t else [] for t in texts]
-        wanted = set().union(*split)
-        new = wanted.difference(self.chunks)
+        found, holes = [], []
+        for text in texts:
+            words = text.encode().split() if text else []
+            parts = list(map(self.chunks.get, words))
+            if None in parts:
+                holes += [(parts, i, words[i]) for i, x in enumerate(parts) if x is None]
+            found.append(parts)
+        new = {w for _, _, w in holes}
         if len(self.chunks) + len(new) > MEMO:
             self.chunks.clear()
-            new = wanted
         self.learn(list(new))
-        return [b"".join(map(self.chunks.__getitem__, words)) for words in split]
+        for parts, i, word in holes:
+            parts[i] = self.chunks[word]
+        return [b"".join(parts) for parts in found]
 
 
 _loaded: dict = {}
