@@ -10,7 +10,7 @@ strongest word, the mean of the strongest 2 and 4, and the mean over all letters
 that gave no counts turns these into the score.
 
 The table of log-likelihood differences has a fixed number of buckets (hashes of letter runs), so what is broadcast is
-bounded whatever the corpus: 20 MB. Defined results: null, empty and word-less texts get the score of zero evidence;
+bounded whatever the corpus: 10 MB. Defined results: null, empty and word-less texts get the score of zero evidence;
 a null doc_id is not held out and teaches nothing; without any label, or with one class only, the score is the share of
 toxic labels (0 without labels); repeated rows get equal scores; rows of labels that repeat count once each.
 """
@@ -30,13 +30,13 @@ from pyspark.sql import types as T
 from callgrove.llm.common import add_columns, sized, written
 
 #: Letters of a run, buckets of the two tables (powers of 2), labels that may be broadcast, rows the curve is fitted on.
-ORDER, GRAM_BITS, CONTEXT_BITS, BROADCAST_LABELS, CURVE_ROWS = 5, 24, 22, 4_000_000, 40_000
+ORDER, GRAM_BITS, CONTEXT_BITS, BROADCAST_LABELS, CURVE_ROWS = 5, 23, 21, 4_000_000, 40_000
 #: Log-likelihood differences are kept in steps of 1/16, between -7.9 and 7.9.
 STEP = 16.0
 WORD = re.compile(r"[^\W\d_]+")
 PAD, END = "^", "$"
 #: Words whose evidence a process keeps.
-MEMO = 400_000
+MEMO = 150_000
 FEATURES = 4
 
 
@@ -81,7 +81,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                         tally[w][side] += 1
                     else:
                         tally[w] = [1 - side, side]
-                if len(tally) > 200_000:
+                if len(tally) > 100_000:
                     yield out()
         yield out()
 
