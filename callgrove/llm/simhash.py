@@ -7,9 +7,9 @@ hold a 256th of all rows each, so a posting takes three positions, from a set of
 hold one: no link is lost and a posting has 2**24 values. Members of a posting are paired, the bytes that a pair shares by
 position are tallied, pairs under the guaranteed minimum fall, and the rest are verified by their differing bits.
 
-Postings of more than PAIRED members aren't paired in a join: they are cut into blocks, each two blocks meet in one
-task of bounded size, and it returns a spanning forest of their links instead of all pairs. Components are found by
-alternating stars on the links of distinct fingerprints, each round written to the shared folder.
+Pairs don't leave a posting: it is cut into blocks, each two blocks meet in one group of bounded size, and the group
+returns a spanning forest of its links instead of all pairs. Components are found by alternating stars on the links of
+distinct fingerprints, each round written to the shared folder.
 
 Longer fingerprints (for similarity 0.8 on 5-word shingles) have no guaranteed shared byte; there triples of positions
 are a fixed set of PROBES, the minimum is the three bytes of a posting, and near_duplicates() says what recall to expect.
@@ -21,10 +21,11 @@ component's are null; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +34,10 @@ from pyspark.sql import types as T
 from callgrove.llm.common import add_columns, sized, written
 
 SEED = 42
-#: Members of a posting that are paired in a join, and of a block of a larger posting.
-PAIRED, BLOCK = 32, 1024
-#: Shingles whose hashes are held at once.
-CHUNK = 1 << 15
+#: Members of a block of a posting.
+BLOCK = 1024
 #: Bits of long fingerprints, differing bits that stand for similarity 0.8, and probes of the index.
-LONG_BITS, LONG_DIFFER, PROBES = 512, 82, 96
+LONG_BITS, LONG_DIFFER, PROBES = 1024, 160, 128
 
 #: For each byte its bits as bytes of one number, so that 255 can be added without a carry.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
@@ -106,17 +105,24 @@ def covering_triples(positions: int = 8) -> list[tuple[int, ...]]:
 
 
 def probing_triples(positions: int = LONG_BITS // 8, probes: int = PROBES) -> list[tuple[int, ...]]:
-    """A fixed set of triples, spread evenly: equal use of all positions."""
-    return [(i % positions, (i + 21 + i // positions) % positions, (i + 43 + 3 * (i // positions)) % positions) for i in range(probes)]
+    """A fixed set of triples that use all positions alike."""
+    step = positions // 3
+    return [(i % positions, (i + step + i // positions) % positions, (i + 2 * step + 3 * (i // positions)) % positions) for i in range(probes)]
 
 
 def postings(prints: DataFrame, triples: list[tuple[int, ...]]) -> DataFrame:
     """key and fp_id of each distinct fingerprint (fp_id, fingerprint) under each triple of positions."""
-    at = lambda p: F.conv(F.hex(F.substring("fingerprint", p + 1, 1)), 16, 10).cast("long")
-    by_place = F.array(*[at(p) for p in range(max(map(max, triples)) + 1)])
-    bytes_ = prints.select("fp_id", by_place.alias("b"))
-    keys = [F.lit(k << 24) + F.col("b")[x] * 65536 + F.col("b")[y] * 256 + F.col("b")[z] for k, (x, y, z) in enumerate(triples)]
-    return bytes_.select("fp_id", F.explode(F.array(*keys)).alias("key"))
+    places = np.array(triples)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                b = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)[:, places].astype(np.int64)
+                keys = (np.arange(len(places)) << 24) + (b[:, :, 0] << 16) + (b[:, :, 1] << 8) + b[:, :, 2]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), len(places))), pa.array(keys.ravel())], names=["fp_id", "key"])
+
+    return prints.select("fp_id", "fingerprint").mapInArrow(post, "fp_id long, key long")
 
 
 def shared_bytes(x: np.ndarray) -> np.ndarray:
@@ -144,37 +150,53 @@ def forest(ids: np.ndarray, prints: np.ndarray, least: int, most: int) -> tuple[
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
+def forests(batches: Iterator[pa.RecordBatch], least: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Links of the groups (key, i, j) in batches of (key, i, j, fp_id, fingerprint) sorted by these; a group may cross batches."""
+
+    def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        none = np.empty(0, np.int64)
+        a, b = (np.concatenate([none, *[x[k] for x in parts]]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def linked(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        ids = table["fp_id"].to_numpy()
+        prints = np.frombuffer(b"".join(table["fingerprint"].to_pylist()), "<u8").reshape(len(ids), -1)
+        starts = np.concatenate([[0], np.flatnonzero(changes(table)) + 1, [len(ids)]])
+        sizes = np.diff(starts)
+        two = starts[:-1][sizes == 2]
+        apart = prints[two] ^ prints[two + 1]
+        near = (shared_bytes(apart) >= least) & (np.bitwise_count(apart).sum(-1, dtype=np.int32) <= most)
+        parts = [(ids[two[near]], ids[two[near] + 1])]
+        return parts + [forest(ids[x:y], prints[x:y], least, most) for x, y in zip(starts[:-1][sizes > 2].tolist(), starts[1:][sizes > 2].tolist())]
+
+    def changes(table: pa.Table) -> np.ndarray:
+        keys = [table[c].to_numpy() for c in ("key", "i", "j")]
+        return np.any([k[1:] != k[:-1] for k in keys], axis=0) if len(table) > 1 else np.empty(0, bool)
+
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        given = pa.Table.from_batches([batch])
+        table = given if held is None else pa.concat_tables([held, given])
+        ends = np.flatnonzero(changes(table))
+        cut = int(ends[-1]) + 1 if len(ends) else 0  # the last group may go on
+        held = table.slice(cut).combine_chunks()
+        if cut:
+            yield out(linked(table.slice(0, cut).combine_chunks()))
+    yield out(linked(held) if held is not None else [])
+
+
 def links(prints: DataFrame, triples: list[tuple[int, ...]], least: int, most: int) -> DataFrame:
     """a, b: links that connect every two fingerprints (fp_id, fingerprint) that share a posting, `least` bytes and all but `most` bits."""
     posts = postings(prints, triples)
     counts = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(posts.join(counts, "key").join(prints, "fp_id"), "postings")
-    few = shared.where(F.col("n") <= PAIRED)
-    size = prints.select(F.max(F.octet_length("fingerprint"))).first()[0] or 8
-    packed = few.select("key", "fp_id", *[F.conv(F.hex(F.substring("fingerprint", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"w{k}") for k in range(size // 8)])
-    x, y = packed.alias("x"), packed.alias("y")
-    apart = [F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}")) for k in range(size // 8)]
-
-    def zero_bytes(v: Column) -> Column:
-        for step in (4, 2, 1):
-            v = v.bitwiseOR(F.shiftrightunsigned(v, step))
-        return 8 - F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101)))
-
-    tally = sum((zero_bytes(v) for v in apart), F.lit(0))
-    differ = sum((F.bit_count(v) for v in apart), F.lit(0))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp_id") < F.col("y.fp_id")) & (tally >= least) & (differ <= most)).select(F.col("x.fp_id").alias("a"), F.col("y.fp_id").alias("b"))
-
-    many = shared.where(F.col("n") > PAIRED).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp_id"), "blocks").cast("int"))
-    met = many.select("key", "fp_id", "fingerprint", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("key", "fp_id", "fingerprint", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def connect(group: pd.DataFrame) -> pd.DataFrame:
-        words = np.frombuffer(b"".join(group["fingerprint"]), "<u8").reshape(len(group), -1)
-        a, b = forest(group["fp_id"].to_numpy(), words, least, most)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    dense = met.groupBy("key", "i", "j").applyInPandas(connect, "a long, b long")
-    return pairs.unionByName(dense).distinct()
+    shared = posts.join(counts, "key").join(prints, "fp_id")
+    placed = shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp_id"), "blocks").cast("int"))
+    met = placed.select("key", "fp_id", "fingerprint", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp_id", "fingerprint")
+    dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp_id")
+    return dealt.mapInArrow(lambda batches: forests(batches, least, most), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -230,8 +252,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and first, the row that stands for its component: 5-word shingles, similarity 0.8 or more.
 
     For a share s of common shingles in both texts (0.8 of the union: s = 0.889) a bit differs with probability
-    arccos(s) / pi, here 0.151: 82 of 512 bits is that plus half a standard deviation. A pair of similarity 0.9 differs in
-    some 53 bits and shares a posting with probability over 0.999; at 0.8 it is 0.84.
+    arccos(s) / pi, here 0.151: 160 of 1,024 bits is that plus half a standard deviation. A pair of similarity 0.9 differs
+    in some 106 bits and shares a posting with probability over 0.999; at 0.8 it is 0.91.
     """
     return labelled(docs, 5, LONG_BITS, probing_triples(), 3, LONG_DIFFER).drop("fingerprint")
 
