@@ -11,17 +11,18 @@ Pairs don't leave a posting: it is cut into blocks, each two blocks meet in one
 returns a spanning forest of its links instead of all pairs. Components are found by alternating stars on the links of
 distinct fingerprints, each round written to the shared folder.
 
-Longer fingerprints (for similarity 0.8 on 5-word shingles) have no guaranteed shared byte; there triples of positions
-are a fixed set of PROBES, the minimum is the three bytes of a posting, and near_duplicates() says what recall to expect.
+The pipeline's stage (5-word shingles, similarity 0.8 of the distinct shingles) can't be read off fingerprints: their bits are
+weighted by repeats, and short texts have many ties. There the index posts least hashes of the shingle sets (BANDS postings of
+BAND_ROWS hashes), hits are candidates only, and each link is verified on the sets themselves; see near_duplicates().
 
-Defined results: null, empty and word-less texts have fingerprint zero and are linked like others; a text of fewer words
+Defined results: null, empty and word-less texts have fingerprint zero and are linked like others (in the stage they are one class); a text of fewer words
 than a shingle is one shingle; repeated rows share a class; a null doc_id never names a component unless all of its
 component's are null; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,8 +37,11 @@ from callgrove.llm.common import add_columns, sized, written
 SEED = 42
 #: Members of a block of a posting.
 BLOCK = 1024
-#: Bits of long fingerprints, differing bits that stand for similarity 0.8, and probes of the index.
-LONG_BITS, LONG_DIFFER, PROBES = 1024, 160, 128
+#: Positions and probes of probing_triples.
+LONG_BITS, PROBES = 1024, 128
+#: Postings of a shingle set, least hashes in each, and how many of all must agree for a pair to be verified: at similarity 0.8
+#: a pair shares a posting but for 3 in a million, and agrees in fewer hashes once in 10**8.
+BANDS, BAND_ROWS, AGREE = 24, 4, 54
 
 #: For each byte its bits as bytes of one number, so that 255 can be added without a carry.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
@@ -220,20 +224,133 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds of {spark.sparkContext.appName}")
 
 
-def labelled(docs: DataFrame, size: int, bits: int, triples: list[tuple[int, ...]], least: int, most: int) -> DataFrame:
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingle hashes in ascending order."""
+    return np.unique(shingle_hashes(text.encode().lower().split() if text else [], size))
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Sixteen bits of the least of the hashes under each of BANDS * BAND_ROWS orders; zeros for no hashes."""
+    orders = widened(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64), 1) | np.uint64(1)
+    if not len(hashes):
+        return np.zeros(len(orders), "<u2")
+    least = np.min([np.multiply.outer(orders, hashes[at : at + 512]).min(1) for at in range(0, len(hashes), 512)], axis=0)
+    return (least >> np.uint64(16)).astype("<u2")
+
+
+def set_prints(df: DataFrame, size: int, text: str = "text", out: str = "fingerprint") -> DataFrame:
+    """df with a binary column that names the shingle set of each text: number of shingles, 128-bit hash of all, least hashes."""
+
+    def one(value: str | None) -> bytes:
+        hashes = shingle_set(value, size)
+        return len(hashes).to_bytes(8, "little") + xxhash.xxh3_128_digest(hashes.tobytes()) + least_hashes(hashes).tobytes()
+
+    return add_columns(df, [(out, T.BinaryType())], lambda: lambda batch: [[one(x.as_py()) for x in batch.column(0)]], [text])
+
+
+def set_postings(prints: DataFrame) -> DataFrame:
+    """key and fp_id of each shingle set (fp_id, fingerprint) under each of its bands; empty sets have none."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                b = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                some = b[:, :8].any(1)
+                bands = np.ascontiguousarray(b[some, 24:]).view("<u8")
+                keys = np.stack([widened(bands[:, k], k + 1) for k in range(BANDS)], axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy()[some], BANDS)), pa.array(keys.ravel())], names=["fp_id", "key"])
+
+    return prints.select("fp_id", "fingerprint").mapInArrow(post, "fp_id long, key long")
+
+
+def similar(sets: list[np.ndarray], least: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+    """Which of the others have a set whose similarity with that of x (shared of the union) is 0.8 or more."""
+    sizes = np.array([len(sets[y]) for y in others.tolist()])
+    both = 4 * (sizes + len(sets[x]))
+    maybe = (9 * np.minimum(sizes, len(sets[x])) >= both) & ((least[others] == least[x]).sum(1) >= AGREE)
+    found = np.zeros(len(others), bool)
+    if maybe.any():
+        flat = np.concatenate([sets[y] for y in others[maybe].tolist()])
+        place = np.searchsorted(sets[x], flat)
+        hits = sets[x][np.minimum(place, len(sets[x]) - 1)] == flat
+        shared = np.add.reduceat(hits, np.cumsum([0, *sizes[maybe][:-1]]), dtype=np.int64)
+        found[maybe] = 9 * shared >= both[maybe]
+    return found
+
+
+def set_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the groups (key, i, j) in batches of (key, i, j, fp_id, fingerprint, shingles) sorted by these: a spanning forest of the similar pairs."""
+
+    def linked(rows: list[tuple[int, bytes, bytes]]) -> tuple[list[int], list[int]]:
+        if not rows:
+            return [], []
+        ids = [r[0] for r in rows]
+        sets = [np.frombuffer(r[2], "<u8") for r in rows]
+        least = np.stack([np.frombuffer(r[1], "<u2", offset=24) for r in rows])
+        left, a, b = np.arange(len(rows)), [], []
+        while len(left):
+            queue, left = [int(left[0])], left[1:]
+            while queue and len(left):
+                x = queue.pop()
+                near = similar(sets, least, x, left)
+                for y in left[near].tolist():
+                    queue.append(y)
+                    a.append(ids[x])
+                    b.append(ids[y])
+                left = left[~near]
+        return a, b
+
+    def out(found: list[tuple[list[int], list[int]]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for pair in found for x in pair[k]], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    group, rows = None, []
+    for batch in batches:
+        found = []
+        columns = [batch.column(c) for c in range(6)]
+        for r in range(batch.num_rows):
+            own = tuple(c[r].as_py() for c in columns[:3])
+            if own != group:
+                found.append(linked(rows))
+                group, rows = own, []
+            rows.append(tuple(c[r].as_py() for c in columns[3:]))
+        yield out(found)
+    yield out([linked(rows)])
+
+
+def set_links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """a, b: links that connect every two shingle sets (fp_id, fingerprint, first) that share a posting and have similarity 0.8 or more.
+
+    Postings of the same members are one (by number and XOR of their hashes). Sets are made again from the texts of members.
+    """
+    posts = set_postings(classes)
+    groups = posts.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(fp_id))").alias("who")).where("n > 1")
+    groups = groups.groupBy("n", "who").agg(F.min("key").alias("key"))
+    shared = written(posts.join(groups, "key").select("key", "n", "fp_id"), "postings")
+    wanted = written(classes.join(shared.select("fp_id").distinct(), "fp_id", "left_semi").select("fp_id", "fingerprint", F.col("first.doc_id").alias("named"), F.col("first.text_key").alias("text_key")), "members")
+    texts = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), "text")
+    members = texts.join(sized(wanted), "text_key").where(F.col("doc_id").eqNullSafe(F.col("named"))).dropDuplicates(["fp_id"]).select("fp_id", "fingerprint", "text")
+
+    def make():
+        return lambda batch: [[shingle_set(x.as_py(), size).tobytes() for x in batch.column(0)]]
+
+    sets = add_columns(members, [("shingles", T.BinaryType())], make, ["text"]).drop("text")
+    placed = shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp_id"), "blocks").cast("int"))
+    met = placed.select("key", "fp_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp_id").join(sets, "fp_id")
+    dealt = met.select("key", "i", "j", "fp_id", "fingerprint", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp_id")
+    return dealt.mapInArrow(set_forests, "a long, b long").distinct()
+
+
+def labelled(docs: DataFrame, prints: Callable[[DataFrame], DataFrame], links: Callable[[DataFrame], DataFrame], fp_id: Column) -> DataFrame:
     """doc_id, text_key, fingerprint and, as first, the (doc_id, text_key) that stands for the component of each row of docs."""
-    prints = written(fingerprints(docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), "text"), size, bits).drop("text"), "fingerprints")
+    made = written(prints(docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), "text")).drop("text"), "fingerprints")
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
-    classes = written(prints.groupBy("fingerprint").agg(F.min(row).alias("first")).withColumn("fp_id", _id(bits)), "classes")
-    roots = components(links(classes.select("fp_id", "fingerprint"), triples, least, most))
+    classes = written(made.groupBy("fingerprint").agg(F.min(row).alias("first")).withColumn("fp_id", fp_id), "classes")
+    roots = components(links(classes))
     placed = classes.join(roots, F.col("fp_id") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("root", "fp_id").alias("root"))
     named = placed.groupBy("root").agg(F.min("first").alias("first"))
-    return prints.join(placed.drop("first").join(named, "root").select("fingerprint", "first"), "fingerprint").select("doc_id", "text_key", "fingerprint", "first")
-
-
-def _id(bits: int) -> Column:
-    """A number for a fingerprint: itself, or a hash of a longer one."""
-    return F.conv(F.hex("fingerprint"), 16, -10).cast("long") if bits == 64 else F.xxhash64("fingerprint")
+    return made.join(placed.drop("first").join(named, "root").select("fingerprint", "first"), "fingerprint").select("doc_id", "text_key", "fingerprint", "first")
 
 
 def hex_digits(print_: Column) -> Column:
@@ -244,18 +361,19 @@ def hex_digits(print_: Column) -> Column:
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id: 4-word shingles, links at 4 or fewer differing bits."""
-    got = labelled(docs, 4, 64, covering_triples(8), 4, 4)
+    number = F.conv(F.hex("fingerprint"), 16, -10).cast("long")
+    got = labelled(docs, lambda rows: fingerprints(rows, 4), lambda classes: links(classes.select("fp_id", "fingerprint"), covering_triples(8), 4, 4), number)
     return got.select("doc_id", hex_digits(F.col("fingerprint")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and first, the row that stands for its component: 5-word shingles, similarity 0.8 or more.
 
-    For a share s of common shingles in both texts (0.8 of the union: s = 0.889) a bit differs with probability
-    arccos(s) / pi, here 0.151: 160 of 1,024 bits is that plus half a standard deviation. A pair of similarity 0.9 differs
-    in some 106 bits and shares a posting with probability over 0.999; at 0.8 it is 0.91.
+    Similarity is the share of common shingles in the distinct shingles of both texts, whatever their length. Candidates share
+    BAND_ROWS least hashes, which a pair of similarity s does in a band with probability s ** 4: at 0.8 one of the 24 bands
+    fails to show it in 3 pairs of a million, above it less. Links are exact (up to equal 64-bit hashes of shingles).
     """
-    return labelled(docs, 5, LONG_BITS, probing_triples(), 3, LONG_DIFFER).drop("fingerprint")
+    return labelled(docs, lambda rows: set_prints(rows, 5), lambda classes: set_links(classes, docs, 5), F.xxhash64("fingerprint")).drop("fingerprint")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:

@@ -51,3 +51,13 @@ def test_null_ids(spark):
     got = simhash.near_copies(rows).collect()
     assert sorted(r.component_id is None for r in got) == [False, False, False, True]
     assert simhash.first_of_each(rows).count() == 2
+
+
+def kept(spark, docs):
+    return {r.doc_id for r in simhash.first_of_each(table(spark, docs)).collect()}
+
+
+def test_texts_that_share_only_a_repeated_line_stay(spark):
+    line = " ".join(f"line{i}" for i in range(16))
+    docs = {k: " ".join([line] * 40 + [f"own{k}x{i}" for i in range(154)]) for k in range(6)}
+    assert kept(spark, docs) == set(docs)
