@@ -61,3 +61,13 @@ def test_texts_that_share_only_a_repeated_line_stay(spark):
     line = " ".join(f"line{i}" for i in range(16))
     docs = {k: " ".join([line] * 40 + [f"own{k}x{i}" for i in range(154)]) for k in range(6)}
     assert kept(spark, docs) == set(docs)
+
+
+def test_every_pair_at_similarity_08_is_found_and_none_below(spark):
+    docs, gone = {}, set()
+    for n in range(40):  # 4 * n + 4 shingles, and n + 1 (0.8) or n + 2 (below) more
+        words = [f"w{n}x{i}" for i in range(4 * n + 8)]
+        more = [f"m{n}x{i}" for i in range(n + 2)]
+        docs |= {10 * n: " ".join(words), 10 * n + 1: " ".join(words + more[:-1]), 1000 + 10 * n: " ".join(words).upper() + " only", 2000 + 10 * n: " ".join(["v" + w for w in words]), 2001 + 10 * n: " ".join(["v" + w for w in words] + more)}
+        gone |= {10 * n + 1, 1000 + 10 * n}
+    assert kept(spark, docs) == set(docs) - gone
