@@ -171,9 +171,18 @@ def win3_recommend_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT chrom, pos, variant_id, row_number() OVER (ORDER BY CAST(substr(chrom, 4) AS INT), pos, variant_id) AS place FROM (SELECT * FROM variants WHERE variant_id % 50 = 0)")
 def win5_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in order of chromosome number; the place makes the order part of the result."""
+    return _placed(schema.variants(spark, sf_dir).where("variant_id % 50 = 0"))
+
+
+@query("SELECT chrom, pos, variant_id, row_number() OVER (ORDER BY CAST(substr(chrom, 4) AS INT), pos, variant_id) AS place FROM variants")
+def win5_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for all variants."""
+    return _placed(schema.variants(spark, sf_dir))
+
+
+def _placed(v: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    v = schema.variants(spark, sf_dir).where("variant_id % 50 = 0")
     number = selection.by_number(F.col("chrom"))
     before = v.groupBy(number.alias("number")).agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = v.withColumn("number", number).join(F.broadcast(before), "number")

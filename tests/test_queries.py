@@ -38,3 +38,8 @@ def test_query(spark, duck, name):
 def test_every_sql_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert len(catalog.queries()) > 150
+
+
+@pytest.mark.parametrize("name", ["win5_sort", "win5_sort_all"])
+def test_sort(spark, duck, name):
+    test_query(spark, duck, name)
