@@ -1,24 +1,30 @@
-"""Operator 2: toxicity by class-conditional Kneser-Ney models of the letters of words.
-
-One 5-letter model per class (toxic, ordinary) with absolute discounting; both back off to one shared model of shorter
-contexts, whose counts are the distinct letters met before an ending in either class. A rare expression thus has the same
-backoff under both classes, and only the discounts of its context tell them apart. Counts are Spark aggregates over all
-labelled rows of the learning fold.
-
-A word's evidence is the difference of its two log-likelihoods. A text is compared on length-normalised figures: the
-strongest word, the mean of the strongest 2 and 4, and the mean over all letters. A logistic curve fitted on learning rows
-that gave no counts turns these into the score.
-
-The table of log-likelihood differences has a fixed number of buckets (hashes of letter runs), so what is broadcast is
-bounded whatever the corpus: 10 MB. Defined results: null, empty and word-less texts get the score of zero evidence;
-a null doc_id is not held out and teaches nothing; without any label, or with one class only, the score is the share of
-toxic labels (0 without labels); repeated rows get equal scores; rows of labels that repeat count once each.
+"""Operator 2: toxicity by class-conditional Kneser-Ney models of letters, compared on length-normalised log-likelihoods.
+
+A text is a stream of lower-case letters, each run of other characters one space, so contexts cross spaces. One 4-letter
+model per class (toxic, ordinary) with absolute discounting; both back off to one shared model of shorter contexts, whose
+counts are the distinct letters met before an ending in either class. A rare expression thus has the same backoff under
+both classes, and only the discounts of its context tell them apart. Counts are Spark aggregates over all learning rows.
+
+Texts are compared by the difference of the two log-likelihoods per letter: over the whole text, over its strongest runs of
+RUNS letters, and over its STRONGEST separate runs of RUN letters (a shorter text counts as filled up with letters of no
+evidence). A logistic curve of these and of the log of the length is the score. It is fitted on a
+bounded sample of a quarter of the learning rows (CURVE_ROWS of each class, weighted by their share), against counts of
+the other three quarters; texts are scored with counts of all learning rows. A sample without one of the classes is
+replaced by a sample of all learning rows.
+
+Tables of differences keep each run of letters under its 64-bit hash. They are broadcast in blocks of TABLE_ROWS rows at
+most (by context), one pass over the texts for each, so a larger corpus means more passes and not more memory.
+
+Defined results: null, empty and letter-less texts get the score of zero evidence; a null doc_id is not held out and
+teaches nothing; without any label, or with one class only, the score is the share of toxic labels (0 without labels);
+repeated rows get equal scores and repeated labels count once each; rows of labels that contradict each other both teach;
+other columns are kept by score() and without_toxic(), which replace or add nothing but the columns they are asked for.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
+import math
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,72 +33,100 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callgrove.llm.common import add_columns, sized, written
-
-#: Letters of a run, buckets of the two tables (powers of 2), labels that may be broadcast, rows the curve is fitted on.
-ORDER, GRAM_BITS, CONTEXT_BITS, BROADCAST_LABELS, CURVE_ROWS = 5, 23, 21, 4_000_000, 40_000
-#: Log-likelihood differences are kept in steps of 1/16, between -7.9 and 7.9.
-STEP = 16.0
-WORD = re.compile(r"[^\W\d_]+")
-PAD, END = "^", "$"
-#: Words whose evidence a process keeps.
-MEMO = 150_000
-FEATURES = 4
+from callgrove.llm.common import add_columns, free_name, sized, written
 
-
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+#: Letters of a gram, of the short runs and how many of them, of the longer runs, labels that may be broadcast, rows of a class that the curve is fitted on.
+ORDER, RUN, STRONGEST, RUNS, BROADCAST_LABELS, CURVE_ROWS = 4, 6, (1, 2, 4, 8), (12, 24, 96), 4_000_000, 20_000
+#: Rows of the two tables in one broadcast (about 20 bytes each), and letters that a task counts or compares at once.
+TABLE_ROWS, COUNTED, COMPARED = 8_000_000, 4_000_000, 1_000_000
+FEATURES = len(STRONGEST) + len(RUNS) + 2
+SPACE = 32
 
 
 def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string")) % parts
 
 
-def mixed(codes: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of each run of `size` codes."""
-    h = np.zeros(len(codes) - size + 1, np.uint64)
-    for k in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(codes) - size + 1 + k]
-        h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+_letters: list[np.ndarray] = []
+
+
+def letters() -> np.ndarray:
+    """Which code points are letters, or marks on them."""
+    if not _letters:
+        _letters.append(np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000))
+    return _letters[0]
+
 
+def streams(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all texts side by side, and where each one's start: ORDER - 1 spaces, letters with single spaces, a space."""
+    pad = " " * (ORDER - 1)
+    parts = [f"{pad}{t.lower()} " if t else pad for t in texts]
+    codes = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
+    starts = np.cumsum([0, *map(len, parts)])
+    letter = letters()[codes]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]  # a space after a letter
+    keep[(starts[:-1, None] + np.arange(ORDER - 1)).ravel()] = True
+    codes = np.where(letter, codes, SPACE)[keep].astype(np.uint64)
+    return codes, np.concatenate([[0], np.cumsum(keep)])[starts]
 
-def codes_of(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
 
+def hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the context before each place from ORDER - 1 on, and of the gram that ends there."""
+    n = max(0, len(codes) - ORDER + 1)
+    h = np.zeros(n, np.uint64)
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word, toxic and ordinary counts over rows of (text, toxic)."""
+    def taken(h: np.ndarray, k: int) -> np.ndarray:
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : n + k]
+        return h ^ (h >> np.uint64(29))
+
+    for k in range(ORDER - 1):
+        h = taken(h, k)
+    context, gram = h * np.uint64(0xBF58476D1CE4E5B9), taken(h, ORDER - 1) * np.uint64(0x94D049BB133111EB)
+    return context ^ (context >> np.uint64(32)), gram ^ (gram >> np.uint64(32))
+
+
+def own_places(starts: np.ndarray) -> np.ndarray:
+    """Of the places that hashes() covers those that lie in a text, not in the spaces before one."""
+    own = np.ones(max(0, int(starts[-1]) - ORDER + 1), bool)
+    if len(starts) > 2:
+        own[(starts[1:-1, None] - (ORDER - 1) + np.arange(ORDER - 1)).ravel()] = False
+    return own
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """gram with its toxic and ordinary counts over rows of (text, toxic, apart): in all rows, and as toxic_near, ordinary_near in those not apart."""
+    names = ["toxic", "ordinary", "toxic_near", "ordinary_near"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: dict[str, list[int]] = {}
+        texts, sides, size = [], [], 0
 
         def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), *[pa.array([v[i] for v in tally.values()], pa.int64()) for i in (0, 1)]], names=["word", "toxic", "ordinary"])
-            tally.clear()
-            return got
+            nonlocal texts, sides, size
+            codes, starts = streams(texts)
+            own = own_places(starts)
+            _, first, which = np.unique(hashes(codes)[1][own], return_index=True, return_inverse=True)
+            places = np.flatnonzero(own)[first]
+            side = np.repeat(np.array(sides, np.int64), np.diff(starts) - (ORDER - 1))
+            tally = np.bincount(which * 4 + side, minlength=4 * len(first)).reshape(-1, 4) if len(first) else np.zeros((0, 4), np.int64)
+            stream = codes.astype("<u4").tobytes().decode("utf-32-le")
+            grams = pa.array([stream[i : i + ORDER] for i in places.tolist()], pa.string())
+            toxic, ordinary = tally[:, 0] + tally[:, 2], tally[:, 1] + tally[:, 3]
+            texts, sides, size = [], [], 0
+            return pa.RecordBatch.from_arrays([grams, *[pa.array(x) for x in (toxic, ordinary, tally[:, 0], tally[:, 1])]], names=["gram", *names])
 
         for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                side = 0 if toxic else 1
-                for w in words_of(text.as_py()):
-                    if w in tally:
-                        tally[w][side] += 1
-                    else:
-                        tally[w] = [1 - side, side]
-                if len(tally) > 100_000:
-                    yield out()
+            for text, toxic, apart in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for at in range(0, len(text or ""), COUNTED) or [0]:  # a huge text is counted in parts, which share the context
+                    texts.append(text[max(0, at - ORDER + 1) : at + COUNTED] if text else None)
+                    sides.append((0 if toxic else 1) + (2 if apart else 0))
+                    size += len(texts[-1] or "")
+                    if size >= COUNTED:
+                        yield out()
         yield out()
 
-    return rows.select("text", "toxic").mapInArrow(count, "word string, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-
-
-def gram_counts(words: DataFrame) -> DataFrame:
-    """gram (ORDER letters, padded before a word's start), toxic and ordinary counts."""
-    padded = F.concat(F.lit(PAD * (ORDER - 1)), "word", F.lit(END))
-    grams = F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, ORDER))
-    return words.select(F.explode(grams).alias("gram"), "toxic", "ordinary").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counted = rows.select("text", "toxic", "apart").mapInArrow(count, "gram string, " + ", ".join(f"{n} long" for n in names))
+    return counted.groupBy("gram").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def discount(table: DataFrame, column: str) -> float:
@@ -137,140 +171,201 @@ def differences(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     return seen, unseen
 
 
-def table_of(rows: DataFrame, key: str, bits: int, empty: int) -> np.ndarray:
-    """Differences by bucket, as signed bytes; at most 2**bits rows reach the driver, summed by bucket before."""
+def hashed(rows: DataFrame, key: str) -> DataFrame:
+    """block (of the context), key (hash) and d of rows of the two tables."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, size = batch.column(0).to_pylist(), ORDER if key == "gram" else ORDER - 1
-            if texts:
-                buckets = (mixed(codes_of("".join(texts)), size)[::size] & np.uint64((1 << bits) - 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(buckets), batch.column(1)], names=["bucket", "d"])
-
-    summed = rows.select(key, "d").mapInArrow(hashed, "bucket int, d double").groupBy("bucket").agg(F.avg("d").alias("d"))
-    got = summed.select("bucket", F.least(F.greatest(F.round(F.col("d") * STEP), F.lit(-127.0)), F.lit(127.0)).cast("byte").alias("d")).toArrow()
-    out = np.full(1 << bits, empty, np.int8)
-    out[got["bucket"].to_numpy()] = got["d"].to_numpy()
-    return out
-
-
-class Evidence:
-    """Evidence of words, from the two tables."""
-
-    def __init__(self, seen: np.ndarray, unseen: np.ndarray):
-        self.seen, self.unseen, self.memo = seen, unseen, {}
-
-    def learn(self, words: list[str]) -> None:
-        text = "".join([PAD * (ORDER - 1) + w + END for w in words])
-        codes = codes_of(text)
-        ends = codes[ORDER - 1 :] != np.uint64(ord(PAD))
-        d = self.seen[(mixed(codes, ORDER)[ends] & np.uint64(len(self.seen) - 1)).astype(np.int64)].astype(np.float32)
-        back = self.unseen[(mixed(codes[:-1], ORDER - 1)[ends] & np.uint64(len(self.unseen) - 1)).astype(np.int64)]
-        d = np.where(d == -128, back, d) / STEP
-        starts = np.cumsum([0, *[len(w) + 1 for w in words[:-1]]])
-        for w, x in zip(words, np.add.reduceat(d, starts).tolist(), strict=True):
-            self.memo[w] = x
-
-    def features(self, texts: list) -> np.ndarray:
-        """For each text: the strongest word, means of the strongest 2 and 4 words, mean over all letters."""
-        out = np.zeros((len(texts), FEATURES), np.float32)
-        held = [words_of(t) for t in texts]
-        wanted = set().union(*held)
-        new = wanted.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = wanted
-        if new:
-            self.learn(list(new))
-        for k, words in enumerate(held):
-            if words:
-                d = np.fromiter(map(self.memo.__getitem__, words), np.float32, len(words))
-                top = -np.sort(-d)[:4] if len(d) < 8 else np.sort(np.partition(d, len(d) - 4)[-4:])[::-1]
-                out[k] = top[0], top[:2].sum() / 2, top.sum() / 4, d.sum() / (sum(map(len, words)) + len(words))
-        return out
-
-
-def curve(features: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and scale of a logistic curve, by Newton steps with a small ridge."""
+            codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").reshape(-1, size)
+            wide = np.zeros((len(codes), ORDER), np.uint64)
+            wide[:, :size] = codes
+            context, gram = hashes(wide.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(context[::ORDER].view(np.int64)), pa.array((gram if key == "gram" else context)[::ORDER].view(np.int64)), batch.column(1)], names=["context", "key", "d"])
+
+    return rows.select(key, "d").mapInArrow(work, "context long, key long, d double").withColumn("kind", F.lit(key))
+
+
+class Table:
+    """Differences by 64-bit key: keys in order, and where those of each head (highest bits) start."""
+
+    def __init__(self, keys: np.ndarray, d: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.d = keys[order], d[order].astype(np.float32)
+        self.bits = max(1, int(len(keys)).bit_length())
+        heads = (self.keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.starts = np.searchsorted(heads, np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The difference of each key, and whether it has one."""
+        out, known = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        head = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.starts[head], self.starts[head + 1]
+        left = np.flatnonzero(at < end)
+        at, end, keys = at[left], end[left], keys[left]
+        while len(left):
+            hit = self.keys[at] == keys
+            out[left[hit]], known[left[hit]] = self.d[at[hit]], True
+            at = at + 1
+            more = ~hit & (at < end)
+            left, at, end, keys = left[more], at[more], end[more], keys[more]
+        return out, known
+
+
+class Block:
+    """Both tables of the contexts whose hash is `number` modulo `blocks`."""
+
+    def __init__(self, seen: Table, unseen: Table, number: int, blocks: int):
+        self.seen, self.unseen, self.number, self.blocks = seen, unseen, number, blocks
+
+    def differences(self, codes: np.ndarray) -> np.ndarray:
+        """Difference of log-likelihoods at each place from ORDER - 1 on; 0 at those of other blocks."""
+        context, gram = hashes(codes)
+        d, known = self.seen.find(gram)
+        rest = np.flatnonzero(~known)
+        d[rest] = self.unseen.find(context[rest])[0]
+        if self.blocks > 1:
+            d[context % np.uint64(self.blocks) != self.number] = 0
+        return d
+
+
+def features_of(d: np.ndarray) -> list[float]:
+    """Differences per letter in the strongest separate runs of RUN letters (means of so many), in the strongest longer runs, in the whole text, and its log length."""
+    sums = np.concatenate([[0.0], np.cumsum(d, dtype=np.float64)])
+
+    def runs(size: int) -> np.ndarray:
+        return sums[size:] - sums[:-size] if len(d) > size else sums[-1:]
+
+    own, found = runs(RUN).copy(), []
+    while len(found) < max(STRONGEST):
+        k = int(own.argmax())
+        if own[k] <= 0:
+            break
+        found.append(float(own[k]))
+        own[max(0, k - RUN + 1) : k + RUN] = -np.inf
+    return [sum(found[:n]) / (RUN * n) for n in STRONGEST] + [float(runs(size).max()) / size for size in RUNS] + [float(sums[-1]) / max(1, len(d)), math.log(len(d) + 10)]
+
+
+def groups(texts: list) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about COMPARED characters."""
+    begin = size = 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size >= COMPARED:
+            yield begin, k + 1
+            begin, size = k + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def curve(features: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and scale of a logistic curve, by Newton steps with a small ridge; shares: how many rows each one stands for."""
     scale = np.stack([features.mean(0), features.std(0) + 1e-6])
     x = np.hstack([(features - scale[0]) / scale[1], np.ones((len(features), 1))]).astype(np.float64)
     w = np.zeros(x.shape[1])
     ridge = np.diag([*[0.05] * features.shape[1], 1e-4])
+    shares = shares * len(shares) / shares.sum()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-6 * np.eye(len(w)), x.T @ (p - labels) + ridge @ w)
+        w -= np.linalg.solve((x * (shares * p * (1 - p))[:, None]).T @ x + ridge + 1e-6 * np.eye(len(w)), x.T @ (shares * (p - labels)) + ridge @ w)
     return w, scale
 
 
 class Model:
-    def __init__(self, tables, weights, scale, share: float):
-        self.tables, self.weights, self.scale, self.share = tables, weights, scale, share
+    """A fitted model: broadcast blocks of tables, and the curve; without tables the score is the share."""
+
+    def __init__(self, blocks: list, weights, scale, share: float):
+        self.blocks, self.weights, self.scale, self.share = blocks, weights, scale, share
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(features), self.share)
         x = np.hstack([(features - self.scale[0]) / self.scale[1], np.ones((len(features), 1))])
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
-
-
-_evidence: dict = {}
-
-
-def evidence_of(shared) -> Evidence:
-    """One for each process and model; shared: the model's own name and its broadcast tables."""
-    name, tables = shared
-    if name not in _evidence:
-        _evidence.clear()
-        _evidence[name] = Evidence(*tables.value)
-    return _evidence[name]
-
+        return 1 / (1 + np.exp(-np.clip((x * self.weights).sum(1), -30, 30)))  # row by row, so that equal rows get equal scores
+
+
+def with_evidence(docs: DataFrame, blocks: list, last, outputs: list) -> DataFrame:
+    """docs with outputs made by last(features of texts); every block but the last adds its differences to a column that is dropped."""
+    evidence, df = free_name(docs, "evidence"), docs
+
+    def differences(block, batch, held: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        texts = batch.column(0).to_pylist()
+        for a, b in groups(texts):
+            codes, starts = streams(texts[a:b])
+            d = block.value.differences(codes) if block else np.zeros(max(0, len(codes) - ORDER + 1), np.float32)
+            if held:
+                d = d + np.frombuffer(b"".join(x + bytes(4 * (ORDER - 1)) for x in batch.column(1)[a:b].to_pylist())[: 4 * len(d)], "<f4")
+            for x, y in zip(starts.tolist(), starts[1:].tolist()):
+                yield d[x : max(x, y - ORDER + 1)]
+
+    for k, block in enumerate(blocks[:-1]):
+        needs = ["text", evidence] if k else ["text"]
+        df = add_columns(df, [(evidence, T.BinaryType())], lambda block=block, held=k > 0: lambda batch: [[x.tobytes() for x in differences(block, batch, held)]], needs)
+    held, block = len(blocks) > 1, blocks[-1] if blocks else None
+    made = add_columns(df, outputs, lambda: lambda batch: last(np.array([features_of(x) for x in differences(block, batch, held)]).reshape(-1, FEATURES)), ["text", evidence] if held else ["text"])
+    return made.drop(evidence)
+
+
+def tables(grams: DataFrame) -> list:
+    """Broadcast blocks of the differences of grams (gram, toxic, ordinary)."""
+    spark = grams.sparkSession
+    seen, unseen = differences(grams)
+    rows = written(hashed(seen, "gram").unionByName(hashed(unseen, "context")), "kn-differences")
+    blocks = max(1, -(-rows.count() // TABLE_ROWS))
+    out = []
+    for b in range(blocks):
+        # modulo of an unsigned number, from its upper and lower half
+        upper, lower = F.shiftrightunsigned("context", 32), F.col("context").bitwiseAND(0xFFFFFFFF)
+        own = rows if blocks == 1 else rows.where(((upper % blocks) * ((1 << 32) % blocks) + lower) % blocks == b)
+        got = own.select("key", F.col("d").cast("float").alias("d"), (F.col("kind") == "gram").alias("seen")).toArrow()
+        kind = got["seen"].to_numpy().astype(bool)
+        keys, d = got["key"].to_numpy().view(np.uint64), got["d"].to_numpy()
+        out.append(spark.sparkContext.broadcast(Block(Table(keys[kind], d[kind]), Table(keys[~kind], d[~kind]), b, blocks)))
+    return out
 
-def with_features(rows: DataFrame, shared) -> DataFrame:
-    def make():
-        found = evidence_of(shared)
-        return lambda batch: list(found.features(batch.column(0).to_pylist()).astype(np.float64).T)
 
-    return add_columns(rows, [(f"f{i}", T.DoubleType()) for i in range(FEATURES)], make, ["text"])
+def curve_sample(rows: DataFrame) -> DataFrame:
+    """CURVE_ROWS rows of each class at most, by a hash, with the rows that each stands for as weight."""
+    totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    spread, out = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1 << 20)), None
+    for kind, n in totals.items():
+        least = max(1, min(1 << 20, int(CURVE_ROWS / n * (1 << 20))))
+        part = rows.where((F.col("toxic") == kind) & (spread < least)).select("text", "toxic", F.lit((1 << 20) / least).alias("weight"))
+        out = part if out is None else out.unionByName(part)
+    return out if len(totals) > 1 else None
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Model:
     """A model from labelled documents; learn tells which doc_id may teach (all by default)."""
-    spark = docs.sparkSession
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").distinct()
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic")).distinct()
     known = written(known.where(learn) if learn is not None else known, "toxicity-labels")
-    n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    apart = (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("apart")
+    rows = docs.select("doc_id", "text").join(sized(known, BROADCAST_LABELS), "doc_id").select("doc_id", "text", "toxic", apart)
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or toxic in (0, n):
-        return Model(None, None, None, toxic / n if n else 0.0)
-    rows = docs.select("doc_id", "text").join(sized(known, BROADCAST_LABELS), "doc_id")
-    apart = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
-    grams = written(gram_counts(word_counts(rows.where(~apart))), "kn-grams")
-    seen, unseen = differences(grams)
-    tables = table_of(seen, "gram", GRAM_BITS, -128), table_of(unseen, "context", CONTEXT_BITS, 0)
-    shared = uuid.uuid4().hex, spark.sparkContext.broadcast(tables)
-    share = min(1.0, CURVE_ROWS / max(1, n / 4))
-    spread = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1 << 20)) < int(share * (1 << 20))
-    got = with_features(rows.where(apart & spread).select("text", "toxic"), shared).drop("text").toPandas()
-    y = got["toxic"].to_numpy(float)
-    if not 0 < y.sum() < len(y):
-        return Model(shared, None, None, toxic / n)
-    weights, scale = curve(got[[f"f{i}" for i in range(FEATURES)]].to_numpy(), y)
-    return Model(shared, weights, scale, toxic / n)
-
-
-def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """docs with score and predicted."""
+        return Model([], None, None, toxic / n if n else 0.0)
+    grams = written(gram_counts(rows), "kn-grams")
+    near = grams.where("toxic_near + ordinary_near > 0").select("gram", F.col("toxic_near").alias("toxic"), F.col("ordinary_near").alias("ordinary"))
+    blocks = tables(near)
+    sample = curve_sample(rows.where("apart"))
+    outputs = [(f"f{i}", T.DoubleType()) for i in range(FEATURES)]
+    got = with_evidence(sample if sample is not None else curve_sample(rows), blocks, lambda x: list(x.T), outputs).drop("text").toPandas()
+    for block in blocks:
+        block.unpersist()
+    weights, scale = curve(got[[f"f{i}" for i in range(FEATURES)]].to_numpy(), got["toxic"].to_numpy(float), got["weight"].to_numpy(float))
+    return Model(tables(grams.select("gram", "toxic", "ordinary")), weights, scale, toxic / n)
 
-    def make():
-        found = evidence_of(model.tables) if model.tables is not None else None
 
-        def work(batch):
-            texts = batch.column(0).to_pylist()
-            p = model.score(found.features(texts) if found else np.zeros((len(texts), FEATURES)))
-            return [p.tolist(), (p >= threshold).astype(int).tolist()]
+def score(docs: DataFrame, model: Model, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with the score and the prediction (1 from the threshold on) under the given names."""
+    blocks = model.blocks
+    curve_only = Model([], model.weights, model.scale, model.share)
 
-        return work
+    def last(features: np.ndarray) -> list:
+        p = curve_only.score(features)
+        return [p.tolist(), (p >= threshold).astype(int).tolist()]
 
-    return add_columns(docs, [("score", T.DoubleType()), ("predicted", T.IntegerType())], make, ["text"])
+    return with_evidence(docs, blocks, last, [(names[0], T.DoubleType()), (names[1], T.IntegerType())])
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -281,6 +376,7 @@ def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs that are not predicted toxic; all labels teach."""
-    scored = score(docs, fit(docs, labels))
-    return scored.where("predicted = 0").select(*[c for c in docs.columns if c not in ("score", "predicted")])
+    """docs that are not predicted toxic, with all their columns; all labels teach."""
+    names = free_name(docs, "score"), free_name(docs, "predicted")
+    scored = score(docs, fit(docs, labels), names=names)
+    return scored.where(F.col(names[1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

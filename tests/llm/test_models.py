@@ -1,7 +1,10 @@
 """Operators 2 and 9: held-out accuracy and edge cases."""
 
+import math
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from callgrove.llm import language_id, toxicity
@@ -64,3 +67,110 @@ def test_windows_cover_whole_texts():
     hop = language_id.WINDOW - language_id.WIDEST + 1
     assert b"".join(w.tobytes()[:hop] for w in windows[:-1]) + windows[-1].tobytes().rstrip(b"\0") == data
     assert len(texts()) > 60
+
+
+def plain_stream(text):
+    letters = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    return " " * (toxicity.ORDER - 1) + "".join(w + " " for w in letters)
+
+
+def plain_differences(rows):
+    """Every gram's and every context's difference by the formulas of interpolated Kneser-Ney, in plain Python."""
+    order = toxicity.ORDER
+    counts = {0: Counter(), 1: Counter()}
+    for text, toxic in rows:
+        s = plain_stream(text)
+        counts[toxic].update(s[i : i + order] for i in range(len(s) - order + 1))
+    grams = set(counts[0]) | set(counts[1])
+
+    def discount(values):
+        ones, twos = sum(v == 1 for v in values), sum(v == 2 for v in values)
+        return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+
+    kinds, levels = grams, {}
+    for size in range(order - 1, 0, -1):
+        levels[size] = Counter(g[1 : size + 1] for g in kinds)
+        kinds = set(levels[size])
+    p = {}
+    for size in range(1, order):
+        d, n, total, seen = discount(levels[size].values()), levels[size], Counter(), Counter()
+        for g, k in n.items():
+            total[g[:-1]] += k
+            seen[g[:-1]] += 1
+        for g, k in n.items():
+            lower = p[g[1:]] if size > 1 else 1 / (seen[""] + 1)
+            p[g] = (max(k - d, 0) + d * seen[g[:-1]] * lower) / total[g[:-1]]
+    side = {}
+    for c in (0, 1):
+        d, total, seen = discount(counts[c].values()), Counter(), Counter()
+        for g, k in counts[c].items():
+            total[g[:-1]] += k
+            seen[g[:-1]] += 1
+        left = {g[:-1]: d * seen[g[:-1]] / total[g[:-1]] if total[g[:-1]] else 1.0 for g in grams}
+        side[c] = {g: (max(counts[c][g] - d, 0) / total[g[:-1]] if total[g[:-1]] else 0.0) + left[g[:-1]] * p[g[1:]] for g in grams}, left
+    return {g: math.log(side[1][0][g] / side[0][0][g]) for g in grams}, {x: math.log(side[1][1][x] / side[0][1][x]) for x in side[0][1]}
+
+
+def test_kneser_ney_equals_the_formulas(spark):
+    rows = [("You zqurv fool, go away!", 1), ("zqurva  zqurv\n\n", 1), ("Go away now, said the fool", 0), ("été 12 an old tale", 0), ("an old an old tale", 0), (None, 0), ("...", 1)]
+    grams = toxicity.gram_counts(spark.createDataFrame([(t, y, False) for t, y in rows], "text string, toxic int, apart boolean"))
+    seen, unseen = toxicity.differences(grams)
+    want_seen, want_unseen = plain_differences(rows)
+    for got, want, key in ((seen, want_seen, "gram"), (unseen, want_unseen, "context")):
+        found = {r[key]: r.d for r in got.collect()}
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    block = toxicity.tables(grams)[0].value
+    text = "the fool went away, qzurv!"
+    s, n = plain_stream(text), toxicity.ORDER
+    plain = [want_seen.get(s[i : i + n], want_unseen.get(s[i : i + n - 1], 0.0)) for i in range(len(s) - n + 1)]
+    assert np.allclose(block.differences(toxicity.streams([text])[0]), plain, atol=1e-6)
+
+
+def test_blocks_and_parts_of_texts_change_nothing(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    docs = docs.union(table(spark, {2000: "zqurva " * 3 + "und ein langer text " * 3000}))
+    want = {r.doc_id: r.score for r in toxicity.held_out_scores(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "TABLE_ROWS", 900)
+    got = {r.doc_id: r.score for r in toxicity.held_out_scores(docs, labels).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_evidence_crosses_spaces():
+    one, two = toxicity.streams(["go away", "goaway"]), toxicity.streams(["Go -- away", None])
+    assert one[0].tolist()[: one[1][1]] == two[0].tolist()[: two[1][1]] != one[0].tolist()[one[1][1] :]
+    d = np.zeros(100)
+    d[10:16] = 1
+    found = toxicity.features_of(d)
+    assert found[0] == 1 and abs(found[1] - 0.5) < 1e-12 and abs(found[len(toxicity.STRONGEST)] - 0.5) < 1e-12 and abs(found[-2] - 0.06) < 1e-12
+
+
+def test_only_letters_have_a_language(spark):
+    network = language_id.Network(["aa", "bb"])
+    assert network.predict(["²", "½ 3", "①", "Ⅷ", "", None, "x", "1é"])[0][:6] == ["und"] * 6
+    assert "und" not in network.predict(["x", "1é"])[0]
+
+
+def test_network_equals_plain_sums():
+    """Log-probabilities of windows, and their weighted means, by plain loops."""
+    network, text = language_id.Network(["aa", "bb", "cc"], 3), "Ein Text, der länger ist. " * 14 + "123 456 " * 30
+    p, windows = network.p, language_id.windows_of(text.encode())
+    z = np.zeros((len(windows), 3))
+    for k, window in enumerate(windows):
+        pooled = []
+        for f in range(language_id.FILTERS * len(language_id.WIDTHS)):
+            width = language_id.WIDTHS[f // language_id.FILTERS]
+            places = range(language_id.WINDOW - language_id.WIDEST + 1)
+            pooled.append(max(sum(float(p["embed"][window[i + j]] @ p["kernel"][j, :, f]) for j in range(width)) for i in places) + p["bias"][f])
+        y = np.maximum(pooled, 0) @ p["out"] + p["out_bias"]
+        z[k] = y - math.log(np.exp(y).sum())
+    weights = np.array([sum(chr(b).isascii() and chr(b).isalpha() or b > 127 for b in w.tolist()) for w in windows])
+    mean = np.exp((z * weights[:, None]).sum(0) / weights.sum())
+    names, scores = network.predict([text])
+    assert names == [network.languages[int(mean.argmax())]] and abs(scores[0] - mean.max() / mean.sum()) < 1e-4
+
+
+def test_rare_languages_are_learned(spark):
+    letters = {"aa": "abcdefg ", "bb": "hijklmn "}
+    r = random.Random(2)
+    rows = [(k, "".join(r.choice(letters["bb" if k in (6, 12) else "aa"]) for _ in range(300)), "bb" if k in (6, 12) else "aa") for k in range(300)]
+    assert language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).languages == ["aa", "bb"]
