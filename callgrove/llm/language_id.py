@@ -1,20 +1,23 @@
 """Operator 9: language identification by a byte convolutional network.
 
 Bytes are embedded; filters of widths 2, 3 and 4 run over fixed-length windows; each filter's maximum over a window feeds
-a softmax. The network is trained in numpy by Adam on windows of a bounded sample of the learning rows (SAMPLE_DOCS by
-hash, WINDOWS_PER_DOC each). Whole texts are cut into windows that overlap by the widest filter less one, and the mean of
-the windows' log-probabilities, weighted by their letters' bytes, decides. All filters are one matrix product.
+a softmax. The network is trained in numpy by Adam on windows of a bounded sample of the learning rows: of every language
+that occurs in them, SAMPLE_DOCS shared evenly, by a hash, WINDOWS_PER_DOC each. Whole texts are cut into windows that
+overlap by the widest filter less one, and the mean of the windows' log-probabilities decides, weighted by the bytes of
+each window that can belong to letters (ASCII letters and all bytes beyond ASCII). All filters are one matrix product.
+
+A letter is a character of Unicode's class L, so that digits, fractions, circled and Roman numerals are none.
 
 Defined results: texts that are null or hold no letter are `und` with score 0; a null doc_id is not held out and teaches
 nothing; without learning rows all texts are `und`; with one language all texts with a letter get it; repeated rows get
-equal results. Null languages teach nothing.
+equal results; of equal probabilities the language that is first by name wins. Null languages teach nothing. predict()
+keeps other columns and replaces those named like its own.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +28,10 @@ from callgrove.llm.common import add_columns
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 12, (2, 3, 4)
 SAMPLE_DOCS, WINDOWS_PER_DOC, STEPS, BATCH = 6000, 3, 700, 96
 WIDEST = max(WIDTHS)
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
+#: Bytes that can belong to letters.
+WEIGHED = np.zeros(256, np.float64)
+WEIGHED[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
 def windows_of(data: bytes) -> np.ndarray:
@@ -109,13 +115,15 @@ class Network:
 
         def flush() -> None:
             if owners:
-                np.add.at(sums, owners, self.log_probabilities(np.concatenate(held)))
+                windows = np.concatenate(held)
+                weights = WEIGHED[windows].sum(1)
+                np.add.at(sums, owners, self.log_probabilities(windows) * weights[:, None])
+                np.add.at(counts, owners, weights)
                 held.clear()
                 owners.clear()
 
         for k in known:
             windows = windows_of(texts[k].encode())
-            counts[k] = len(windows)
             for at in range(0, len(windows), block):
                 part = windows[at : at + block]
                 if len(owners) + len(part) > block:
@@ -132,14 +140,17 @@ class Network:
 
 
 def fit(docs: DataFrame, learn: Column) -> Network:
-    """A network from a bounded sample of the rows that may teach: SAMPLE_DOCS at most, chosen by a hash."""
+    """A network from a bounded sample of the rows that may teach: about SAMPLE_DOCS, evenly from all languages, chosen by a hash."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    total = rows.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, total))
-    spread = F.pmod(F.xxhash64("doc_id", F.lit("network")), F.lit(1 << 20)) < int(share * (1 << 20))
+    totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    languages = sorted(totals)
+    if not languages:
+        return Network([])
+    each = max(1, SAMPLE_DOCS // len(languages))
+    shares = docs.sparkSession.createDataFrame([(x, max(1, min(1 << 20, int(each / totals[x] * (1 << 20))))) for x in languages], "lang string, least int")
+    spread = F.pmod(F.xxhash64("doc_id", F.lit("network")), F.lit(1 << 20)) < F.col("least")
     cut = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)), lambda i: F.substring("text", (F.pmod(F.xxhash64("doc_id", i), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int"), WINDOW))
-    got = rows.where(spread).select("lang", cut.alias("parts")).collect()
-    languages = sorted({r.lang for r in got})
+    got = rows.join(F.broadcast(shares), "lang").where(spread).select("lang", cut.alias("parts")).collect()
     network = Network(languages)
     data = [(p.encode()[:WINDOW], languages.index(r.lang)) for r in got for p in r.parts if LETTER.search(p)]
     if len(languages) > 1 and data:
