@@ -1,9 +1,10 @@
 """Operator 6: token counts of whole texts; huge texts by overlapping chunks that are spliced at stable boundaries.
 
-A boundary between two characters is stable if no piece of the vocabulary holds these two side by side: a merge across it
-would make such a piece, so the merges on either side are those of the whole text. A huge text is encoded in chunks that
-overlap, with offsets; two neighbours are spliced at a stable boundary inside their overlap where both have a token
-boundary. Without one the overlap is doubled, up to the rest of the text.
+A huge text is encoded in chunks that overlap, with offsets. Two neighbours are spliced where both encodings have a token
+boundary in their overlap, at a boundary that is proven stable: no piece of the vocabulary holds the characters on its two
+sides next to each other, and a merge across it would make such a piece, so the merges on either side are those of the
+whole text. Where the encodings don't align so, the overlap is widened: doubled to the left, down to what is counted
+already, then to the right, up to the rest of the text, which is encoded as a whole in the end.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated rows are counted alike; an input column named
 like an output column is replaced.
@@ -28,6 +29,7 @@ class PieceCounter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.huge, self.chunk, self.overlap = huge, chunk, overlap
+        self.widened = 0
         self.inside = set()
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
@@ -47,15 +49,21 @@ class PieceCounter:
         """Where the tokens of data start."""
         return np.fromiter((p.begin for p in self.model.encode(data.decode(), return_type="proto").pieces), np.int64)
 
-    def stable(self, data: bytes, low: int, high: int) -> int | None:
-        """The first stable boundary of data after low and before high."""
-        text = data[low:high].decode().replace(" ", SPACE)
-        at = low
-        for x, y in zip(text, text[1:]):
-            at += 1 if x == SPACE and data[at] == 32 else len(x.encode())
-            if (x, y) not in self.inside:
-                return at
-        return None
+    def stable(self, data: bytes, at: int) -> bool:
+        """Whether no piece holds the characters before and after this place next to each other."""
+        before = at - 1
+        while data[before] & 0xC0 == 0x80:
+            before -= 1
+        after = at + 1
+        while after < len(data) and data[after] & 0xC0 == 0x80:
+            after += 1
+        x, y = (c.decode().replace(" ", SPACE) for c in (data[before:at], data[at:after]))
+        return (x, y) not in self.inside
+
+    def aligned(self, data: bytes, own: np.ndarray, other: np.ndarray, low: int, high: int) -> int | None:
+        """The first stable boundary between low and high where tokens of both encodings start."""
+        common = np.intersect1d(own, other)
+        return next((at for at in common[(common > low) & (common < high)].tolist() if self.stable(data, at)), None)
 
     def spliced(self, data: bytes) -> int:
         """Tokens of a huge text, in the same number as if it were encoded as a whole."""
@@ -66,23 +74,26 @@ class PieceCounter:
             return min(at, len(data))
 
         total = begin = counted = 0  # begin: of the chunk; counted: up to here the tokens are in total
-        while True:
-            end = edge(begin + max(self.chunk, 2 * (counted - begin)))
-            overlap, cut, start = self.overlap, None, end
-            while end < len(data):
-                start = edge(max(end - overlap, counted))
-                cut = self.stable(data, start, end)
-                if cut is not None:
-                    break
-                overlap *= 2
-                end = edge(end + overlap)
-            own = self.starts(data[begin:end]) + begin
-            if end >= len(data):
-                return total + int((own >= counted).sum())
-            if cut not in own:
-                raise ValueError(f"the encodings differ at the stable boundary {cut}")
+        end = edge(self.chunk)
+        own = self.starts(data[begin:end]) + begin
+        while end < len(data):
+            overlap, cut = self.overlap, None
+            while cut is None:
+                start = max(edge(end - overlap), counted)
+                stop = edge(start + max(self.chunk, 2 * (end - start)))
+                other = self.starts(data[start:stop]) + start
+                cut = self.aligned(data, own, other, start, end)
+                if cut is None:
+                    self.widened += 1
+                    overlap *= 2
+                    if start == counted:  # nothing is left to share: the chunk itself grows
+                        end = edge(end + max(self.chunk, end - begin))
+                        own = self.starts(data[begin:end]) + begin
+                        if end >= len(data):
+                            return total + int((own >= counted).sum())
             total += int(((own >= counted) & (own < cut)).sum())
-            begin, counted = start, cut
+            begin, counted, end, own = start, cut, stop, other
+        return total + int((own >= counted).sum())
 
 
 _loaded: dict = {}
