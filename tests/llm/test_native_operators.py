@@ -3,6 +3,8 @@
 import io
 from contextlib import redirect_stdout
 
+from pyspark.sql import functions as F
+
 from callgrove.llm import decontaminate, quality_rules, secret_scan
 from tests.llm import brute
 from tests.llm.data import empty, table, texts
@@ -88,3 +90,17 @@ def test_windows_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 50)
     got = decontaminate.contamination(table(spark, docs), spark.createDataFrame(list(items.items()), "item_id long, text string"))
     assert sorted(map(tuple, got.collect())) == sorted(brute.contamination(docs.items(), items.items()))
+
+
+def test_slow_rules_go_last(spark):
+    """Of two rules that reject the same rows the slower one comes later, whatever their names and order."""
+    docs = texts()
+    rules = {
+        "a_slow": (F.length(F.regexp_replace(F.repeat(F.coalesce("text", F.lit("")), 40), "[aeiou]+x?", "")) >= 0) & (F.col("n_words") < 120),
+        "b_fast": F.col("n_words") < 120,
+        "c_never": F.col("n_words") < 0,
+    }
+    order = [name for name, _, _ in quality_rules.measured_order(quality_rules.base_figures(table(spark, docs)), rules)]
+    assert order == ["b_fast", "a_slow", "c_never"]
+    shares = {n: x for n, _, x in quality_rules.measured_order(quality_rules.base_figures(table(spark, docs)), rules)}
+    assert shares["a_slow"] == shares["b_fast"] > 0 == shares["c_never"]
