@@ -7,7 +7,8 @@ would begin, the length bound keeps it inside the document, and the words there
 Windows are broadcast in blocks of a fixed number of rows, so a large benchmark means more passes and not more memory.
 
 Defined results: null and empty texts have no words and no hits; repeated documents get equal results; rows that share a
-doc_id with different texts are judged apart; items that repeat count once each by item_id; an empty benchmark hits nothing.
+doc_id with different texts are judged apart; items that repeat count once each by item_id; an empty benchmark hits nothing; other
+columns are dropped by contamination() and kept by clean(), whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callgrove.llm.common import sized, written
+from callgrove.llm.common import free_name, sized, written
 from callgrove.llm.native import ascii_lower, let
 
 #: Characters that part words, and windows in one broadcast (some 40 MB at 200 bytes a window).
@@ -77,7 +78,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """docs that hold no window of the benchmark."""
-    hit = written(occurrences(docs.select("doc_id", "text"), benchmark, size).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct(), "hits")
+    """docs that hold no window of the benchmark, with all their columns."""
+    hit_id, hit_key = free_name(docs, "hit_id"), free_name(docs, "hit_key")
+    found = occurrences(docs.select("doc_id", "text"), benchmark, size).select(F.col("doc_id").alias(hit_id), F.col("text_key").alias(hit_key)).distinct()
+    hit = written(found, "hits")
     key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    return docs.join(sized(hit), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (key == F.col("hit_key")), "left_anti")
+    return docs.join(sized(hit), F.col("doc_id").eqNullSafe(F.col(hit_id)) & (key == F.col(hit_key)), "left_anti")

@@ -9,15 +9,15 @@ Only documents that hold an anchor are taken apart. Bins bound each key by the r
 
 Defined results: a null or empty text has no spans; positions are code points, end exclusive; repeated rows (same doc_id
 and text) get equal results; rows that share a doc_id with different texts are scanned apart; a null doc_id stays null;
-other columns of the input are dropped by scan() and kept by redact().
+other columns of the input are dropped by scan() and kept by redact(), whatever their names; n_chars is made again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callgrove.llm.common import sized, written
+from callgrove.llm.common import free_name, sized, written
 from callgrove.llm.native import let, sums_before
 
 #: Code points between the starts of parts that belong together.
@@ -105,20 +105,29 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     return got.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def runs_of(found: DataFrame) -> DataFrame:
+    """doc_id, text_key and the runs (start, end) of overlapping spans in order, from rows of (doc_id, text_key, spans)."""
+    spans = found.select("doc_id", "text_key", F.explode("spans").alias("s")).select("doc_id", "text_key", "s.start", "s.end").distinct()
+    own = Window.partitionBy("doc_id", "text_key").orderBy("start", "end")
+    reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = spans.withColumn("begins", F.coalesce(F.col("start") >= reached, F.lit(True)).cast("int")).withColumn("run", F.sum("begins").over(own))
+    runs = numbered.groupBy("doc_id", "text_key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))  # those of one text
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -> DataFrame:
     """docs with every span, or run of overlapping spans, of their texts replaced by a mark; n_chars follows the text."""
     found = all_spans(docs.select("doc_id", "text"), reach).where(F.size("spans") > 0)
-    spans = found.groupBy(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key")).agg(F.first("spans").alias("spans"))
-    spans = sized(written(spans, "spans"), 500_000)
-    keyed = docs.withColumn("__key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    both = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("__key") == F.col("span_key")), "left")
+    span_id, span_key, runs, key = (free_name(docs, n) for n in ("span_id", "span_key", "span_runs", "own_key"))
+    spans = sized(written(runs_of(found).toDF(span_id, span_key, runs), "spans"), 500_000)
+    keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    both = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col(span_id)) & (F.col(key) == F.col(span_key)), "left")
 
     def cut(s: Column) -> Column:
-        ends = F.transform(s, lambda x: x["end"])
-        before = lambda k: F.when(k == 0, F.lit(0).cast("long")).otherwise(F.array_max(F.slice(ends, F.lit(1), k)))
-        part = lambda x, k: let(before(k), lambda b: F.when(x["start"] < b, F.lit("")).otherwise(F.concat(F.col("text").substr((b + 1).cast("int"), (x["start"] - b).cast("int")), F.lit(mark))))
-        return F.concat(F.array_join(F.transform(s, part), ""), F.col("text").substr((F.array_max(ends) + 1).cast("int"), F.length("text")))
+        before = lambda k: F.when(k == 0, F.lit(0).cast("long")).otherwise(s[F.greatest(k - 1, F.lit(0))]["end"])
+        part = lambda x, k: F.concat(F.col("text").substr((before(k) + 1).cast("int"), (x["start"] - before(k)).cast("int")), F.lit(mark))
+        return F.concat(F.array_join(F.transform(s, part), ""), F.col("text").substr((s[F.size(s) - 1]["end"] + 1).cast("int"), F.length("text")))
 
-    changed = both.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(let(F.col("spans"), cut)))
-    columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    changed = both.withColumn("text", F.when(F.col(runs).isNull(), F.col("text")).otherwise(let(F.col(runs), cut)))
+    columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return changed.select(*columns)

@@ -17,7 +17,8 @@ BAND_ROWS hashes), hits are candidates only, and each link is verified on the se
 
 Defined results: null, empty and word-less texts have fingerprint zero and are linked like others (in the stage they are one class); a text of fewer words
 than a shingle is one shingle; repeated rows share a class; a null doc_id never names a component unless all of its
-component's are null; an empty table gives no rows.
+component's are null; an empty table gives no rows; other columns are dropped but by first_of_each(), which keeps them
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,13 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callgrove.llm.common import add_columns, sized, written
+from callgrove.llm.common import add_columns, free_name, sized, written
 
 SEED = 42
 #: Members of a block of a posting.
 BLOCK = 1024
-#: Positions and probes of probing_triples.
-LONG_BITS, PROBES = 1024, 128
 #: Postings of a shingle set, least hashes in each, and how many of all must agree for a pair to be verified: at similarity 0.8
 #: a pair shares a posting but for 3 in a million, and agrees in fewer hashes once in 10**8.
 BANDS, BAND_ROWS, AGREE = 24, 4, 54
@@ -108,12 +107,6 @@ def covering_triples(positions: int = 8) -> list[tuple[int, ...]]:
     return [t for t in combinations(range(positions), 3) if taken(t)]
 
 
-def probing_triples(positions: int = LONG_BITS // 8, probes: int = PROBES) -> list[tuple[int, ...]]:
-    """A fixed set of triples that use all positions alike."""
-    step = positions // 3
-    return [(i % positions, (i + step + i // positions) % positions, (i + 2 * step + 3 * (i // positions)) % positions) for i in range(probes)]
-
-
 def postings(prints: DataFrame, triples: list[tuple[int, ...]]) -> DataFrame:
     """key and fp_id of each distinct fingerprint (fp_id, fingerprint) under each triple of positions."""
     places = np.array(triples)
@@ -259,16 +252,18 @@ def set_postings(prints: DataFrame) -> DataFrame:
                 some = b[:, :8].any(1)
                 bands = np.ascontiguousarray(b[some, 24:]).view("<u8")
                 keys = np.stack([widened(bands[:, k], k + 1) for k in range(BANDS)], axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy()[some], BANDS)), pa.array(keys.ravel())], names=["fp_id", "key"])
+                named = batch.column(0).take(pa.array(np.repeat(np.flatnonzero(some), BANDS)))
+                yield pa.RecordBatch.from_arrays([named, pa.array(keys.ravel())], names=["fp_id", "key"])
 
-    return prints.select("fp_id", "fingerprint").mapInArrow(post, "fp_id long, key long")
+    return prints.select("fp_id", "fingerprint").mapInArrow(post, "fp_id binary, key long")
 
 
-def similar(sets: list[np.ndarray], least: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+def similar(sets: list[np.ndarray], lengths: np.ndarray, least: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
     """Which of the others have a set whose similarity with that of x (shared of the union) is 0.8 or more."""
-    sizes = np.array([len(sets[y]) for y in others.tolist()])
+    sizes = lengths[others]
     both = 4 * (sizes + len(sets[x]))
-    maybe = (9 * np.minimum(sizes, len(sets[x])) >= both) & ((least[others] == least[x]).sum(1) >= AGREE)
+    maybe = 9 * np.minimum(sizes, len(sets[x])) >= both
+    maybe[maybe] = (least[others[maybe]] == least[x]).sum(1) >= AGREE
     found = np.zeros(len(others), bool)
     if maybe.any():
         flat = np.concatenate([sets[y] for y in others[maybe].tolist()])
@@ -282,18 +277,19 @@ def similar(sets: list[np.ndarray], least: np.ndarray, x: int, others: np.ndarra
 def set_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of the groups (key, i, j) in batches of (key, i, j, fp_id, fingerprint, shingles) sorted by these: a spanning forest of the similar pairs."""
 
-    def linked(rows: list[tuple[int, bytes, bytes]]) -> tuple[list[int], list[int]]:
+    def linked(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[list[bytes], list[bytes]]:
         if not rows:
             return [], []
         ids = [r[0] for r in rows]
         sets = [np.frombuffer(r[2], "<u8") for r in rows]
         least = np.stack([np.frombuffer(r[1], "<u2", offset=24) for r in rows])
+        lengths = np.array([len(x) for x in sets])
         left, a, b = np.arange(len(rows)), [], []
         while len(left):
             queue, left = [int(left[0])], left[1:]
             while queue and len(left):
                 x = queue.pop()
-                near = similar(sets, least, x, left)
+                near = similar(sets, lengths, least, x, left)
                 for y in left[near].tolist():
                     queue.append(y)
                     a.append(ids[x])
@@ -301,8 +297,8 @@ def set_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left = left[~near]
         return a, b
 
-    def out(found: list[tuple[list[int], list[int]]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x for pair in found for x in pair[k]], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    def out(found: list[tuple[list[bytes], list[bytes]]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for pair in found for x in pair[k]], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     group, rows = None, []
     for batch in batches:
@@ -339,7 +335,7 @@ def set_links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     met = placed.select("key", "fp_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp_id").join(sets, "fp_id")
     dealt = met.select("key", "i", "j", "fp_id", "fingerprint", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp_id")
-    return dealt.mapInArrow(set_forests, "a long, b long").distinct()
+    return dealt.mapInArrow(set_forests, "a binary, b binary").distinct()
 
 
 def labelled(docs: DataFrame, prints: Callable[[DataFrame], DataFrame], links: Callable[[DataFrame], DataFrame], fp_id: Column) -> DataFrame:
@@ -373,16 +369,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     BAND_ROWS least hashes, which a pair of similarity s does in a band with probability s ** 4: at 0.8 one of the 24 bands
     fails to show it in 3 pairs of a million, above it less. Links are exact (up to equal 64-bit hashes of shingles).
     """
-    return labelled(docs, lambda rows: set_prints(rows, 5), lambda classes: set_links(classes, docs, 5), F.xxhash64("fingerprint")).drop("fingerprint")
+    return labelled(docs, lambda rows: set_prints(rows, 5), lambda classes: set_links(classes, docs, 5), F.substring("fingerprint", 9, 16)).drop("fingerprint")
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the near-duplicates: of each component one row stays, that of the smallest doc_id (then text_key)."""
+    """docs without the near-duplicates, with all their columns: of each component one row stays.
+
+    It is that of the smallest doc_id (null last), then of the smallest hash of its text, then of the smallest hash of all columns.
+    """
     named = near_duplicates(docs)
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     marked = written(named.select("doc_id", "text_key", same.alias("stays")), "marked")
-    gone = marked.where(~F.col("stays")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    other_id, other_key = free_name(docs, "other_id"), free_name(docs, "other_key")
     key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    kept = docs.join(sized(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (key == F.col("gone_key")), "left_anti")
-    again = marked.where("stays").groupBy("doc_id", "text_key").count().where("count > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+
+    def joined(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        there = sized(keys.select(F.col("doc_id").alias(other_id), F.col("text_key").alias(other_key)).distinct())
+        return rows.join(there, F.col("doc_id").eqNullSafe(F.col(other_id)) & (key == F.col(other_key)), how)
+
+    kept = joined(docs, marked.where(~F.col("stays")), "left_anti")
+    again = written(marked.where("stays").groupBy("doc_id", "text_key").count().where("count > 1"), "repeated")
+    if again.isEmpty():
+        return kept
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = joined(kept, again, "left_semi").groupBy(F.col("doc_id"), key).agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("row"))
+    return joined(kept, again, "left_anti").unionByName(repeated.select("row.*"))

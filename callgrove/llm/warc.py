@@ -6,7 +6,7 @@ member at a time; the content length frames each record, and block and payload d
 
 Defined results: a null html is the empty payload; a null url becomes an empty target; null page_ids count as smaller than
 all others (and refer to nothing if no other page has the payload); rows that repeat the largest page_id with the same
-payload are all responses; payloads shorter than min_bytes are always responses; an empty table gives no records.
+payload are all responses; payloads shorter than min_bytes are always responses; an empty table gives no records; other columns are not written.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrove.llm.common import make_folder, new_folder, opened, put_file
+from callgrove.llm.common import make_folder, new_folder, opened, put_file, sized, written
 
 #: Compressed bytes at which an archive is closed, and that the reader takes at a time.
 ARCHIVE, READ = 64 << 20, 1 << 16
+#: Payloads of several pages up to which their table is broadcast (some 120 bytes each); more are joined by shuffling.
+BROADCAST_GROUPS = 300_000
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WHEN = "2020-01-01T00:00:00Z"
@@ -136,7 +138,7 @@ def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     keyed = keyed.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     groups = keyed.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = keyed.join(groups, "digest", "left")
+    joined = keyed.join(sized(written(groups, "warc-groups"), BROADCAST_GROUPS), "digest", "left")
     return joined.select("page_id", "url", "html", F.when(F.coalesce(F.col("page_id") < F.col("original"), F.col("original").isNotNull()), F.col("original")).alias("refers_to"))
 
 
