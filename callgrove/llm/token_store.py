@@ -4,16 +4,18 @@ File: zstandard frames of ids (little-endian unsigned 32-bit integers), a skippa
 the seek table of the seekable zstandard format: for each frame its two sizes and a checksum (low half of XXH64 of the
 plain bytes). A reader takes the table from the end of the file and decompresses only the frames of the wanted documents.
 
-Documents are dealt to files by ranges of (doc_id, hash of text), so files in order hold ascending doc_id, and rows that
-share a doc_id but not a text spread over files. A manifest table keeps each file's path and number of ids.
+Documents are dealt to files by ranges of (doc_id, hash of text, place in the input), so files in order hold ascending doc_id, and
+rows that share a doc_id, or are equal, spread over files. A manifest table keeps each file's path and number of ids.
 
 Defined results: a null text counts as empty and is the end id alone; rows with a null doc_id come first; rows with equal
-doc_id lie next to each other, each with its own start; an empty table gives no file and no rows.
+doc_id lie next to each other, each with its own start; an empty table gives no file and no rows; columns but doc_id and text are not
+written.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import re
 import struct
 import zlib
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -34,10 +37,12 @@ FRAME, FILE_IDS = 1 << 18, 1 << 27
 #: Fixed values of the seekable format: skippable frames, and the magic number at the end.
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "<u1"), ("start", "<u8"), ("n", "<u8")])
-#: Chunks of text, and letters of words, whose ids a process keeps.
-MEMO, CORES = 900_000, 1_200_000
-#: Letters of one byte in Latin-1, which are in composed form and have simple lower case, and marks after them.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+#: Documents encoded at once; chunks of text, and letters of words, whose ids a process keeps.
+SLICE, MEMO, CORES = 1024, 900_000, 1_200_000
+#: Letters of one byte in Latin-1, which are in composed form and have simple lower case, and marks after them; or anything else.
+LINES = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)|(.*))$", re.MULTILINE)
+#: A character that is a token of its own between white space, and no letter or digit.
+MARK = "\x00"
 
 
 class StoreWriter:
@@ -110,56 +115,111 @@ class StoreReader:
             low, k = base + len(plain), k + 1
 
 
+class WholeTokenizer:
+    """Ids by the tokenizers library, a text at a time: for vocabularies whose words can't be told apart beforehand."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def pack(self, texts: list) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in got]
+
+
 class ChunkTokenizer:
-    """Ids by the tokenizers library, with two bounded memos.
+    """Ids by the tokenizers library, with two bounded memos, for lower-case vocabularies with word ends.
 
     White space parts tokens in these vocabularies, so a chunk between it is encoded alone. A chunk of plain letters and
-    marks after them is two tokens at least, and case does not matter, so its letters are looked up in lower case.
+    marks after them is two tokens at least, and case does not matter, so its letters are looked up in lower case. Letters
+    go to the library's model without its normaliser, which would leave them as they are, and their ids part where a token
+    ends a word; other chunks go to the whole tokenizer with a mark between them that is a token of its own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.chunks, self.cores = Tokenizer.from_file(path), {}, {}
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        """Packed ids of each of the words, which hold no white space; many go to the library as one text."""
+        config = json.loads(self.tokenizer.to_str())
+        suffix, level = config["model"]["end_of_word_suffix"], {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.letters = Tokenizer.from_str(json.dumps(config | {"normalizer": None, "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, level]}}))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        if len(self.mark) != 1:
+            raise ValueError("the vocabulary has no token of its own for the mark")
+
+    @staticmethod
+    def fits(path: str) -> bool:
+        """Whether a tokenizer file lowers case, drops white space and marks the ends of words."""
+        with open(path, encoding="utf-8") as file:
+            config = json.load(file)
+        steps = [x["type"] for x in (config["normalizer"] or {}).get("normalizers", [])]
+        split = ((config["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        return config["model"].get("end_of_word_suffix") == "</w>" and steps == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and r"[\p{L}]+" in (split.get("pattern") or {}).get("Regex", "")
+
+    def ids(self, tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def encode_letters(self, words: list[str]) -> list[bytes]:
+        """Packed ids of lower-case words of plain letters; many go to the library as one text."""
         out = []
-        for at in range(0, len(words), 512):
-            some = words[at : at + 512]
-            starts = np.cumsum([0, *[len(w) + 1 for w in some]])
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            packed = np.array(got.ids, "<u4").tobytes()
-            cuts = (4 * np.searchsorted(np.fromiter((x[0] for x in got.offsets), np.int64, len(got.ids)), starts)).tolist()
+        for at in range(0, len(words), 4096):
+            ids = self.ids(self.letters, " ".join(words[at : at + 4096]))
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            packed = ids.tobytes()
             out += [packed[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
-    def learn(self, new: list[bytes]) -> None:
-        parts = [(w, m[1].lower(), m[2]) if (m := PLAIN(w)) else (w, w, "") for w in (x.decode() for x in new)]
-        wanted = {x for _, core, tail in parts for x in (core, tail) if x}
-        if len(self.cores) + len(wanted) > CORES:
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of any chunks without white space; those with the mark in them go alone."""
+        out, apart = {}, [c for c in chunks if MARK in c]
+        for c in apart:
+            out[c] = self.ids(self.tokenizer, c).tobytes()
+        others = [c for c in chunks if c not in out]
+        for at in range(0, len(others), 1024):
+            some = others[at : at + 1024]
+            ids = self.ids(self.tokenizer, f" {MARK} ".join(some))
+            stops = np.flatnonzero(ids == self.mark[0])
+            starts, packed = [0, *(4 * (stops + 1)).tolist()], ids.tobytes()
+            out.update(zip(some, [packed[a:b] for a, b in zip(starts, [*(4 * stops).tolist(), len(packed)])], strict=True))
+        return [out[c] for c in chunks]
+
+    def learn(self, new: list[bytes]) -> list[bytes]:
+        """Packed ids of chunks, which are kept."""
+        parts = [(core.lower(), tail, other) for core, tail, other in LINES.findall(b"\n".join(new).decode())]
+        cores = {core for core, _, _ in parts if core}
+        rest = {x for _, tail, other in parts for x in (tail, other) if x}
+        if len(self.cores) + len(cores) + len(rest) > CORES:
             self.cores.clear()
-        missing = list(wanted.difference(self.cores))
-        self.cores.update(zip(missing, self.encode(missing), strict=True))
-        cores = self.cores
-        for key, (_, core, tail) in zip(new, parts, strict=True):
-            self.chunks[key] = cores[core] + cores[tail] if tail else cores[core]
+        known = self.cores
+        for missing, encode in ((list(cores.difference(known)), self.encode_letters), (list(rest.difference(known)), self.encode_chunks)):
+            known.update(zip(missing, encode(missing), strict=True))
+        got = [known[core] + known[tail] if tail else known[core or other] for core, tail, other in parts]
+        self.chunks.update(zip(new, got, strict=True))
+        return got
 
     def pack(self, texts: list) -> list[bytes]:
-        found, holes = [], []
-        for text in texts:
-            words = text.encode().split() if text else []
-            parts = list(map(self.chunks.get, words))
-            if None in parts:
-                holes += [(parts, i, words[i]) for i, x in enumerate(parts) if x is None]
-            found.append(parts)
-        new = {w for _, _, w in holes}
+        """Packed ids of each text: its chunks become numbers of distinct chunks, whose ids are taken in order."""
+        split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = pc.cast(coded.dictionary, pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.chunks.get, words))
+        new = [w for w, x in zip(words, ids) if x is None and w]
         if len(self.chunks) + len(new) > MEMO:
             self.chunks.clear()
-        self.learn(list(new))
-        for parts, i, word in holes:
-            parts[i] = self.chunks[word]
-        return [b"".join(parts) for parts in found]
+        if new:
+            fresh = iter(self.learn(new))
+            ids = [x if x is not None else next(fresh) if w else b"" for w, x in zip(words, ids)]
+        else:
+            ids = [x or b"" for x in ids]
+        taken = pa.array(ids, pa.large_binary()).take(coded.indices)
+        taken = taken.combine_chunks() if isinstance(taken, pa.ChunkedArray) else taken
+        ends = np.frombuffer(taken.buffers()[1], "<i8", len(taken) + 1, 8 * taken.offset)[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        data = taken.buffers()[2]
+        return [data[a:b].to_pybytes() if data is not None else b"" for a, b in zip(ends, ends[1:])]
 
 
 _loaded: dict = {}
@@ -169,8 +229,8 @@ def write_store(df: DataFrame, tokenizer_path: str, end_id: int, partitions: int
     """Encodes df (doc_id, text), writes the files and their manifest; returns the folder."""
     spark = df.sparkSession
     folder = folder or new_folder(spark, "token-store")
-    keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("spread"))
-    sorted_docs = keyed.repartitionByRange(partitions, "doc_id", "spread").sortWithinPartitions("doc_id", "spread").drop("spread")
+    keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("spread"), F.monotonically_increasing_id().alias("place"))
+    sorted_docs = keyed.repartitionByRange(partitions, "doc_id", "spread", "place").sortWithinPartitions("doc_id", "spread", "place").drop("spread", "place")
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +239,7 @@ def write_store(df: DataFrame, tokenizer_path: str, end_id: int, partitions: int
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if tokenizer_path not in _loaded:
-            _loaded[tokenizer_path] = ChunkTokenizer(tokenizer_path)
+            _loaded[tokenizer_path] = (ChunkTokenizer if ChunkTokenizer.fits(tokenizer_path) else WholeTokenizer)(tokenizer_path)
         tokenizer, part = _loaded[tokenizer_path], TaskContext.get().partitionId()
         number, done = 0, []
         raw: io.BytesIO | None = None
@@ -195,8 +255,8 @@ def write_store(df: DataFrame, tokenizer_path: str, end_id: int, partitions: int
                 raw, store, number = None, None, number + 1
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
                 for doc_id, packed in zip(batch.column(0).to_pylist(), tokenizer.pack(batch.column(1).to_pylist()), strict=True):
                     if store is None:
                         raw = io.BytesIO()

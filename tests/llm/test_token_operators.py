@@ -72,6 +72,25 @@ def test_token_store(spark):
     assert token_store.read_store(spark, token_store.write_store(empty(spark), path, 2, 2)).count() == 0
 
 
+def test_store_ids_equal_the_library():
+    """Odd and random texts, with the memos emptied in between, against the library on whole texts."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, r = P.path("word_bpe_49k.json"), random.Random(3)
+    library, own = Tokenizer.from_file(path), token_store.ChunkTokenizer(path)
+    odd = ["a\x00b", " \x00 x", "It's 5 o'clock <|endoftext|> x<|startoftext|>y", "É\u0301 e\u0301 İ ΑΣ\u00a0x\u2028y ß ªº µ", "'s 't", "", None, "x\x1cy\x85z", "ÀÉ..,ab ab,,cd", "ﬁ Ⅷ ² ½", "a" * 3000, *texts().values()]
+    odd += ["".join(r.choice("aAbéÉ'. ,!1\u0301\x00ßΣ\u00a0\n\t\x1c日") for _ in range(r.randrange(60))) for _ in range(2000)]
+    for at in range(0, len(odd), 300):
+        got = own.pack(odd[at : at + 300])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t or "", add_special_tokens=False).ids for t in odd[at : at + 300]]
+        own.chunks.clear()
+    assert own.fits(path) and not own.fits(P.path("byte_bpe_50k.json"))
+    other = token_store.WholeTokenizer(P.path("byte_bpe_50k.json"))
+    assert np.frombuffer(other.pack(["It's 5"])[0], "<u4").tolist() == other.tokenizer.encode("It's 5", add_special_tokens=False).ids
+
+
 def test_token_store_finds_damage(tmp_path):
     import io
 
@@ -104,3 +123,12 @@ def test_token_counts(spark):
     for (k, text), n in zip(docs.items(), want):
         assert (got[k].n_tokens, got[k].n_bytes, got[k].over_limit) == (n, len((text or "").encode()), n > 4096)
     assert token_counts.count_tokens(empty(spark), model).count() == 0
+
+
+def test_token_counts_widen():
+    """Texts without a stable boundary in the first overlap, or in none."""
+    small = token_counts.PieceCounter(P.path("piece_bpe_32k.model"), huge=200, chunk=150, overlap=8)
+    for text, widens in (("the " * 100 + "一" * 3 + "th" * 60 + " 二 " + "a" * 400 + "三" + "b c" * 300, True), ("a" * 3000, True), ("一二三四五六七八九十" * 90, False)):
+        before = small.widened
+        assert small.counts([text]) == [len(small.model.encode(text))]
+        assert (small.widened > before) == widens, text[:20]
