@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from callgrove.llm.common import add_columns
 
 #: Pre-tokens of a long text that are held at once.
-BLOCK = 200_000
+BLOCK = 100_000
 #: Pre-tokens whose ids a process keeps: about 200 bytes each.
 MEMO = 400_000
 

@@ -38,7 +38,7 @@ from callgrove.llm.common import add_columns, free_name, sized, written
 #: Letters of a gram, of the short runs and how many of them, of the longer runs, labels that may be broadcast, rows of a class that the curve is fitted on.
 ORDER, RUN, STRONGEST, RUNS, BROADCAST_LABELS, CURVE_ROWS = 4, 6, (1, 2, 4, 8), (12, 24, 96), 4_000_000, 20_000
 #: Rows of the two tables in one broadcast (about 20 bytes each), and letters that a task counts or compares at once.
-TABLE_ROWS, COUNTED, COMPARED = 8_000_000, 4_000_000, 1_000_000
+TABLE_ROWS, COUNTED, COMPARED = 8_000_000, 500_000, 250_000
 FEATURES = len(STRONGEST) + len(RUNS) + 2
 SPACE = 32
 
