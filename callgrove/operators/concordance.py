@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,31 +101,41 @@ def cells(calls: DataFrame, dp: list[int], gq: list[int], laf: list[float], haf:
     })
 
 
-def grid_rows(spark, dp: list[int], gq: list[int], laf: list[float], haf: list[float]) -> DataFrame:
-    """The cross product of the thresholds, each with the least cell that passes it."""
-    rows = [(d, g, a, h, i + 1, j + 1, k + 1, m + 1) for i, d in enumerate(sorted(dp)) for j, g in enumerate(sorted(gq)) for k, a in enumerate(sorted(laf)) for m, h in enumerate(sorted(haf, reverse=True))]
-    return spark.createDataFrame(rows, "dp int, gq int, laf double, haf double, dp_at int, gq_at int, laf_at int, haf_at int")
-
-
 CELL = ["dp_cell", "gq_cell", "laf_cell", "haf_cell"]
 PARAMS = ["dp", "gq", "laf", "haf"]
 
 
-def _passes() -> Column:
-    return (F.col("dp_cell") >= F.col("dp_at")) & (F.col("gq_cell") >= F.col("gq_at")) & (F.col("laf_cell") >= F.col("laf_at")) & (F.col("haf_cell") >= F.col("haf_at"))
+def from_above(counts: np.ndarray, axes: range) -> np.ndarray:
+    """Running sums from the highest cell down along some axes."""
+    for axis in axes:
+        counts = np.flip(np.cumsum(np.flip(counts, axis), axis), axis)
+    return counts
 
 
 def confusion_grid(calls: DataFrame, samples: DataFrame, dp: list[int], gq: list[int], laf: list[float], haf: list[float]) -> DataFrame:
     """Masked confusion counts for every threshold set and platform.
 
-    The calls are reduced once to counts per cell, whose number does not depend on the data; only these meet the grid.
+    The calls are reduced once to counts per cell, whose number does not depend on the data. The cells of one (platform, call,
+    truth) are one small array, whose running sums along its four axes are the unmasked counts of every threshold set.
     """
+    shape = (len(dp) + 1, len(gq) + 1, len(laf) + 1, len(haf) + 1)
     placed = with_depth(cells(calls, dp, gq, laf, haf), samples)
     counts = placed.groupBy("depth", "gt", "gt_true", *CELL).agg(F.count("*").alias("n"))
-    few = by_platform(counts).groupBy("platform", "gt", "gt_true", *CELL).agg(F.sum("n").alias("n"))
-    met = few.crossJoin(F.broadcast(grid_rows(calls.sparkSession, dp, gq, laf, haf)))  # both sides of fixed size
-    call = F.when(_passes(), F.col("gt"))
-    return met.groupBy("platform", *PARAMS, format_gt(F.col("gt_true")).alias("true_gt"), format_gt(call).alias("call_gt")).agg(F.sum("n").alias("n"))
+    few = by_platform(counts).groupBy("platform", format_gt(F.col("gt")).alias("call_gt"), format_gt(F.col("gt_true")).alias("true_gt"), *CELL).agg(F.sum("n").alias("n"))
+    sets = list(product(sorted(dp), sorted(gq), sorted(laf), sorted(haf, reverse=True)))
+
+    def sweep(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
+        platform, call, true = key
+        grid = np.zeros(shape, np.int64)
+        np.add.at(grid, tuple(cell[c].to_numpy(int) for c in CELL), cell["n"].to_numpy(int))
+        total = int(grid.sum())
+        passed = from_above(grid, range(4))[1:, 1:, 1:, 1:].ravel() if call != "NA" else np.zeros(len(sets), np.int64)
+        out = pd.DataFrame(sets * 2, columns=PARAMS)
+        return out.assign(platform=platform, true_gt=true, call_gt=[call] * len(sets) + ["NA"] * len(sets), n=np.concatenate([passed, total - passed]))
+
+    schema = "dp int, gq int, laf double, haf double, platform string, true_gt string, call_gt string, n long"
+    swept = few.groupBy("platform", "call_gt", "true_gt").applyInPandas(sweep, schema)
+    return swept.where("n > 0").groupBy("platform", *PARAMS, "true_gt", "call_gt").agg(F.sum("n").alias("n"))
 
 
 def vmiss_grid(calls: DataFrame, samples: DataFrame, dp: list[int], gq: list[int], laf: list[float], haf: list[float]) -> DataFrame:
@@ -152,8 +163,7 @@ def vmiss_grid(calls: DataFrame, samples: DataFrame, dp: list[int], gq: list[int
                     owner = np.repeat(np.arange(len(rows)), rows["at"].map(len))
                     np.add.at(counts, (owner, np.concatenate(rows["at"].to_numpy())), np.concatenate(rows["called"].to_numpy()))
                     counts = counts.reshape(len(rows), *shape)
-                    for axis in range(1, 5):
-                        counts = np.flip(np.cumsum(np.flip(counts, axis), axis), axis)
+                    counts = from_above(counts, range(1, 5))
                     called = counts[:, 1:, 1:, 1:, 1:].reshape(len(rows), -1)
                     n = rows["n"].to_numpy()[:, None]
                     rate = (2 * (n - called) * 10_000 + n) // (2 * n)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,25 +47,31 @@ def het_f(calls: DataFrame) -> DataFrame:
     return got.withColumn("f", F.try_divide(F.col("o_hom") - F.col("e_hom"), F.col("n_called") - F.col("e_hom")))
 
 
+def exact_p(hom_ref: int, het: int, hom_alt: int) -> float | None:
+    """Exact Hardy-Weinberg p of one count triple, from running sums of the logs of neighbours' ratios; None without calls."""
+    n, rare = hom_ref + het + hom_alt, het + 2 * min(hom_ref, hom_alt)
+    if not n:
+        return None
+    h = np.arange(rare % 2, rare + 1, 2, dtype=np.float64)
+    a, b = (rare - h[1:]) / 2 + 1, n - (rare + h[1:]) / 2 + 1  # homozygotes at h - 2
+    logs = np.concatenate([[0.0], np.cumsum(np.log(4.0 * a * b / (h[1:] * (h[1:] - 1))))])
+    weights = np.exp(logs - logs.max())
+    return min(1.0, float(weights[logs <= logs[(het - rare % 2) // 2] + 1e-9].sum() / weights.sum()))
+
+
 def hwe_exact(counts: DataFrame) -> DataFrame:
     """counts with the exact Hardy-Weinberg p of (hom_ref, het, hom_alt); NULL without calls.
 
-    Each distinct triple is evaluated once: relative log-probabilities of all heterozygote counts of its parity are running
-    sums of the logs of neighbours' ratios, so no factorial is needed.
+    A narrow map: each triple is evaluated in its row, equal ones of a batch once, so nothing is shuffled or run twice.
     """
-    triple = ["hom_ref", "het", "hom_alt"]
-    rare = F.least(2 * F.col("hom_ref") + F.col("het"), 2 * F.col("hom_alt") + F.col("het"))
-    n = F.col("hom_ref") + F.col("het") + F.col("hom_alt")
-    distinct = counts.select(*triple).distinct().where(n > 0).withColumns({"rare": rare, "n": n})
-    steps = distinct.select("*", F.explode(F.sequence(F.col("rare") % 2, F.col("rare"), F.lit(2).cast("long"))).alias("h"))
-    a, b = (F.col("rare") - F.col("h")) / 2 + 1, F.col("n") - (F.col("rare") + F.col("h")) / 2 + 1  # homozygotes at h - 2
-    ratio = F.when(F.col("h") >= 2, F.log(4.0 * a * b / (F.col("h") * (F.col("h") - 1)))).otherwise(0.0)
-    each = Window.partitionBy(*triple)
-    logs = steps.withColumn("lp", F.sum(ratio).over(each.orderBy("h")))
-    seen = logs.withColumns({"top": F.max("lp").over(each), "own": F.max(F.when(F.col("h") == F.col("het"), F.col("lp"))).over(each)})
-    weight = F.exp(F.col("lp") - F.col("top"))
-    p = seen.groupBy(*triple).agg((F.sum(F.when(F.col("lp") <= F.col("own") + 1e-9, weight).otherwise(0.0)) / F.sum(weight)).alias("p"))
-    return counts.join(sized(p), triple, "left").select(*counts.columns, F.least("p", F.lit(1.0)).alias("p"))
+
+    @F.pandas_udf("double")
+    def p(hom_ref: pd.Series, het: pd.Series, hom_alt: pd.Series) -> pd.Series:
+        triples = list(zip(hom_ref.tolist(), het.tolist(), hom_alt.tolist()))
+        known = {t: exact_p(*map(int, t)) for t in set(triples)}
+        return pd.Series([known[t] for t in triples], dtype="float64")
+
+    return counts.select(*counts.columns, p("hom_ref", "het", "hom_alt").alias("p"))
 
 
 def sd_bounds(df: DataFrame, column: str, spec: str = "5sd") -> DataFrame:
@@ -184,7 +191,8 @@ def two_sided(z: Column) -> Column:
 
     @F.pandas_udf("double")
     def tail(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None or math.isnan(x) else math.erfc(abs(x) / math.sqrt(2)))
+        kinds, place = np.unique(v.to_numpy(float), return_inverse=True)
+        return pd.Series(np.array([math.erfc(abs(x) / math.sqrt(2)) for x in kinds.tolist()])[place] if len(kinds) else [], dtype="float64")
 
     return tail(z)
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callgrove import schema
 from callgrove.functions import expr
 from callgrove.operators import association, filters, linkage, stats
 from callgrove.plans.registry import query
+from callgrove.shared import sized
 
 MASK = "gt IS NOT NULL AND NOT coalesce(dp < {dp}, FALSE) AND NOT coalesce(gq < {gq}, FALSE) AND NOT coalesce(gt = 1 AND (af < {laf} OR af > {haf}), FALSE)"
 
@@ -80,7 +81,7 @@ def flt9_hwe_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def case_control_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """variant_id, p_case, p_control and maf, from one aggregation by group."""
-    calls = schema.calls(spark, sf_dir).join(F.broadcast(schema.samples(spark, sf_dir).select("sample_id", "pheno")), "sample_id")
+    calls = schema.calls(spark, sf_dir).join(sized(schema.samples(spark, sf_dir).select("sample_id", "pheno")), "sample_id")
     p = stats.hwe_exact(stats.geno_counts(calls, "pheno"))
     wide = p.groupBy("variant_id").agg(F.max(F.when(F.col("pheno") == 2, F.col("p"))).alias("p_case"), F.max(F.when(F.col("pheno") == 1, F.col("p"))).alias("p_control"))
     return stats.allele_freq(calls).select("variant_id", expr.maf(F.col("alt_freq")).alias("maf")).join(wide, "variant_id", "left")
@@ -294,10 +295,10 @@ def jon14_param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("dp", "gq").agg(F.sum(F.when((F.col("d") >= F.col("dp")) & (F.col("g") * 10 >= F.col("gq")), F.col("k")).otherwise(0)).alias("n"))
 
 
-@query("SELECT iid, target_depth FROM samples WHERE sample_id % 3 = 0")
+@query("SELECT iid, target_depth FROM samples")
 def jon15_registry_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = schema.samples(spark, sf_dir)
-    return s.where("sample_id % 3 = 0").select("iid").join(s.select("iid", "target_depth"), "iid")
+    return s.select("iid").join(s.select("iid", "target_depth"), "iid")
 
 
 @query(", ix AS (SELECT chrom, variant_id, row_number() OVER (PARTITION BY chrom ORDER BY pos, variant_id) AS i FROM variants) SELECT a.variant_id AS v1, b.variant_id AS v2 FROM ix a JOIN ix b ON a.chrom = b.chrom AND b.i > a.i AND b.i - a.i < 50")
@@ -310,13 +311,14 @@ def set1_intersect_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.shared_ids(schema.chip(spark, sf_dir, 0), schema.chip(spark, sf_dir, 1), "variant_id")
 
 
-_PAIRS = "SELECT sample_id AS id1, sample_id * 2 AS id2 FROM samples WHERE sample_id % 3 = 1"
+#: Pairs of a sample and the next one of its phenotype by number.
+_PAIRS = "SELECT id1, id2 FROM (SELECT sample_id AS id1, lead(sample_id) OVER (PARTITION BY pheno, sex ORDER BY sample_id) AS id2 FROM samples) WHERE id2 IS NOT NULL"
 
 
 @query(f"SELECT id1 AS id FROM ({_PAIRS}) UNION SELECT id2 FROM ({_PAIRS})")
 def set2_pair_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = schema.samples(spark, sf_dir).where("sample_id % 3 = 1")
-    return filters.pair_nodes(s.select(F.col("sample_id").alias("id1"), (F.col("sample_id") * 2).alias("id2")))
+    following = F.lead("sample_id").over(Window.partitionBy("pheno", "sex").orderBy("sample_id"))
+    return filters.pair_nodes(schema.samples(spark, sf_dir).select(F.col("sample_id").alias("id1"), following.alias("id2")).where("id2 IS NOT NULL"))
 
 
 @query("SELECT sample_id AS id FROM samples EXCEPT SELECT sample_id FROM samples WHERE pheno = 2")

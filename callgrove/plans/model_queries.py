@@ -112,6 +112,51 @@ def lin7_relative_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinship.relative_removal(written(related(spark, sf_dir), "related"), nodes)
 
 
+def cover_counts(pairs: DataFrame, gone: DataFrame) -> DataFrame:
+    """pairs (id1, id2, pair_type) by type, with the pairs that no removed id touches, and removed ids that no pair needs."""
+    one, two = (gone.select(F.col("id").alias(f"id{k}"), F.lit(1).alias(f"gone{k}")) for k in (1, 2))
+    marked = written(pairs.join(one, "id1", "left").join(two, "id2", "left"), "marked-pairs")
+    ends = marked.select(F.col("id1").alias("id"), "gone2", "gone1").unionByName(marked.select(F.col("id2").alias("id"), F.col("gone1").alias("gone2"), F.col("gone2").alias("gone1")))
+    unneeded = ends.where("gone1 = 1").groupBy("id").agg(F.count_if(F.col("gone2").isNull()).alias("needs")).agg(F.count_if(F.col("needs") == 0).cast("int").alias("unneeded"))
+    counts = marked.groupBy("pair_type").agg(F.count("*").alias("n"), F.count_if(F.col("gone1").isNull() & F.col("gone2").isNull()).cast("int").alias("uncovered"))
+    return counts.crossJoin(F.broadcast(unneeded))  # one row
+
+
+@query(f"""{KIN_SQL} SELECT 'all' AS pair_type, count(*) AS n, 0 AS uncovered, 0 AS unneeded FROM ph WHERE round(p1 / 2 + p2, 3) > 0.02 HAVING count(*) > 0""")
+def lin7_cover_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the removal must hold: no related pair is left, and no removed sample could stay."""
+    calls = schema.calls(spark, sf_dir)
+    nodes = schema.samples(spark, sf_dir).select("sample_id", (F.col("pheno") == 2).alias("is_case")).join(stats.sample_missing(calls), "sample_id", "left").withColumnRenamed("sample_id", "id")
+    pairs = written(related(spark, sf_dir), "related")
+    return cover_counts(pairs.select("id1", "id2", F.lit("all").alias("pair_type")), kinship.relative_removal(pairs.select("id1", "id2"), nodes))
+
+
+@query(f"{LD_SQL} SELECT (SELECT count(*) FROM variants WHERE variant_id IN (SELECT variant_id FROM calls)) AS variants, (SELECT count(*) FROM ld WHERE r2 > 0.2) AS linked, 0 AS kept_and_linked, 0 AS dropped_unbeaten")
+def win4_prune_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pruning must hold: no two kept variants are linked, and each dropped one is linked to a kept one that goes before it."""
+    calls, variants = schema.calls(spark, sf_dir), schema.variants(spark, sf_dir)
+    linked = written(linkage.correlations(calls, linkage.ld_neighbours(variants, 50)).where("r2 > 0.2").select("v1", "v2"), "linked")
+    nodes = written(linkage.priorities(calls, variants), "nodes")
+    kept = written(linkage.prune(nodes, linked), "kept").withColumn("stays", F.lit(1))
+    both = linked.unionByName(linked.select(F.col("v2").alias("v1"), F.col("v1").alias("v2")))
+    for k in (1, 2):
+        state = nodes.join(kept, "variant_id", "left").select(F.col("variant_id").alias(f"v{k}"), F.col("prio").alias(f"p{k}"), F.coalesce("stays", F.lit(0)).alias(f"s{k}"))
+        both = both.join(state, f"v{k}")
+    beaten = both.where("s1 = 0 AND s2 = 1 AND p2 < p1").select(F.col("v1").alias("variant_id")).distinct()
+    dropped = nodes.join(kept, "variant_id", "left_anti").join(beaten, "variant_id", "left_anti")
+    return nodes.agg(F.count("*").alias("variants")).crossJoin(linked.agg(F.count("*").alias("linked"))).crossJoin(both.agg(F.count_if((F.col("s1") == 1) & (F.col("s2") == 1)).cast("int").alias("kept_and_linked"))).crossJoin(dropped.agg(F.count("*").cast("int").alias("dropped_unbeaten")))  # one row each
+
+
+@query("SELECT CAST(a.i AS INT) AS a, CAST(b.i AS INT) AS b, CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END AS product FROM range(1, 11) a(i), range(1, 11) b(i) WHERE a.i <= b.i")
+def lin2_pca_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of the score columns: one with itself, zero with others."""
+    scores = linalg.pca(schema.calls(spark, sf_dir), 10)[0]
+    pairs = [(i, j) for i in range(1, len(scores.columns)) for j in range(i, len(scores.columns))]
+    sums = scores.agg(*[F.sum(F.col(f"pc{i}") * F.col(f"pc{j}")).alias(f"s{i}_{j}") for i, j in pairs])
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), (F.round(F.col(f"s{i}_{j}"), 6) + 0.0).alias("product")) for i, j in pairs])).alias("r")
+    return sums.select(rows).select("r.*")
+
+
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, scores = schema.samples(spark, sf_dir), some_scores(spark, sf_dir)
     covars = association.covariates(samples, scores).select("sample_id", "sex", "pc1_avg", "pc2_avg").dropna()

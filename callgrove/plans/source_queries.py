@@ -68,17 +68,17 @@ def src6_bim_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_bim(spark, path)
 
 
-def _matrix(spark: SparkSession, sf_dir: str, which: str = "true") -> str:
-    return tables.write_matrix_blocks(schema.calls(spark, sf_dir).where(which), schema.variants(spark, sf_dir).where(which), "dp", new_folder(spark, "matrix"))
+def _matrix(spark: SparkSession, sf_dir: str) -> str:
+    return tables.write_matrix_blocks(schema.calls(spark, sf_dir), schema.variants(spark, sf_dir), "dp", new_folder(spark, "matrix"))
 
 
 def _depths(spark: SparkSession, path: str) -> DataFrame:
     return tables.read_matrix_blocks(spark, path, "dp").groupBy("sample_id").agg(F.count("dp").alias("n"), F.sum("dp").alias("depth"))
 
 
-@query("SELECT CAST(sample_id AS VARCHAR) AS sample_id, CAST(variant_id AS VARCHAR) AS variant_id, CAST(dp AS DOUBLE) AS dp FROM calls WHERE variant_id % 20 = 0")
+@query("SELECT CAST(sample_id AS VARCHAR) AS sample_id, CAST(variant_id AS VARCHAR) AS variant_id, CAST(dp AS DOUBLE) AS dp FROM calls WHERE dp IS NOT NULL")
 def src7_wide_matrix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read_matrix_blocks(spark, _matrix(spark, sf_dir, "variant_id % 20 = 0"), "dp").where("dp IS NOT NULL")
+    return tables.read_matrix_blocks(spark, _matrix(spark, sf_dir), "dp").where("dp IS NOT NULL")
 
 
 @query("SELECT CAST(sample_id AS VARCHAR) AS sample_id, CAST(variant_id AS VARCHAR) AS variant_id, CAST(dp AS DOUBLE) AS dp FROM calls WHERE dp IS NOT NULL")
@@ -97,9 +97,9 @@ def snk1_table_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_delimited(spark, path, "variant_id long, chrom string, pos long, ref string, alt string, filter string", header=False)
 
 
-@query("SELECT CAST(sample_id AS VARCHAR) AS sample_id, count(*) AS n, sum(CAST(dp AS DOUBLE)) AS depth FROM calls WHERE variant_id % 20 = 0 GROUP BY sample_id")
+@query("SELECT CAST(sample_id AS VARCHAR) AS sample_id, count(dp) AS n, sum(CAST(dp AS DOUBLE)) AS depth FROM calls GROUP BY sample_id")
 def snk2_wide_matrix_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _depths(spark, _matrix(spark, sf_dir, "variant_id % 20 = 0"))
+    return _depths(spark, _matrix(spark, sf_dir))
 
 
 @query("SELECT CAST(sample_id AS VARCHAR) AS sample_id, count(dp) AS n, sum(CAST(dp AS DOUBLE)) AS depth FROM calls GROUP BY sample_id")

@@ -10,6 +10,7 @@ from callgrove.functions import expr
 from callgrove.operators import concordance, filters, stats
 from callgrove.plans.filter_queries import CASE_CONTROL, COUNTS, FREQ_VMISS, HET_MISS, HWE_SQL, case_control_p, freq_vmiss, het_miss
 from callgrove.plans.registry import query
+from callgrove.shared import sized
 
 
 def rounded(df: DataFrame, digits: int = 8, columns: list[str] | None = None) -> DataFrame:
@@ -20,7 +21,7 @@ def rounded(df: DataFrame, digits: int = 8, columns: list[str] | None = None) ->
 
 @query("SELECT variant_id, pheno, CAST(coalesce(sum(gt), 0) AS BIGINT) AS alt_count, 2 * count(gt) AS allele_count, sum(gt) / nullif(2.0 * count(gt), 0) AS alt_freq FROM calls JOIN samples USING (sample_id) GROUP BY variant_id, pheno")
 def agg1_allele_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = schema.calls(spark, sf_dir).join(F.broadcast(schema.samples(spark, sf_dir).select("sample_id", "pheno")), "sample_id")
+    calls = schema.calls(spark, sf_dir).join(sized(schema.samples(spark, sf_dir).select("sample_id", "pheno")), "sample_id")
     return stats.allele_freq(calls, "pheno")
 
 
@@ -150,7 +151,7 @@ def agg19_moments_of_vmiss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT target_depth, round(corr(CAST(dp AS DOUBLE), CAST(gq AS DOUBLE)), 7) AS r FROM calls JOIN samples USING (sample_id) GROUP BY 1")
 def agg20_pearson_r(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = schema.calls(spark, sf_dir).join(F.broadcast(schema.samples(spark, sf_dir).select("sample_id", "target_depth")), "sample_id")
+    calls = schema.calls(spark, sf_dir).join(sized(schema.samples(spark, sf_dir).select("sample_id", "target_depth")), "sample_id")
     return rounded(stats.pearson(calls.withColumns({"dp": F.col("dp").cast("double"), "gq": F.col("gq").cast("double")}), "dp", "gq", ["target_depth"]), 7)
 
 
@@ -173,6 +174,17 @@ def agg22_mann_whitney_u(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg22_mann_whitney(spark, sf_dir).select("g1", "g2", "u")
 
 
+@query(f"""{VMISS4}, pr AS (SELECT a.g AS g1, b.g AS g2 FROM (VALUES ('ALL', 0), ('15X', 1), ('30X', 2)) a(g, i) JOIN (VALUES ('ALL', 0), ('15X', 1), ('30X', 2)) b(g, i) ON a.i < b.i),
+rk AS (SELECT g1, g2, vmiss, platform, rank() OVER (PARTITION BY g1, g2 ORDER BY vmiss) + (count(*) OVER (PARTITION BY g1, g2, vmiss) - 1) / 2.0 AS r FROM pr JOIN vm ON platform IN (g1, g2)),
+us AS (SELECT g1, g2, sum(r) FILTER (platform = g1) - count(*) FILTER (platform = g1) * (count(*) FILTER (platform = g1) + 1) / 2.0 AS u, CAST(count(*) FILTER (platform = g1) AS DOUBLE) AS m1, CAST(count(*) AS DOUBLE) AS m FROM rk GROUP BY g1, g2),
+ti AS (SELECT g1, g2, sum(CAST(k AS DOUBLE) ** 3 - k) AS ties FROM (SELECT g1, g2, vmiss, count(*) AS k FROM rk GROUP BY g1, g2, vmiss) GROUP BY g1, g2),
+md AS (SELECT platform, quantile_cont(vmiss, 0.5) AS med, avg(vmiss) AS mean FROM vm GROUP BY 1)
+SELECT g1, g2, round(greatest((abs(u - m1 * (m - m1) / 2) - 0.5) / sqrt(m1 * (m - m1) / 12 * ((m + 1) - ties / (m * (m - 1)))), 0.0), 6) AS z, round(a.med - b.med, 6) AS median_diff, round(a.mean - b.mean, 6) AS mean_diff
+FROM us JOIN ti USING (g1, g2) JOIN md a ON a.platform = g1 JOIN md b ON b.platform = g2""")
+def agg22_mann_whitney_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg22_mann_whitney(spark, sf_dir).select("g1", "g2", "z", "median_diff", "mean_diff")
+
+
 @query(f"""{VMISS4}, st AS (SELECT platform, min(vmiss) AS lo, max(vmiss) AS hi, 0.2 * stddev_samp(vmiss) AS h, count(*) AS n FROM vm GROUP BY 1),
 gx AS (SELECT platform, CAST(i AS INT) AS point, lo + (hi - lo) * i / 299 AS x, h, n FROM st, range(0, 300) r(i))
 SELECT platform, point, round(x, 8) AS x, round(sum(exp(-0.5 * ((x - vmiss) / h) ** 2)) / any_value(n * h * sqrt(2 * pi())), 6) AS density FROM gx JOIN vm USING (platform) GROUP BY platform, point, x""")
@@ -248,6 +260,6 @@ def rsh5_ravel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT dp, gq, 0.25 AS laf, 0.75 AS haf, upper(target_depth) AS platform FROM calls JOIN samples USING (sample_id) WHERE target_depth IS NOT NULL".replace("0.25 AS laf, 0.75 AS haf", "CAST(0.25 AS DOUBLE) AS laf, CAST(0.75 AS DOUBLE) AS haf"))
 def rsh6_parse_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = schema.calls(spark, sf_dir).join(F.broadcast(schema.samples(spark, sf_dir).where("target_depth IS NOT NULL")), "sample_id")
+    calls = schema.calls(spark, sf_dir).join(sized(schema.samples(spark, sf_dir).where("target_depth IS NOT NULL")), "sample_id")
     key = F.concat(F.lit("DP"), "dp", F.lit("_GQ"), "gq", F.lit("_LAF0.25_HAF0.75_"), F.upper("target_depth"))
     return stats.parse_key(calls.select(key.alias("key")).distinct(), "key").drop("key")

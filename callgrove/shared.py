@@ -10,17 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: By application: a local session's own folder, and the folders made.
+_own: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or a folder of this machine where it is unset."""
+    """spark.checkpoint.dir of the session; a local session that has none gets a folder of its own, a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = Path(tempfile.gettempdir(), "callgrove-shared").as_uri()
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if spark.sparkContext.applicationId not in _own:
+            _own[spark.sparkContext.applicationId] = Path(tempfile.mkdtemp(prefix="callgrove-")).as_uri()
+            spark.sparkContext.setCheckpointDir(_own[spark.sparkContext.applicationId])
+        found = _own[spark.sparkContext.applicationId]
     return found.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_intermediates(spark: SparkSession) -> int:
+    """Deletes the folders that this session's queries have made so far, once their results are no longer read; returns how many."""
+    removed = 0
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        removed += place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return removed
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -142,6 +142,81 @@ def test_cover_touches_every_pair(spark):
     assert not any(i % 9 == 0 for i in gone)
 
 
+def plain_cover(spark, pairs, weight):
+    """The local-ratio rule, one pair after another in order of the hash, less what it does not need."""
+    rows = spark.createDataFrame(pairs, "id1 long, id2 long").selectExpr("xxhash64(id1, id2) AS h", "id1", "id2").collect()
+    left, gone = dict(weight), set()
+    for _, a, b in sorted((r.h, r.id1, r.id2) for r in rows):
+        if a not in gone and b not in gone:
+            out, stays = (b, a) if left[b] <= left[a] else (a, b)
+            gone.add(out)
+            left[stays] -= left[out]
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in gone}
+    free = {i for i in gone if near[i] <= gone}
+    for i in sorted(free, key=lambda i: (-weight[i], i)):
+        if not any(j in free and j not in gone for j in near[i]):
+            gone.discard(i)
+    return gone
+
+
+def test_cover_equals_one_pair_after_another(spark):
+    r = random.Random(11)
+    pairs = sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(140)} | {(k, k + 1) for k in range(70, 100)})
+    miss = {i: [0.0, 0.01, None, 0.02][i % 4] for i in range(101)}
+    nodes = spark.createDataFrame([(i, i % 9 == 0, miss[i]) for i in range(101)], "id long, is_case boolean, f_miss double")
+    weight = {i: kinship.CASE_WEIGHT if i % 9 == 0 else 1 / max(0.001 if miss[i] is None else miss[i], kinship.LEAST_MISS) for i in range(101)}
+    gone = {x.id for x in kinship.relative_removal(spark.createDataFrame(pairs, "id1 long, id2 long"), nodes).collect()}
+    assert gone == plain_cover(spark, pairs, weight)
+    assert all(a in gone or b in gone for a, b in pairs) and all(any(i in p and not gone >= set(p) for p in pairs) for i in gone)
+
+
+def test_one_end_of_a_tied_pair_goes(spark):
+    nodes = spark.createDataFrame([(1, False, 0.01), (2, False, 0.01), (3, True, 0.5), (4, True, 0.1), (5, False, 0.3), (6, True, 0.3)], "id long, is_case boolean, f_miss double")
+    gone = kinship.relative_removal(spark.createDataFrame([(1, 2), (4, 3), (6, 5), (5, 5)], "id1 long, id2 long"), nodes)
+    assert sorted(x.id for x in gone.collect()) == [2, 4, 5]
+    assert kinship.relative_removal(spark.createDataFrame([], "id1 long, id2 long"), nodes).count() == 0
+
+
+def test_reference_letters_across_chunks(spark):
+    seq = "".join("ACGT"[(7 * k + k // 3) % 4] for k in range(40))
+    chunks = spark.createDataFrame([("chr1", k, seq[10 * k : 10 * k + 10]) for k in range(4)], "chrom string, chunk long, seq string")
+    rows = spark.createDataFrame([(1, "chr1", 8, seq[7:29], "A"), (2, "chr1", 10, seq[9], "A"), (3, "chr1", 38, seq[37:] + "AC", "A"), (4, "chr2", 3, "AC", "A")], "variant_id long, chrom string, pos long, ref string, alt string")
+    got = {r.variant_id: r.ref_base for r in reference.with_base(rows, chunks, 10).collect()}
+    assert got == {1: seq[7:29], 2: seq[9], 3: None, 4: None}
+
+
+def test_left_align_goes_as_far_as_the_repeat(spark):
+    seq = "G" + "CA" * 30 + "T"
+    chunks = spark.createDataFrame([("chr1", k, seq[5 * k : 5 * k + 5]) for k in range(13)], "chrom string, chunk long, seq string")
+    rows = spark.createDataFrame([(1, "chr1", 61, "A", "ACA"), (2, "chr1", 58, "CACA", "CA"), (3, "chr1", 30, "C", "T")], "variant_id long, chrom string, pos long, ref string, alt string")
+    got = {r.variant_id: (r.pos, r.ref, r.alt) for r in reference.left_align(rows, chunks, 5).collect()}
+    assert got == {1: (1, "G", "GCA"), 2: (1, "GCA", "G"), 3: (30, "C", "T")}
+
+
+def test_both_ways_of_components_agree(spark, monkeypatch):
+    import numpy as np
+
+    from callgrove.operators import linalg
+
+    c = random_calls(spark, 3, 60, 12)[0]
+    one = linalg.pca(c, 3)
+    monkeypatch.setattr(linalg, "GRAM_WIDTH", 4)
+    two = linalg.pca(c, 3)
+    for a, b, key in zip(one, two, ("sample_id", "pc", "variant_id"), strict=True):
+        assert np.allclose(a.orderBy(key).toPandas().to_numpy(float), b.orderBy(key).toPandas().to_numpy(float), atol=1e-6)
+
+
+def test_folders_are_removed(spark):
+    from callgrove.shared import remove_intermediates, written
+
+    table = written(spark.range(5), "gone")
+    path = table.inputFiles()[0]
+    assert remove_intermediates(spark) > 0
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
 def test_duplicates_share_everything(spark):
     r = random.Random(7)
     rows = [(v, s, r.choice([0, 1, 2]) if s < 8 else None) for v in range(400) for s in range(9)]
