@@ -179,10 +179,11 @@ rk AS (SELECT g1, g2, vmiss, platform, rank() OVER (PARTITION BY g1, g2 ORDER BY
 us AS (SELECT g1, g2, sum(r) FILTER (platform = g1) - count(*) FILTER (platform = g1) * (count(*) FILTER (platform = g1) + 1) / 2.0 AS u, CAST(count(*) FILTER (platform = g1) AS DOUBLE) AS m1, CAST(count(*) AS DOUBLE) AS m FROM rk GROUP BY g1, g2),
 ti AS (SELECT g1, g2, sum(CAST(k AS DOUBLE) ** 3 - k) AS ties FROM (SELECT g1, g2, vmiss, count(*) AS k FROM rk GROUP BY g1, g2, vmiss) GROUP BY g1, g2),
 md AS (SELECT platform, quantile_cont(vmiss, 0.5) AS med, avg(vmiss) AS mean FROM vm GROUP BY 1)
-SELECT g1, g2, round(greatest((abs(u - m1 * (m - m1) / 2) - 0.5) / sqrt(m1 * (m - m1) / 12 * ((m + 1) - ties / (m * (m - 1)))), 0.0), 6) AS z, round(a.med - b.med, 6) AS median_diff, round(a.mean - b.mean, 6) AS mean_diff
+SELECT g1, g2, round(greatest((abs(u - m1 * (m - m1) / 2) - 0.5) / sqrt(m1 * (m - m1) / 12 * ((m + 1) - ties / (m * (m - 1)))), 0.0), 8) AS z, round(a.med - b.med, 8) AS median_diff, round(a.mean - b.mean, 8) AS mean_diff
 FROM us JOIN ti USING (g1, g2) JOIN md a ON a.platform = g1 JOIN md b ON b.platform = g2""")
 def agg22_mann_whitney_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agg22_mann_whitney(spark, sf_dir).select("g1", "g2", "z", "median_diff", "mean_diff")
+    got = stats.mann_whitney(vmiss_by_platform(spark, sf_dir), "vmiss", "platform", concordance.PLATFORMS)
+    return rounded(got.select("g1", "g2", "z", "median_diff", "mean_diff"))
 
 
 @query(f"""{VMISS4}, st AS (SELECT platform, min(vmiss) AS lo, max(vmiss) AS hi, 0.2 * stddev_samp(vmiss) AS h, count(*) AS n FROM vm GROUP BY 1),
