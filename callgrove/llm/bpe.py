@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from callgrove.llm.common import add_columns
 
-#: Pre-tokens of a long text that are held at once.
-BLOCK = 100_000
+#: Pre-tokens of a long text that are held at once, and that go through the rank queue together.
+BLOCK, QUEUED = 100_000, 10_000
 #: Pre-tokens whose ids a process keeps: about 200 bytes each.
 MEMO = 400_000
 
@@ -136,8 +136,10 @@ class TextEncoder:
             self.memo.clear()
             new = wanted
         new = list(new)
-        for word, ids in zip(new, self.queue.encode([w.encode() for w in new]), strict=True):
-            self.memo[word] = np.array(ids, "<u4").tobytes()
+        for at in range(0, len(new), QUEUED):
+            part = new[at : at + QUEUED]
+            for word, ids in zip(part, self.queue.encode([w.encode() for w in part]), strict=True):
+                self.memo[word] = np.array(ids, "<u4").tobytes()
 
     def blocks(self, texts: list):
         """(place, pre-tokens) of all texts; a long text comes in several blocks."""
