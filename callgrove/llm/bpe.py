@@ -40,6 +40,10 @@ class RankQueueEncoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.merges = {t: r for t, r in ranks.items() if len(t) > 1 and b"\xff" not in t}
+        self.pairs = np.full(1 << 16, -1, np.int32)
+        for token, rank in self.merges.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
         most = max(ranks.values(), default=0)
         self.buckets: list[list[int]] = [[] for _ in range(most + 1)]
         self.low = [0] * ((most >> 6) + 1)
@@ -70,14 +74,16 @@ class RankQueueEncoder:
         get, buckets = self.merges.get, self.buckets
         after = list(range(1, n + 1))  # where the token that starts here ends
         before = list(range(-1, n - 1))  # where the token before it starts
-        pair = [get(data[i : i + 2], -1) for i in range(n - 1)]  # rank of the pair that starts here
-        pair.append(-1)
-        for i, r in enumerate(pair):
-            if r >= 0:
-                bucket = buckets[r]
-                if not bucket:
-                    self.mark(r)
-                bucket.append(i)
+        codes = np.frombuffer(data, np.uint8).astype(np.int32)
+        first = self.pairs[codes[:-1] << 8 | codes[1:]]  # rank of the pair that starts here
+        pair = [*first.tolist(), -1, -1]
+        places = np.flatnonzero(first >= 0)
+        places = places[np.argsort(first[places], kind="stable")]
+        starts = np.flatnonzero(np.diff(first[places], prepend=-1)).tolist()
+        for x, y in zip(starts, [*starts[1:], len(places)]):
+            rank = int(first[places[x]])
+            buckets[rank] = places[x:y].tolist()
+            self.mark(rank)
         while self.top:
             rank = self.first()
             bucket, buckets[rank] = buckets[rank], []
