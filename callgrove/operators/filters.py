@@ -122,7 +122,7 @@ def with_prefix(df: DataFrame, column: str, prefix: str, wanted: bool = True) ->
 def central(df: DataFrame, column: str, share: float = 0.95) -> DataFrame:
     """Rows between the outer linear quantiles, both included."""
     low, high = (1 - share) / 2, 1 - (1 - share) / 2
-    bounds = df.agg(F.expr(f"percentile({column}, array({low!r}D, {high!r}D))").alias("__q"))
+    bounds = stats.quantiles(df, column, [low, high]).withColumnRenamed("q", "__q")  # one row, none without values
     return df.crossJoin(F.broadcast(bounds)).where(F.col(column).between(F.col("__q")[0], F.col("__q")[1])).drop("__q")
 
 

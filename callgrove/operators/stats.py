@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callgrove.shared import sized
+from callgrove.shared import sized, written
+
+#: Evenly wide buckets between the least and the greatest value in which ranks are looked for.
+BUCKETS = 4096
 
 
 def names(by: str | list[str] | None) -> list[str]:
@@ -169,10 +174,41 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.corr(x, y).alias("r"))
 
 
+def quantiles(df: DataFrame, column: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
+    """Exact linear quantiles q (array<double>, one for each of probs) of each group that has a value; NULLs are left out.
+
+    Distinct values are counted, then counted by evenly wide buckets between a group's extremes. Running sums over the
+    buckets tell which of them hold the wanted ranks, and only the values of those are sorted: no task takes a whole group.
+    """
+    keys = by or ["__all"]
+    rows = df.where(F.col(column).isNotNull()).select(*(by or [F.lit(0).alias("__all")]), F.col(column).cast("double").alias("__v"))
+    values = written(rows.groupBy(*keys, "__v").agg(F.count("*").alias("__k")), "quantile-values")
+    span = written(values.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__k").alias("__n")), "quantile-span")
+    same = lambda a, b, names: reduce(and_, [a[k].eqNullSafe(b[k]) for k in names])
+    met = values.alias("a").join(span.alias("b"), same(values, span, keys)).select("a.*", "__lo", "__hi", "__n")
+    share = F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    placed = met.withColumn("__b", F.coalesce(F.floor(share * BUCKETS), F.lit(0))).drop("__lo", "__hi")
+    counts = placed.groupBy(*keys, "__b").agg(F.sum("__k").alias("__k"), F.first("__n").alias("__n"))
+    ends = counts.withColumn("__end", F.sum("__k").over(Window.partitionBy(*keys).orderBy("__b")))  # at most BUCKETS + 1 rows a group
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("__n") - 1)).alias("r")) for i, p in enumerate(probs)])).alias("__x")
+    ranks = ends.select(*keys, "__b", (F.col("__end") - F.col("__k")).alias("__start"), "__end", at)
+    ranks = ranks.select(*keys, "__b", "__start", "__end", "__x.i", "__x.r", F.explode(F.array(F.floor("__x.r"), F.ceil("__x.r"))).alias("__rank"))
+    held = ranks.where((F.col("__rank") >= F.col("__start")) & (F.col("__rank") < F.col("__end")))
+    wanted = written(held.groupBy(*keys, "__b", "__start").agg(F.collect_list(F.struct("i", "r", "__rank")).alias("__asked")), "quantile-ranks")
+    inside = placed.alias("a").join(wanted.alias("b"), same(placed, wanted, [*keys, "__b"])).select("a.*", "__start", "__asked")
+    upto = F.col("__start") + F.sum("__k").over(Window.partitionBy(*keys, "__b").orderBy("__v"))
+    asked = inside.withColumn("__upto", upto).select(*keys, "__v", "__k", "__upto", F.inline("__asked"))
+    found = asked.where((F.col("__rank") >= F.col("__upto") - F.col("__k")) & (F.col("__rank") < F.col("__upto")))
+    ends_of = found.groupBy(*keys, "i").agg(F.first("r").alias("r"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((F.ceil("r") - F.col("r")) * F.col("lo") + (F.col("r") - F.floor("r")) * F.col("hi"))
+    got = ends_of.withColumn("v", value).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("q"))
+    return got.select(*(by or []), F.transform("q", lambda x: x["v"]).alias("q"))
+
+
 def box_stats(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Linear quartiles, their distance, and the extreme values within 1.5 of it."""
-    q = df.groupBy(*by).agg(F.percentile(column, [0.25, 0.5, 0.75]).alias("q"))
-    fenced = df.join(F.broadcast(q), by) if by else df.crossJoin(F.broadcast(q))
+    q = written(quantiles(df, column, [0.25, 0.5, 0.75], by), "quartiles")
+    fenced = df.dropna(subset=by).join(sized(q), by, "left") if by else df.crossJoin(F.broadcast(q))  # one row without groups
     span = F.col("q")[2] - F.col("q")[0]
     v = F.col(column)
     inside = lambda f, ok: f(F.when(ok, v))

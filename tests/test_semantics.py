@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from callgrove import schema
@@ -45,6 +46,29 @@ def test_bounds(spark):
     assert [r.id for r in expr.round_filter(pairs, "pi_hat", 0.2).collect()] == [2]
 
 
+def test_quantiles_equal_the_built_in_ones(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BUCKETS", 7)
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, 1.0, r.gauss(0, 3)])) for _ in range(400)] + [("one", 5.0), ("same", 2.0), ("same", 2.0), ("none", None), ("far", -1e300), ("far", 1e300), ("far", 0.5)]
+    df, probs = spark.createDataFrame(rows, "g string, v double"), [0.0, 0.025, 0.25, 0.5, 0.75, 1.0]
+    want = {x.g: x.q for x in df.where("v IS NOT NULL").groupBy("g").agg(F.percentile("v", probs).alias("q")).collect()}
+    got = {x.g: x.q for x in stats.quantiles(df, "v", probs, ["g"]).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], rel=1e-12) for g in want)
+    assert stats.quantiles(df, "v", probs).first().q == pytest.approx(df.agg(F.percentile("v", probs).alias("q")).first().q, rel=1e-12)
+    assert stats.quantiles(df.limit(0), "v", probs).count() == 0 and filters.central(df.limit(0), "v").count() == 0
+    boxes = {x.g: x for x in stats.box_stats(df, "v", ["g"]).collect()}
+    assert set(boxes) == {"a", "b", "one", "same", "none", "far"} and boxes["none"].median is None and boxes["one"].whisker_low == 5
+
+
+def test_ranks_of_stretches_equal_one_window(spark):
+    r = random.Random(6)
+    rows = [(k, r.choice(["chr1", "chr2", None]), r.choice([None, r.randrange(200)])) for k in range(300)]
+    df = spark.createDataFrame(rows, "variant_id long, chrom string, pos long")
+    whole = df.withColumn("idx", F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "variant_id")))
+    got = linkage.indexed(df, 10)
+    assert got.columns == whole.columns and sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+
+
 def test_projections(spark):
     df = spark.createDataFrame([(x,) for x in ("0/0", "0|1", "1/0", "1|1", "./1", "./.", "0/2", "1", None)], "g string")
     assert [r[0] for r in df.select(expr.dosage(F.col("g"))).collect()] == [0, 1, 1, 2, None, None, None, None, None]
