@@ -25,7 +25,7 @@ from callgrove.llm.common import add_columns
 #: Pre-tokens of a long text that are held at once, and that go through the rank queue together.
 BLOCK, QUEUED = 100_000, 10_000
 #: Pre-tokens whose ids a process keeps: about 200 bytes each.
-MEMO = 400_000
+MEMO = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
