@@ -1,4 +1,4 @@
-"""The queries op1 to op10 with their production parameters, and their SQL where SQL can express them."""
+"""The queries op1 to op13 with their production parameters, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from callgrove.llm import bpe, decontaminate, language_id, quality_rules, secret_scan, simhash, token_counts, token_store, toxicity, warc
+from callgrove.llm import bpe, decontaminate, language_id, merkle, quality_rules, secret_scan, simhash, token_counts, token_store, toxicity, warc
 from callgrove.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

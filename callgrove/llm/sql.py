@@ -50,4 +50,53 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_BASE32} AS pay
 FROM m
 """
 
-ORACLES = {"op4_quality_rules": _QUALITY, "op7_warc": _WARC, "op8_decontamination": _CONTAMINATION}
+
+def _field(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR) END"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+#: Unsigned crc32 of the digits of doc_id, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def _merkle(levels: int) -> str:
+    """Trees by language (g) and over the languages, unrolled for so many levels; place i of a node in its tree, siblings as one string."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = f"translate(text, '{upper}', '{upper.lower()}')"
+    parts = [
+        f"d AS (SELECT doc_id, lang AS g, {_leaf('text')} AS leaf, CASE WHEN text IS NOT NULL AND doc_id IS NOT NULL AND {_CRC} % 3 = 0 THEN {_leaf(lowered)} END AS own FROM documents)",
+        "a0 AS (SELECT *, coalesce(own, leaf) AS x, '' AS w, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d)",
+        "n0 AS (SELECT g, i, leaf AS h, n FROM a0)",
+    ]
+
+    def climb(a: str, n: str, key: str, up: str) -> None:
+        """One level: n has the nodes (key, i, h, n), a the rows with their place in it."""
+        k = len(parts)
+        parts.extend([
+            f"r{k} AS (SELECT {key}, i // 8 AS i, list(h ORDER BY i) AS hs, any_value(n) AS n FROM {n} GROUP BY {key}, i // 8)",
+            f"n{up} AS (SELECT {key}, CASE WHEN n > 1 THEN i ELSE 0 END AS i, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h, (n + 7) // 8 AS n FROM r{k})",
+            f"""a{up} AS (SELECT a.* REPLACE (
+                CASE WHEN r.n > 1 THEN sha256(array_to_string(hs[1 : a.i % 8], '') || a.x || array_to_string(hs[a.i % 8 + 2 :], '')) ELSE a.x END AS x,
+                CASE WHEN r.n > 1 THEN a.w || array_to_string(hs[1 : a.i % 8], '') || array_to_string(hs[a.i % 8 + 2 :], '') ELSE a.w END AS w, a.i // 8 AS i)
+                FROM {a} a JOIN r{k} r ON a.{key} IS NOT DISTINCT FROM r.{key} AND a.i // 8 = r.i)""",
+        ])
+
+    for k in range(levels):
+        climb(f"a{k}", f"n{k}", "g", str(k + 1))
+    parts += [
+        f"s AS (SELECT g, h, row_number() OVER (ORDER BY CAST(g AS BLOB) NULLS FIRST) - 1 AS i, count(*) OVER () AS n, 0 AS o FROM n{levels})",
+        "nt0 AS (SELECT o, i, h, n FROM s)",
+        f"at0 AS (SELECT a.* REPLACE (s.i AS i), s.h AS subroot, 0 AS o FROM a{levels} a JOIN s ON a.g IS NOT DISTINCT FROM s.g)",
+    ]
+    for k in range(levels):
+        climb(f"at{k}", f"nt{k}", "o", f"t{k + 1}")
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, leaf, subroot, h AS root, sha256(w) AS proof_sha256, x AS folded_root, x = h AS verified FROM at{levels} CROSS JOIN (SELECT h FROM nt{levels}) t"""
+
+
+ORACLES = {"op4_quality_rules": _QUALITY, "op7_warc": _WARC, "op8_decontamination": _CONTAMINATION, "op11_merkle_manifest": _merkle(7)}
