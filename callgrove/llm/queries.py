@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from callgrove.llm import bpe, decontaminate, language_id, merkle, packing, quality_rules, secret_scan, simhash, token_counts, token_store, toxicity, warc
+from callgrove.llm import bpe, decontaminate, language_id, merkle, packing, phrases, quality_rules, secret_scan, simhash, token_counts, token_store, toxicity, warc
 from callgrove.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0, 2048)
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"), longest=3, least=10, share=50, top=2000)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

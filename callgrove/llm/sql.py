@@ -99,4 +99,20 @@ def _merkle(levels: int) -> str:
 SELECT doc_id, leaf, subroot, h AS root, sha256(w) AS proof_sha256, x AS folded_root, x = h AS verified FROM at{levels} CROSS JOIN (SELECT h FROM nt{levels}) t"""
 
 
-ORACLES = {"op4_quality_rules": _QUALITY, "op7_warc": _WARC, "op8_decontamination": _CONTAMINATION, "op11_merkle_manifest": _merkle(7)}
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, w[i : i + k - 1] AS g FROM w, (VALUES (1), (2), (3)) AS v(k), unnest(range(1, len(w) - k + 2)) AS u(i)),
+t AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY lang, k, g HAVING count(*) >= 10),
+inner_parts AS (SELECT lang, unnest([g[1:2], g[2:3]]) AS g, f FROM f WHERE k = 3),
+longer AS (SELECT lang, g, max(f) AS m FROM inner_parts GROUP BY lang, g),
+c AS (SELECT f.* FROM f LEFT JOIN longer USING (lang, g) WHERE k > 1 AND (m IS NULL OR 100 * m < 50 * f)),
+s AS (SELECT c.lang, c.g, c.f AS a, l.f AS l, r.f AS r, cut, CAST(CAST(c.f AS HUGEINT) * c.f * 1000000 // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+    FROM c, (VALUES (1), (2)) AS v(cut), f l, f r WHERE cut < c.k AND l.lang = c.lang AND r.lang = c.lang AND l.g = c.g[1 : cut] AND r.g = c.g[cut + 1 :]),
+b AS (SELECT *, array_to_string(g, ' ') AS phrase FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, CAST(phrase AS BLOB)) AS rank, phrase, a, l, r, n, score FROM b JOIN t USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op4_quality_rules": _QUALITY, "op7_warc": _WARC, "op8_decontamination": _CONTAMINATION, "op11_merkle_manifest": _merkle(7), "op13_phrase_mining": _PHRASES}
