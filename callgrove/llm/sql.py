@@ -89,7 +89,7 @@ def _merkle(levels: int) -> str:
     for k in range(levels):
         climb(f"a{k}", f"n{k}", "g", str(k + 1))
     parts += [
-        f"s AS (SELECT g, h, row_number() OVER (ORDER BY CAST(g AS BLOB) NULLS FIRST) - 1 AS i, count(*) OVER () AS n, 0 AS o FROM n{levels})",
+        f"s AS (SELECT g, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS n, 0 AS o FROM n{levels})",
         "nt0 AS (SELECT o, i, h, n FROM s)",
         f"at0 AS (SELECT a.* REPLACE (s.i AS i), s.h AS subroot, 0 AS o FROM a{levels} a JOIN s ON a.g IS NOT DISTINCT FROM s.g)",
     ]
@@ -112,7 +112,7 @@ c AS (SELECT f.* FROM f LEFT JOIN longer USING (lang, g) WHERE k > 1 AND (m IS N
 s AS (SELECT c.lang, c.g, c.f AS a, l.f AS l, r.f AS r, cut, CAST(CAST(c.f AS HUGEINT) * c.f * 1000000 // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
     FROM c, (VALUES (1), (2)) AS v(cut), f l, f r WHERE cut < c.k AND l.lang = c.lang AND r.lang = c.lang AND l.g = c.g[1 : cut] AND r.g = c.g[cut + 1 :]),
 b AS (SELECT *, array_to_string(g, ' ') AS phrase FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1)
-SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, CAST(phrase AS BLOB)) AS rank, phrase, a, l, r, n, score FROM b JOIN t USING (lang) QUALIFY rank <= 2000
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b JOIN t USING (lang) QUALIFY rank <= 2000
 """
 
 ORACLES = {"op4_quality_rules": _QUALITY, "op7_warc": _WARC, "op8_decontamination": _CONTAMINATION, "op11_merkle_manifest": _merkle(7), "op13_phrase_mining": _PHRASES}
