@@ -16,6 +16,7 @@ not count. Very long texts are encoded whole, and a task holds one at a time.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,9 @@ from callgrove.llm.common import written
 #: Pieces of a group; the share of the limit from which on pieces come by falling length.
 GROUP, LARGE = 1 << 15, 5
 #: Rows and bytes of text that a task encodes at once; bytes of a kept chunk and of all that are kept.
-SLICE_ROWS, SLICE_BYTES, LONGEST, KEPT = 1024, 4 << 20, 64, 48 << 20
+SLICE_ROWS, SLICE_BYTES, LONGEST, KEPT = 4096, 12 << 20, 64, 160 << 20
+#: A word of plain letters with a few marks after it: two pre-tokens.
+MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]{1,3})").fullmatch
 #: A space after white space (more of it than any library's class holds): chunks can't be told apart there.
 ODD = r"[\s\x{1C}-\x{1F}\x0B\x{85}\p{Z}] "
 
@@ -40,13 +43,13 @@ class SpaceTokenizer:
     """Ids by the tokenizers library for byte-level vocabularies: a chunk begins at each space that follows no white space.
 
     The library's pre-tokens begin there too, so chunks are encoded apart and kept. Many new chunks go to the library as one
-    text: a token that begins with a space begins a chunk. Texts with a space after white space go to the library whole.
+    text: a token that begins with a space begins a chunk. Marks after plain letters are encoded apart from them. Texts with a space after white space go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.held = Tokenizer.from_file(path), {}, 0
+        self.tokenizer, self.kept, self.held, self.marks = Tokenizer.from_file(path), {}, 0, {}
         config = json.loads(self.tokenizer.to_str())
         split = config["pre_tokenizer"] or {}
         plain = not config["normalizer"] and (config["truncation"], config["padding"]) == (None, None) and not any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in config["added_tokens"])
@@ -72,19 +75,24 @@ class SpaceTokenizer:
         return [out[w] for w in words]
 
     def known(self, words: list[str]) -> list[bytes]:
-        """Packed ids of distinct words; short ones are kept up to a bound in bytes."""
+        """Packed ids of distinct words; short ones without marks are kept up to a bound in bytes, marks after letters are encoded apart."""
         got = list(map(self.kept.get, words))
-        new = [w for w, x in zip(words, got) if x is None]
-        if new:
-            fresh = self.chunks(new)
-            short = {w: x for w, x in zip(new, fresh) if len(x) <= LONGEST}
-            size = sum(map(len, short.values())) + 150 * len(short)
-            if self.held + size > KEPT:
-                self.kept, self.held = {}, 0
-            self.kept.update(short)
-            self.held += size
-            rest = iter(fresh)
-            got = [next(rest) if x is None else x for x in got]
+        missing = [(i, words[i], MARKED(words[i])) for i, x in enumerate(got) if x is None]
+        wanted = dict.fromkeys(m[1] if m else w for _, w, m in missing)
+        new = [w for w in wanted if w not in self.kept]
+        fresh = dict(zip(new, self.chunks(new), strict=True))
+        for i, w, m in missing:
+            core = m[1] if m else w
+            ids = fresh.get(core) or self.kept[core]
+            if m and m[2] not in self.marks:
+                (self.marks[m[2]],) = self.ids([m[2]])
+            got[i] = ids + self.marks[m[2]] if m else ids
+        short = {w: x for w, x in fresh.items() if len(x) <= LONGEST}
+        size = sum(map(len, short.values())) + 150 * len(short)
+        if self.held + size > KEPT:
+            self.kept, self.held = {}, 0
+        self.kept.update(short)
+        self.held += size
         return got
 
     def pack(self, texts: pa.Array) -> list[memoryview]:
