@@ -1,6 +1,6 @@
 """Operator 13: phrase collocations from FM-indexes over word ids, a pair of indexes (forward and reversed) for each shard.
 
-A task cuts its texts into shards of some two million words, at the ends of pieces. A shard's words become symbols, with symbol 0 between
+A task cuts its texts into shards of some million words, at the ends of pieces. A shard's words become symbols, with symbol 0 between
 pieces, and its two Burrows-Wheeler transforms are sorted as deep as phrases are long less one word, which is all that
 intervals of shorter phrases need. From the intervals of single words a step to the left gives all pairs with their counts, and steps to the
 right from there the longer phrases; each step keeps the intervals of both indexes in step, and is done for all intervals at
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from callgrove.llm.common import written
 
 #: Words of a shard; bytes of text read at once; buckets by bits, and the ranges in which they are summed.
-SHARD_WORDS, BLOCK, BITS, RANGES = 1 << 21, 4 << 20, 26, 512
+SHARD_WORDS, BLOCK, BITS, RANGES = 1 << 20, 4 << 20, 26, 512
 SALTS = 64
 #: Kinds of bytes: 0 of words, 1 between words, 2 between pieces. And A-Z in lower case.
 KIND, LOWER = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
