@@ -28,13 +28,18 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-def sums_before(lengths: Column, block: int = 256) -> Column:
-    """For each place of an array of numbers the sum of those before it; block sums keep long arrays cheap."""
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int")), lambda b: total(F.slice(lengths, b * block + 1, block)))
+def sums_before(lengths: Column, block: int = 64) -> Column:
+    """For each place of an array of numbers the sum of those before it; block sums keep long arrays cheap.
 
-    def with_blocks(sums: Column) -> Column:
-        before = F.transform(F.sequence(F.lit(0), F.size(sums) - 1), lambda b: F.when(b == 0, F.lit(0).cast("long")).otherwise(total(F.slice(sums, F.lit(1), b))))
-        return let(before, lambda base: F.transform(lengths, lambda _, k: base[F.floor(k / block).cast("int")] + total(F.slice(lengths, F.floor(k / block).cast("int") * block + 1, k % block))))
+    The array is computed once, then each number adds half a block and each block the blocks before it.
+    """
+    none = F.lit(0).cast("long")
+    total = lambda a: F.aggregate(a, none, lambda s, x: s + x)
 
-    return F.when(F.size(lengths) == 0, F.array().cast("array<bigint>")).otherwise(let(blocks, with_blocks))
+    def summed(all_: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / block).cast("int")), lambda b: total(F.slice(all_, b * block + 1, block)))
+        before = lambda sums: F.transform(sums, lambda _, b: F.when(b == 0, none).otherwise(total(F.slice(sums, F.lit(1), b))))
+        start = lambda k: F.floor(k / block).cast("int")
+        return let(let(blocks, before), lambda base: F.transform(all_, lambda _, k: base[start(k)] + total(F.slice(all_, start(k) * block + 1, k % block))))
+
+    return let(lengths, lambda all_: F.when(F.size(all_) == 0, F.array().cast("array<bigint>")).otherwise(summed(all_)))

@@ -46,6 +46,39 @@ def secrets(text):
     return {**{f"n_{k}": sum(x[1] == i for x in found) for i, k in enumerate(KINDS)}, "base_sha256": hashlib.sha256(said.encode()).hexdigest()}, said
 
 
+WEAK = {
+    "secret": r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])",
+    "endpoint": r"(?i)\bhttps?://[a-z0-9._~:/?#@!$&()*+,;=%-]+",
+    "user": r"(?i)\b(?:user|username|login|client_?id)[\"']?\x20*[:=]\x20*[\"']?[a-z0-9@._+-]{2,}",
+}
+
+
+def all_secrets(text, reach=400):
+    """All spans, weak ones only next to complementary parts (of other places, at most `reach` code points between the starts)."""
+    text = text or ""
+    _, said = secrets(text)
+    parts = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in said.split(",") if x)]
+    strong = list(parts)
+    parts += [(m.start(), k, m.end()) for k, p in WEAK.items() for m in re.finditer(p, text)]
+    out = list(strong)
+    for a, k, b in parts:
+        if k in WEAK:
+            near = {o for x, o, y in parts if abs(x - a) <= reach and (y <= a or x >= b)}
+            secret, login = near & {"assign", "hex", "secret"}, near & {"access", "user"}
+            if k == "secret" and ("access" in near or {"user", "endpoint"} <= near) or k == "endpoint" and secret and login or k == "user" and secret and "endpoint" in near:
+                out.append((a, k, b))
+    return sorted(out, key=lambda s: (s[0], [*KINDS, *WEAK].index(s[1]), s[2]))
+
+
+def redacted(text, mark="[SECRET]"):
+    out, at = "", 0
+    for a, _, b in all_secrets(text):
+        if a >= at:
+            out += text[at:a] + mark
+        at = max(at, b)
+    return out + text[at:]
+
+
 def bench_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
 
