@@ -3,66 +3,152 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callgrove.shared import written
+from callgrove.operators import tiles
+from callgrove.shared import sized, written
 
-FIELDS = "variant_id long, n long, beta double, se double, odds_ratio double, ci_low double, ci_high double, z double, p double, errcode string"
+VALUES = ["beta", "se", "odds_ratio", "ci_low", "ci_high", "z", "p"]
 
+#: Newton steps, the largest change that ends them, and the largest coefficient and error of a fit that has settled.
+STEPS, TOLERANCE, LARGEST, LARGEST_SE = 25, 1e-8, 30.0, 1e3
+OPEN, DONE, FAILED = 0.0, 1.0, 2.0
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 25, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray] | None:
-    """Coefficients and their standard errors by iterated least squares; None if the fit does not settle or separates."""
-    w = np.zeros(x.shape[1])
+
+def person_blocks(people: DataFrame, samples: DataFrame, names: list[str]) -> DataFrame:
+    """(block, data): a row for each sample of the block: 1, the covariates less their mean over their spread, and case status.
+
+    Covariates that do not vary are left out. Case status is the last column.
+    """
+    spread = people.agg(*[F.struct(F.avg(n).alias("m"), F.stddev_pop(n).alias("s")).alias(n) for n in names]).first() if names else {}
+    used = [n for n in names if spread[n]["s"]]
+    row = F.array(F.lit(1.0), *[(F.col(n) - spread[n]["m"]) / spread[n]["s"] for n in used], F.col("__y"))
+    placed = samples.join(people.select("sample_id", row.alias("row")), "sample_id").select("block", "at", "row")
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        data = group["row"].combine_chunks().flatten().to_numpy()
+        return pa.Table.from_batches([tiles.as_table([(group["block"][0].as_py(), data)])])
+
+    return written(placed.groupBy("block").applyInArrow(pack, "block long, data binary").withColumn("width", F.lit(len(used) + 2)), "people")
+
+
+def normal_equations(cells: DataFrame, people: DataFrame, state: DataFrame, width: int) -> DataFrame:
+    """(block, data): for each variant of a block the gradient and the matrix of second derivatives, summed over all blocks of samples."""
+    met = cells.join(people.select(F.col("block").alias("sb"), F.col("data").alias("who")), "sb").join(state.select(F.col("block").alias("vb"), F.col("data").alias("fit")), "vb")
+
+    def product(vb: int, i: bytes, j: bytes, x: bytes, who: bytes, fit: bytes) -> tuple[int, np.ndarray]:
+        own, fits = tiles.matrix(who, width), tiles.matrix(fit, width + 1)
+        c, y, beta = own[:, :-1], own[:, -1], fits[:, :-1]
+        g, there = tiles.dense(i, j, x, len(fits), len(own))
+        p = 1 / (1 + np.exp(-np.clip(beta[:, :1] * g + beta[:, 1:] @ c.T, -35, 35)))
+        rest, w = (y - p) * there, p * (1 - p) * there
+        gradient = np.column_stack([(rest * g).sum(1), rest @ c])
+        second = np.empty((len(fits), width, width))
+        second[:, 0, 0] = (w * g * g).sum(1)
+        second[:, 0, 1:] = second[:, 1:, 0] = (w * g) @ c
+        second[:, 1:, 1:] = (w @ (c[:, :, None] * c[:, None, :]).reshape(len(c), -1)).reshape(len(fits), width - 1, width - 1)
+        return vb, np.column_stack([gradient, second.reshape(len(fits), -1)]).ravel()
+
+    return tiles.summed_products(met.select("vb", "i", "j", "x", "who", "fit"), product)
+
+
+def newton_step(fits: np.ndarray, sums: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The next coefficients and state of each variant, and the standard error of the dosage."""
+    width = fits.shape[1] - 1
+    beta, state, se = fits[:, :-1].copy(), fits[:, -1].copy(), np.full(len(fits), np.nan)
+    at = np.flatnonzero(state == OPEN)
+    gradient, second = sums[at, :width], sums[at, width:].reshape(-1, width, width)
+    whole = np.isfinite(second).all((1, 2))
+    at, gradient, second, broken = at[whole], gradient[whole], second[whole], at[~whole]
+    state[broken] = FAILED
+    # a covariate that does not vary among the samples of a variant depends on the constant: the pseudo-inverse shares their weight
+    inverse = np.linalg.pinv(second, rcond=1e-12, hermitian=True)
+    move = np.einsum("kij,kj->ki", inverse, gradient)
+    beta[at] += move
+    variance = inverse[:, 0, 0]
+    se[at] = np.sqrt(np.where(variance > 0, variance, np.nan))
+    lost = ~np.isfinite(beta[at]).all(1) | (np.abs(beta[at]).max(1) > LARGEST)
+    settled = ~lost & (np.abs(move).max(1) < tolerance)
+    state[at[lost | settled & ~(se[at] < LARGEST_SE)]] = FAILED
+    state[at[settled & (se[at] < LARGEST_SE)]] = DONE
+    beta[state == FAILED] = 0
+    return np.column_stack([beta, state]), se
+
+
+def newton(cells: DataFrame, people: DataFrame, variants: DataFrame, width: int, steps: int, tolerance: float) -> DataFrame:
+    """(block, data): coefficients (the dosage's first), state and standard error of each variant of a block.
+
+    Each step is one pass over the tiles; a written table of the coefficients is all that goes from one to the next.
+    """
+    sizes = variants.groupBy("block").agg(F.count("*").alias("m"))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield tiles.as_table([(b, np.zeros((m, width + 1)))])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, fit, error, sums in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                fits = tiles.matrix(fit, width + 1)
+                new, se = newton_step(fits, tiles.matrix(sums, width + width * width), tolerance)
+                old = np.frombuffer(error, "<f8") if error else np.full(len(fits), np.nan)
+                se = np.where(np.isnan(se), old, se)
+                names = ["block", "data", "error", "open"]
+                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([new.tobytes()]), pa.array([se.tobytes()]), pa.array([int((new[:, -1] == OPEN).sum())])], names=names)
+
+    state = sizes.mapInArrow(begin, "block long, data binary").withColumn("error", F.lit(None).cast("binary")).withColumn("open", F.lit(1).cast("long"))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        h = (x * (p * (1 - p))[:, None]).T @ x
-        try:
-            move = np.linalg.solve(h, x.T @ (y - p))
-            inverse = np.linalg.inv(h)
-        except np.linalg.LinAlgError:
-            return None
-        w = w + move
-        if not np.isfinite(w).all() or np.abs(w).max() > 30:
-            return None
-        if np.abs(move).max() < tolerance:
-            se = np.sqrt(np.diag(inverse))
-            return (w, se) if np.isfinite(se).all() and se.max() < 1e3 else None
-    return None
-
-
-def logistic_scan(calls: DataFrame, pheno: DataFrame, covars: DataFrame, names: list[str], ci: float = 0.95) -> DataFrame:
+        active = state.where("open > 0")
+        sums = normal_equations(cells, people, active, width).select(F.col("block").alias("b"), F.col("data").alias("sums"))
+        moved = active.join(sums, F.col("block") == F.col("b")).select("block", "data", "error", "sums").mapInArrow(step, "block long, data binary, error binary, open long")
+        state = written(moved.unionByName(state.where("open = 0")), "newton")
+        if not state.where("open > 0").head(1):
+            break
+    return state.select("block", "data", "error")
+
+
+def logistic_scan(calls: DataFrame, pheno: DataFrame, covars: DataFrame, names: list[str], ci: float = 0.95, steps: int = STEPS, tolerance: float = TOLERANCE, unsettled: bool = False) -> DataFrame:
     """Odds ratio, standard error, interval, z and p of the dosage for each variant, with covariates (sample_id, names).
 
-    pheno is 1 (control) or 2 (case). A variant's samples are one group: its size is the cohort, not the data.
-    A fit that fails has NULLs and an error code.
+    pheno is 1 (control) or 2 (case). Variants and samples are tiles: all variants of a block share the matrix of covariates of a block of
+    samples, and a step of Newton's method adds up the normal equations over these blocks, so no group grows with the cohort.
+    A fit that fails has NULLs and an error code; `unsettled` keeps coefficients that are still moving after the last step.
     """
-    people = pheno.join(covars, "sample_id").select("sample_id", (F.col("pheno") == 2).cast("double").alias("__y"), *names)
-    rows = calls.where("gt IS NOT NULL").select("variant_id", "sample_id", "gt").join(people, "sample_id").dropna(subset=["__y", *names])
+    people = written(pheno.join(covars, "sample_id").select("sample_id", (F.col("pheno") == 2).cast("double").alias("__y"), *names).dropna(subset=["__y", *names]), "people-rows")
+    rows = calls.where("gt IS NOT NULL").select("variant_id", "sample_id", "gt").join(sized(people.select("sample_id", "__y")), "sample_id")
+    rows = written(rows, "scan-calls")
+    counts = rows.groupBy("variant_id").agg(F.count("*").alias("n"), (F.min("__y") == F.max("__y")).alias("one_class"), (F.min("gt") == F.max("gt")).alias("one_dosage"))
+    counts = written(counts, "scan-counts")
+    usable = rows.join(counts.where("NOT one_class AND NOT one_dosage").select("variant_id"), "variant_id", "left_semi")
+    samples, variants = tiles.blocks_of(people, "sample_id"), tiles.blocks_of(usable, "variant_id")
+    who = person_blocks(people, samples, names)
+    width = who.select("width").head(1)[0][0] if who.head(1) else 2
+    fits = newton(tiles.tiled(usable, "gt", variants, samples), who, variants, width, steps, tolerance)
     quantile = 1.959963984540054 if ci == 0.95 else float(np.sqrt(2) * _erfinv(ci))
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        y, g = group["__y"].to_numpy(), group["gt"].to_numpy(float)
-        row = [group["variant_id"].iloc[0], len(group), *[None] * 7]
-        if len(set(y)) < 2:
-            return pd.DataFrame([[*row, "NO_CONTRAST"]], columns=[f.split()[0] for f in FIELDS.split(", ")])
-        if len(set(g)) < 2:
-            return pd.DataFrame([[*row, "CONST_ALLELE"]], columns=[f.split()[0] for f in FIELDS.split(", ")])
-        c = group[names].to_numpy(float)
-        c = c[:, c.std(0) > 0] if len(names) else c
-        c = (c - c.mean(0)) / c.std(0) if c.shape[1] else c
-        got = fit(np.column_stack([g, np.ones(len(g)), c]), y) if len(g) > c.shape[1] + 2 else None
-        if got is None:
-            return pd.DataFrame([[*row, "UNFINISHED"]], columns=[f.split()[0] for f in FIELDS.split(", ")])
-        b, se = float(got[0][0]), float(got[1][0])
-        z = b / se
-        values = [*row[:2], b, se, math.exp(b), math.exp(b - quantile * se), math.exp(b + quantile * se), z, math.erfc(abs(z) / math.sqrt(2)), "."]
-        return pd.DataFrame([values], columns=[f.split()[0] for f in FIELDS.split(", ")])
-
-    return rows.groupBy("variant_id").applyInPandas(scan, FIELDS)
+    def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, fit, error in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own, se = tiles.matrix(fit, width + 1), np.frombuffer(error, "<f8")
+                done = (own[:, -1] == DONE) | (unsettled & (own[:, -1] == OPEN) & np.isfinite(se))
+                beta, se = np.where(done, own[:, 0], 0.0), np.where(done, se, 1.0)
+                z = beta / se
+                tail = np.fromiter(map(math.erfc, np.abs(z) / math.sqrt(2)), float, len(z))
+                values = (beta, se, np.exp(beta), np.exp(beta - quantile * se), np.exp(beta + quantile * se), z, tail)
+                codes = pa.array(np.where(done, ".", "UNFINISHED").tolist(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), b)), pa.array(np.arange(len(own), dtype=np.int32)), *[pa.array(v, mask=~done) for v in values], codes], names=["b", "place", *VALUES, "code"])
+
+    found = fits.mapInArrow(said, "b long, place int, " + ", ".join(f"{v} double" for v in VALUES) + ", code string")
+    placed = variants.join(found, (F.col("block") == F.col("b")) & (F.col("at") == F.col("place"))).select(F.col("variant_id").alias("v"), *VALUES, "code")
+    code = F.when(F.col("one_class"), "NO_CONTRAST").when(F.col("one_dosage"), "CONST_ALLELE").otherwise(F.coalesce("code", F.lit("UNFINISHED")))
+    return counts.join(placed, F.col("variant_id") == F.col("v"), "left").select("variant_id", "n", *VALUES, code.alias("errcode"))
 
 
 def _erfinv(p: float) -> float:

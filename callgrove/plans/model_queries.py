@@ -24,8 +24,7 @@ ld AS (SELECT v1, v2, n, CAST((n * sxy - sx * sy) * (n * sxy - sx * sy) AS DOUBL
 @query(f"{LD_SQL} SELECT v1, v2, n, round(r2, 9) AS r2 FROM ld WHERE r2 > 0.2")
 def win4_ld_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlated neighbours, the conflicts of the pruning."""
-    pairs = linkage.ld_neighbours(schema.variants(spark, sf_dir), 50)
-    return rounded(linkage.correlations(schema.calls(spark, sf_dir), pairs).where("r2 > 0.2"), 9)
+    return rounded(linkage.correlations(schema.calls(spark, sf_dir), schema.variants(spark, sf_dir), 50).where("r2 > 0.2"), 9)
 
 
 @query()
@@ -135,12 +134,12 @@ def lin7_cover_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def win4_prune_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the pruning must hold: no two kept variants are linked, and each dropped one is linked to a kept one that goes before it."""
     calls, variants = schema.calls(spark, sf_dir), schema.variants(spark, sf_dir)
-    linked = written(linkage.correlations(calls, linkage.ld_neighbours(variants, 50)).where("r2 > 0.2").select("v1", "v2"), "linked")
+    linked = written(linkage.correlations(calls, variants, 50).where("r2 > 0.2").select("v1", "v2"), "linked")
     nodes = written(linkage.priorities(calls, variants), "nodes")
-    kept = written(linkage.prune(nodes, linked), "kept").withColumn("stays", F.lit(1))
+    kept = written(linkage.prune_ranked(nodes, linked, 50), "kept").withColumn("stays", F.lit(1))
     both = linked.unionByName(linked.select(F.col("v2").alias("v1"), F.col("v1").alias("v2")))
     for k in (1, 2):
-        state = nodes.join(kept, "variant_id", "left").select(F.col("variant_id").alias(f"v{k}"), F.col("prio").alias(f"p{k}"), F.coalesce("stays", F.lit(0)).alias(f"s{k}"))
+        state = nodes.select("variant_id", "prio").join(kept, "variant_id", "left").select(F.col("variant_id").alias(f"v{k}"), F.col("prio").alias(f"p{k}"), F.coalesce("stays", F.lit(0)).alias(f"s{k}"))
         both = both.join(state, f"v{k}")
     beaten = both.where("s1 = 0 AND s2 = 1 AND p2 < p1").select(F.col("v1").alias("variant_id")).distinct()
     dropped = nodes.join(kept, "variant_id", "left_anti").join(beaten, "variant_id", "left_anti")

@@ -92,7 +92,7 @@ def reference_projection(calls: DataFrame, ref_calls: DataFrame, variants: DataF
     shared = filters.shared_ids(calls, ref_calls, "variant_id")
     ids = pca_variants(filters.keep(ref_calls, shared, "variant_id"), variants, regions)
     of_ref = filters.keep(ref_calls, ids, "variant_id")
-    _, _, weights = linalg.pca(of_ref, k)
+    _, _, weights = linalg.pca(of_ref, k, method="approximate")
     scores = linalg.project(filters.keep(calls, ids, "variant_id"), weights, stats.allele_freq(of_ref), k)
     placed = scores.withColumnsRenamed({"pc1_avg": "pc1", "pc2_avg": "pc2"}).join(labels, "sample_id")
     return filters.in_rect(placed, groups, xlim, ylim)

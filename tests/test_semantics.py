@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from callgrove import schema
+from callgrove import schema, shared
 from callgrove.functions import expr, reference
 from callgrove.operators import association, concordance, filters, kinship, linkage, selection, stats
 
@@ -151,12 +152,60 @@ def test_pruning_leaves_no_correlated_pair(spark):
     ids = {x.variant_id for x in kept.collect()}
     assert 0 < len(ids) < 24
     left = filters.keep(v, kept, "variant_id")
-    assert linkage.correlations(c, linkage.ld_neighbours(left)).where("r2 > 0.2").count() == 0
-    linked = linkage.correlations(c, linkage.ld_neighbours(v)).where("r2 > 0.2").collect()
+    assert linkage.correlations(c, left).where("r2 > 0.2").count() == 0
+    linked = linkage.correlations(c, v).where("r2 > 0.2").collect()
     near = {i: {x.v2 for x in linked if x.v1 == i} | {x.v1 for x in linked if x.v2 == i} for i in range(24)}
     assert all(near[i] & ids for i in range(24) if i not in ids)
 
 
+def test_bit_planes_give_plain_correlations(spark):
+    """Pairs of every distance below the window, across blocks of ranks and of samples, with missing calls and gaps."""
+    r = random.Random(8)
+    rows = [(v, s, r.choice([0, 1, 1, 2, None])) for v in range(-3, 27) for s in range(-70, 300) if v % 7 or s % 3]
+    c = calls(spark, rows)
+    v = spark.createDataFrame([(i, "chr1" if i < 20 else "chr2", i // 2, "A", "C", "PASS", 60.0, 20.0) for i in range(-3, 30)], schema.VARIANTS)
+    by = {}
+    for a, s, g in rows:
+        if g is not None:
+            by.setdefault(a, {})[s] = g
+    ranks = {x.variant_id: (x.chrom, x.idx) for x in linkage.indexed(v).collect()}
+    want = {}
+    for a in by:
+        for b in by:
+            if ranks[a][0] == ranks[b][0] and 0 < ranks[b][1] - ranks[a][1] < 6:
+                both = [(by[a][s], by[b][s]) for s in by[a] if s in by[b]]
+                x, y = np.array(both, float).T
+                want[a, b] = (len(both), round(float(np.corrcoef(x, y)[0, 1] ** 2), 9))
+    planes = linkage.window_sums(linkage.bit_planes(c), linkage.indexed(v), 6, words=2)
+    got = {(x.v1, x.v2): (x.n, round(x.r2, 9)) for x in linkage.correlations(c, v, 6).collect()}
+    assert got == want and {(x.v1, x.v2): x.n for x in planes.collect()} == {k: n for k, (n, _) in want.items()}
+    assert linkage.correlations(c.limit(0), v).count() == 0
+
+
+@pytest.mark.parametrize("chain", [True, False])
+def test_pruning_settles_chains_in_a_round_a_border(spark, monkeypatch, chain):
+    """The kept set is that of the plain greedy rule; a chain of falling priorities takes no round for each node."""
+    r, n = random.Random(3), 600
+    prio = {i: (i if chain else r.randrange(40), i) for i in range(n)}
+    pairs = [(i, i + 1) for i in range(n - 1)] if chain else [(i, i + r.randrange(1, 10)) for i in range(n - 10) for _ in range(2)]
+    near = {i: set() for i in range(n)}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    want = set()
+    for i in sorted(prio, key=prio.get):
+        if not near[i] & want:
+            want.add(i)
+    rounds = []
+    monkeypatch.setattr(linkage, "written", lambda df, name: (rounds.append(name), shared.written(df, name))[1])
+    nodes = spark.createDataFrame([(i, prio[i], None if i < 0 else "c", i) for i in range(n)], "variant_id long, prio struct<a:long,b:long>, chrom string, idx long")
+    kept = linkage.prune_ranked(nodes, spark.createDataFrame(pairs, "v1 long, v2 long"), 10, stretch=100)
+    assert {x.variant_id for x in kept.collect()} == want
+    assert rounds.count("prune-round") <= n // 100 + 1
+    none = linkage.prune_ranked(nodes, spark.createDataFrame([], "v1 long, v2 long"), 10)
+    assert none.count() == n and linkage.prune_ranked(nodes.limit(0), spark.createDataFrame(pairs, "v1 long, v2 long"), 10).count() == 0
+
+
 def test_cover_touches_every_pair(spark):
     r = random.Random(6)
     pairs = sorted({tuple(sorted(r.sample(range(30), 2))) for _ in range(35)})
@@ -218,16 +267,37 @@ def test_left_align_goes_as_far_as_the_repeat(spark):
 
 
 def test_both_ways_of_components_agree(spark, monkeypatch):
-    import numpy as np
+    """A cohort of three groups, so that its first components stand out, in many tiles."""
+    from callgrove.operators import linalg, tiles
+
+    monkeypatch.setattr(tiles.blocks_of, "__defaults__", (16,))
+    r = np.random.default_rng(4)
+    p = r.uniform(0.1, 0.9, (3, 150))
+    rows = [(v, s, int(r.binomial(2, p[s % 3, v])) if r.random() > 0.03 else None) for v in range(150) for s in range(50)]
+    c = calls(spark, [(v, s * 7 - 20, g) for v, s, g in rows])
+    one, two = linalg.pca(c, 2), linalg.pca(c, 2, method="approximate")
+    for a, b, key in zip(one, two, ("sample_id", "pc", "variant_id"), strict=True):
+        assert np.allclose(a.orderBy(key).toPandas().to_numpy(float), b.orderBy(key).toPandas().to_numpy(float), atol=1e-6)
+    flat = linalg.pca(c, 10, method="approximate")  # further components hardly differ, but they are orthonormal
+    v = flat[0].orderBy("sample_id").toPandas().to_numpy(float)[:, 1:]
+    assert np.allclose(v.T @ v, np.eye(10), atol=1e-9)
+    monkeypatch.setattr(linalg, "EXACT_SAMPLES", 10)
+    with pytest.raises(ValueError):
+        linalg.pca(c, 2)
 
+
+def test_components_of_dependent_samples(spark):
+    """Fewer directions than asked for: samples that are copies of two."""
     from callgrove.operators import linalg
 
-    c = random_calls(spark, 3, 60, 12)[0]
-    one = linalg.pca(c, 3)
-    monkeypatch.setattr(linalg, "GRAM_WIDTH", 4)
-    two = linalg.pca(c, 3)
-    for a, b, key in zip(one, two, ("sample_id", "pc", "variant_id"), strict=True):
-        assert np.allclose(a.orderBy(key).toPandas().to_numpy(float), b.orderBy(key).toPandas().to_numpy(float), atol=1e-6)
+    r = np.random.default_rng(5)
+    g = r.integers(0, 3, (60, 2))
+    c = calls(spark, [(v, s, int(g[v, s % 2])) for v in range(60) for s in range(6)])
+    scores, values, weights = linalg.pca(c, 4, method="approximate")
+    exact = linalg.pca(c, 4)[1].orderBy("pc").toPandas()["eigenvalue"].to_numpy()
+    got = values.orderBy("pc").toPandas()["eigenvalue"].to_numpy()
+    assert np.allclose(got, exact[: len(got)], atol=1e-8) and np.allclose(exact[len(got) :], 0, atol=1e-8)
+    assert scores.count() == 6 and weights.count() > 0
 
 
 def test_folders_are_removed(spark):
@@ -264,9 +334,40 @@ def test_logistic_scan(spark):
     assert got[2].errcode == "CONST_ALLELE" and got[2].p is None and 3 not in got
 
 
-def test_pca_matches_numpy(spark):
-    import numpy as np
+def plain_fit(x, y):
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-x @ w))
+        h = (x * (p * (1 - p))[:, None]).T @ x
+        move = np.linalg.solve(h, x.T @ (y - p))
+        w = w + move
+        if np.abs(move).max() < 1e-9:
+            return w[0], np.sqrt(np.linalg.inv(h)[0, 0])
+    return None
+
+
+def test_logistic_scan_in_tiles_equals_plain_fits(spark, monkeypatch):
+    """Many small tiles, missing calls, a covariate that does not vary at all, and one that does not within a variant."""
+    from callgrove.operators import tiles
+
+    monkeypatch.setattr(tiles.blocks_of, "__defaults__", (20,))
+    r = np.random.default_rng(6)
+    people = [(s, 2 if r.random() < 0.4 else 1, float(r.normal(50, 20)), float(s % 2), 3.0) for s in range(130)]
+    rows = [(v, s, int(r.integers(0, 3)) if r.random() > 0.1 else None) for v in range(40) for s in range(130) if v != 7 or s % 2]
+    rows += [(100, s, int(people[s][1] == 2)) for s in range(130)] + [(101, s, s % 3) for s in range(130) if people[s][1] == 1] + [(102, s, 1) for s in range(130)]
+    p = spark.createDataFrame(people, "sample_id long, pheno int, age double, sex double, same double")
+    got = {x.variant_id: x for x in association.logistic_scan(calls(spark, rows), p.select("sample_id", "pheno"), p.drop("pheno"), ["age", "sex", "same"]).collect()}
+    for v in range(40):
+        own = [(g, *people[s][1:4]) for a, s, g in rows if a == v and g is not None]
+        g, y, age, sex = np.array(own, float).T
+        x = np.column_stack([g, np.ones(len(g)), (age - 50) / 20, sex][: 3 if v == 7 else 4])
+        beta, se = plain_fit(x, (y == 2).astype(float))
+        assert (got[v].n, got[v].errcode) == (len(own), ".") and got[v].beta == pytest.approx(beta, abs=1e-7) and got[v].se == pytest.approx(se, abs=1e-6)
+        assert got[v].p == pytest.approx(math.erfc(abs(beta / se) / math.sqrt(2)), abs=1e-6)
+    assert [got[v].errcode for v in (100, 101, 102)] == ["UNFINISHED", "NO_CONTRAST", "CONST_ALLELE"] and got[100].beta is None
+
 
+def test_pca_matches_numpy(spark):
     from callgrove.operators import linalg
 
     r = np.random.default_rng(9)
