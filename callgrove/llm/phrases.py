@@ -6,8 +6,8 @@ intervals of shorter phrases need. From the intervals of single words a step to
 right from there the longer phrases; each step keeps the intervals of both indexes in step, and is done for all intervals at
 once. Counts are summed across shards by Spark.
 
-Before, one pass counts words and pairs in 2^26 buckets (PCY): a bucket below the least count holds no frequent word or pair, so the
-indexes leave out what can't be a candidate or a part of one. Buckets only spare work: what they let pass is counted exactly,
+Before, one pass counts words and pairs in 2^25 buckets (PCY), and triples in as many: a bucket below the least count holds nothing frequent, so
+the indexes leave out what can't be a candidate or a part of one. Buckets only spare work: what they let pass is counted exactly,
 and a table so full that all passes gives the same rows. Their bitmap has 8 MB whatever the input and is the only thing that is broadcast.
 
 Defined results: null texts are empty, null languages are `und`; case is lowered for A-Z alone; texts without a word count for
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from callgrove.llm.common import written
 
 #: Words of a shard; bytes of text read at once; buckets by bits, and the ranges in which they are summed.
-SHARD_WORDS, BLOCK, BITS, RANGES = 1 << 20, 4 << 20, 26, 512
+SHARD_WORDS, BLOCK, BITS, RANGES = 1 << 20, 4 << 20, 25, 512
 SALTS = 64
 #: Kinds of bytes: 0 of words, 1 between words, 2 between pieces. And A-Z in lower case.
 KIND, LOWER = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
@@ -90,9 +90,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def buckets(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
-    """Buckets of words by their hashes, or of pairs."""
-    return (mixed(a if b is None else mixed(a) * np.uint64(3) + b) >> np.uint64(64 - BITS)).astype(np.int64)
+def buckets(*hashed: np.ndarray) -> np.ndarray:
+    """Buckets by the hashes of one, two or three words; those of three have a half of the table to themselves."""
+    h = hashed[0]
+    for other in hashed[1:]:
+        h = mixed(h) * np.uint64(3) + other
+    return (mixed(h) >> np.uint64(64 - BITS)).astype(np.int64) + (len(hashed) == 3) * (1 << BITS)
 
 
 def hashes(words: list[bytes], langs: np.ndarray, names: list[str]) -> np.ndarray:
@@ -103,10 +106,10 @@ def hashes(words: list[bytes], langs: np.ndarray, names: list[str]) -> np.ndarra
 
 def count_buckets(docs: DataFrame) -> DataFrame:
     """(range, counts, lang, words): counts of a range of buckets, 255 at most, as a zstandard frame; and, of range -1, words by language."""
-    width = (1 << BITS) // RANGES
+    width = (2 << BITS) // RANGES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = np.zeros(1 << BITS, np.uint8), {}
+        table, total = np.zeros(2 << BITS, np.uint8), {}
         for batch in batches:
             for block, langs, names in blocks(batch):
                 coded = block.words.dictionary_encode()
@@ -117,15 +120,17 @@ def count_buckets(docs: DataFrame) -> DataFrame:
                 for name, c in zip(names, np.bincount(word_lang, minlength=len(names)).tolist(), strict=True):
                     total[name] = total.get(name, 0) + c
                 joined = np.flatnonzero(~block.new_piece)
-                single = np.bincount(back, minlength=len(pair))
-                for found, times in ((buckets(h), single), np.unique(buckets(h[back[joined - 1]], h[back[joined]]), return_counts=True)):
+                third = joined[~block.new_piece[joined - 1]]
+                single, own = np.bincount(back, minlength=len(pair)), h[back]
+                pairs, triples = buckets(own[joined - 1], own[joined]), buckets(own[third - 2], own[third - 1], own[third])
+                for found, times in ((buckets(h), single), np.unique(pairs, return_counts=True), np.unique(triples, return_counts=True)):
                     order = np.argsort(found)  # several words may share a bucket
                     found, times = found[order], times[order]
                     first = np.flatnonzero(np.diff(found, prepend=-1))
                     if len(first):
                         found, times = found[first], np.add.reduceat(times, first)
                         table[found] = np.minimum(table[found] + times, 255)
-        zip_ = zstandard.ZstdCompressor(level=1)
+        zip_ = zstandard.ZstdCompressor(level=3)
         parts = table.reshape(RANGES, width)
         ranges = np.flatnonzero(parts.any(axis=1)).tolist()
         names = list(total)
@@ -139,7 +144,7 @@ def count_buckets(docs: DataFrame) -> DataFrame:
 
 def frequent_buckets(counted: DataFrame, least: int) -> np.ndarray:
     """One bit for each bucket of at least so many: a bitmap of fixed size, its ranges summed by Spark."""
-    width = (1 << BITS) // RANGES
+    width = (2 << BITS) // RANGES
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip, at, sums = zstandard.ZstdDecompressor(), None, np.zeros(width, np.uint16)
@@ -159,7 +164,7 @@ def frequent_buckets(counted: DataFrame, least: int) -> np.ndarray:
 
     parts = counted.where("range >= 0").select("range", "counts").repartition("range").sortWithinPartitions("range").mapInArrow(add, "range int, bits binary")
     bitmap = np.zeros((RANGES, width // 8), np.uint8)
-    for k, bits in parts.collect():  # at most RANGES rows, 2^BITS bits
+    for k, bits in parts.collect():  # at most RANGES rows, twice 2^BITS bits
         bitmap[k] = np.frombuffer(bits, np.uint8)
     return bitmap.ravel()
 
@@ -254,7 +259,8 @@ def shard_phrases(words: pa.Array, langs: np.ndarray, names: list[str], new_piec
     yield from said(columns, counts)
     for _ in range(longest - 2):
         owner, right, behind, ahead, counts = index.extended(index.back, behind, ahead, counts)
-        keep = passes(buckets(h[columns[-1][owner]], h[right]))
+        last = h[columns[-1][owner]]
+        keep = passes(buckets(last, h[right])) & passes(buckets(h[columns[-2][owner]], last, h[right]))
         columns = [*(c[owner[keep]] for c in columns), right[keep]]
         ahead, behind, counts = ahead[keep], behind[keep], counts[keep]
         yield from said(columns, counts)
