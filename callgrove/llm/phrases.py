@@ -303,9 +303,11 @@ def collocations(counts: DataFrame, share: int) -> DataFrame:
     inner = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: part(i, n)))))
     longer = phrases.where(size > 2).select("lang", inner.alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longest"))
     kept = phrases.join(longer, ["lang", "phrase"], "left").where(F.col("longest").isNull() | (100 * F.col("longest") < share * F.col("a"))).drop("longest")
-    cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), size - 1))).withColumns({"left": part(F.lit(1), F.col("k")), "right": part(F.col("k") + 1, size - F.col("k"))})
-    of = lambda p, n: counts.select("lang", F.col("phrase").alias(p), F.col("f").alias(n))
-    met = cuts.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"])
+    cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), size - 1)))
+    # the parts are keys of the joins and no columns, so that only phrases are shuffled
+    of = lambda p, n: counts.select(F.col("lang").alias(f"{n}_lang"), F.col("phrase").alias(p), F.col("f").alias(n))
+    met = cuts.join(of("left", "l"), (F.col("lang") == F.col("l_lang")) & (part(F.lit(1), F.col("k")) == F.col("left"))).drop("left", "l_lang")
+    met = met.join(of("right", "r"), (F.col("lang") == F.col("r_lang")) & (part(F.col("k") + 1, size - F.col("k")) == F.col("right"))).drop("right", "r_lang")
     whole = lambda c: f"cast({c} as decimal(19, 0))"
     scored = met.withColumn("score", F.expr(f"({whole('a')} * {whole('a')} * cast(1000000 as decimal(7, 0))) div ({whole('l')} * {whole('r')})"))
     best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
