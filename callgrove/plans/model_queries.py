@@ -11,7 +11,7 @@ from callgrove.operators import association, kinship, linalg, linkage, stats
 from callgrove.plans.filter_queries import SCORES, some_scores
 from callgrove.plans.registry import query
 from callgrove.plans.statistic_queries import rounded
-from callgrove.shared import written
+from callgrove.shared import sized, written
 
 LD_SQL = """, ix AS (SELECT chrom, variant_id, row_number() OVER (PARTITION BY chrom ORDER BY pos, variant_id) AS i FROM variants),
 pr AS (SELECT a.variant_id AS v1, b.variant_id AS v2 FROM ix a JOIN ix b ON a.chrom = b.chrom AND b.i > a.i AND b.i - a.i < 50),
@@ -60,12 +60,12 @@ def lin3_pca_group_plot_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Given weights: functions of a variant's number, for every third one."""
-    v = schema.variants(spark, sf_dir).where("variant_id % 3 = 0")
+    """Given weights: functions of a variant's number."""
+    v = schema.variants(spark, sf_dir)
     return v.select("variant_id", *[((F.col("variant_id") * (k + 1) % 17 - 8) / 10.0).alias(f"pc{k + 1}") for k in range(3)])
 
 
-WEIGHTS = ", wt AS (SELECT variant_id, " + ", ".join(f"(variant_id * {k + 1} % 17 - 8) / 10.0 AS pc{k + 1}" for k in range(3)) + " FROM variants WHERE variant_id % 3 = 0)"
+WEIGHTS = ", wt AS (SELECT variant_id, " + ", ".join(f"(variant_id * {k + 1} % 17 - 8) / 10.0 AS pc{k + 1}" for k in range(3)) + " FROM variants)"
 
 
 @query(f"{WEIGHTS}, z AS (SELECT variant_id, sample_id, (gt - 2 * alt_freq) / sqrt(2 * alt_freq * (1 - alt_freq)) AS z FROM calls JOIN freq USING (variant_id) WHERE gt IS NOT NULL AND alt_freq > 0 AND alt_freq < 1) SELECT sample_id, count(*) AS n_used, " + ", ".join(f"round(sum(pc{k} * z) / (2 * count(*)), 8) AS pc{k}_avg" for k in (1, 2, 3)) + " FROM z JOIN wt USING (variant_id) GROUP BY sample_id")
@@ -146,16 +146,51 @@ def win4_prune_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.agg(F.count("*").alias("variants")).crossJoin(linked.agg(F.count("*").alias("linked"))).crossJoin(both.agg(F.count_if((F.col("s1") == 1) & (F.col("s2") == 1)).cast("int").alias("kept_and_linked"))).crossJoin(dropped.agg(F.count("*").cast("int").alias("dropped_unbeaten")))  # one row each
 
 
-@query("SELECT CAST(a.i AS INT) AS a, CAST(b.i AS INT) AS b, CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END AS product FROM range(1, 11) a(i), range(1, 11) b(i) WHERE a.i <= b.i")
-def lin2_pca_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+PRODUCTS = "SELECT CAST(a.i AS INT) AS a, CAST(b.i AS INT) AS b, CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END AS product FROM range(1, 11) a(i), range(1, 11) b(i) WHERE a.i <= b.i"
+
+
+def products(scores: DataFrame) -> DataFrame:
     """Products of the score columns: one with itself, zero with others."""
-    scores = linalg.pca(schema.calls(spark, sf_dir), 10)[0]
     pairs = [(i, j) for i in range(1, len(scores.columns)) for j in range(i, len(scores.columns))]
     sums = scores.agg(*[F.sum(F.col(f"pc{i}") * F.col(f"pc{j}")).alias(f"s{i}_{j}") for i, j in pairs])
     rows = F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b"), (F.round(F.col(f"s{i}_{j}"), 6) + 0.0).alias("product")) for i, j in pairs])).alias("r")
     return sums.select(rows).select("r.*")
 
 
+@query(PRODUCTS)
+def lin2_pca_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products(linalg.pca(schema.calls(spark, sf_dir), 10)[0])
+
+
+@query(PRODUCTS)
+def lin2_pca_approximate_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the components by subspace iteration."""
+    return products(linalg.pca(schema.calls(spark, sf_dir), 10, method="approximate")[0])
+
+
+Z_SQL = "z AS (SELECT variant_id, sample_id, (gt - 2 * alt_freq) / sqrt(2 * alt_freq * (1 - alt_freq)) AS z FROM calls JOIN freq USING (variant_id) WHERE gt IS NOT NULL AND alt_freq > 0 AND alt_freq < 1)"
+
+
+@query(f"{', ' + Z_SQL} SELECT CAST(10 AS INT) AS components, count(*) AS cells, round(sum(z * z), 4) AS squares, CAST(0 AS DOUBLE) AS error_less_rest, CAST(1 AS INT) AS weights_are_unit FROM z HAVING count(*) > 0")
+def lin2_pca_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error of the cells rebuilt from scores, values and weights of the subspace iteration: it is what the components leave of all squares.
+
+    error_less_rest is their difference over all squares; weights_are_unit whether each component's weights have squares that add up to one.
+    """
+    calls = schema.calls(spark, sf_dir)
+    scores, values, weights = linalg.pca(calls, 10, method="approximate")
+    names = [c for c in scores.columns if c != "sample_id"]
+    size = {f"pc{r.pc}": r.eigenvalue * weights.count() for r in values.collect()}
+    both = linalg.standardise(calls, stats.allele_freq(calls)).join(sized(scores), "sample_id").join(sized(weights.withColumnsRenamed({n: f"w_{n}" for n in names})), "variant_id")
+    rebuilt = sum((F.col(n) * F.col(f"w_{n}") * float(size[n] ** 0.5) for n in names), F.lit(0.0))
+    kept = float(sum(size[n] for n in names))
+    error = F.sum("z2") - 2 * F.sum("both") + kept  # over all cells, those that are missing are rebuilt too
+    unit = weights.agg(F.min(F.lit(1)).alias("one"), *[F.round(F.sum(F.col(n) * F.col(n)), 6).alias(n) for n in names]).select(sum((F.when(F.col(n) != 1, 1).otherwise(0) for n in names), F.lit(0)).alias("off"))
+    summed = both.select((F.col("z") * F.col("z")).alias("z2"), (F.col("z") * rebuilt).alias("both"))
+    got = summed.agg(F.count("*").alias("cells"), F.sum("z2").alias("squares"), error.alias("error")).where("cells > 0").crossJoin(F.broadcast(unit))  # one row each
+    return got.select(F.lit(len(names)).alias("components"), "cells", F.round("squares", 4).alias("squares"), (F.round((F.col("error") - (F.col("squares") - kept)) / F.col("squares"), 6) + 0.0).alias("error_less_rest"), F.when(F.col("off") == 0, 1).otherwise(0).alias("weights_are_unit"))
+
+
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, scores = schema.samples(spark, sf_dir), some_scores(spark, sf_dir)
     covars = association.covariates(samples, scores).select("sample_id", "sex", "pc1_avg", "pc2_avg").dropna()
@@ -167,6 +202,25 @@ def lin8_logistic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scan(spark, sf_dir), 6)
 
 
+def newton_sql(steps: int) -> str:
+    """So many steps of Newton's method from zero for a constant and the dosage, each a sum over all calls of a variant."""
+    parts = ["""r AS (SELECT variant_id, CAST(gt AS DOUBLE) AS g, CASE WHEN pheno = 2 THEN 1.0 ELSE 0.0 END AS y FROM calls JOIN samples USING (sample_id) WHERE gt IS NOT NULL),
+        s0 AS (SELECT variant_id, count(*) AS n, 0.0 AS a, 0.0 AS b FROM r GROUP BY variant_id HAVING min(g) <> max(g) AND min(y) <> max(y))"""]
+    for k in range(steps):
+        parts.append(f"""h{k} AS (SELECT variant_id, n, a, b, sum(y - p) AS ga, sum((y - p) * g) AS gb, sum(p * (1 - p)) AS haa, sum(p * (1 - p) * g) AS hab, sum(p * (1 - p) * g * g) AS hbb
+            FROM (SELECT *, 1 / (1 + exp(-(a + b * g))) AS p FROM r JOIN s{k} USING (variant_id)) GROUP BY variant_id, n, a, b),
+        s{k + 1} AS (SELECT variant_id, n, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM h{k})""")
+    return f", {', '.join(parts)} SELECT variant_id, n, round(b, 6) + 0.0 AS beta FROM s{steps}"
+
+
+@query(newton_sql(3))
+def lin8_newton_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps of the scan without covariates, coefficients as they stand then."""
+    people = schema.samples(spark, sf_dir)
+    got = association.logistic_scan(schema.calls(spark, sf_dir), people.select("sample_id", "pheno"), people.select("sample_id"), [], steps=3, tolerance=0.0, unsettled=True)
+    return rounded(got.where("errcode NOT IN ('NO_CONTRAST', 'CONST_ALLELE')").select("variant_id", "n", "beta"), 6)
+
+
 @query()
 def lin9_association_table_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = association.assoc_view(scan(spark, sf_dir), schema.variants(spark, sf_dir), 1e-2, 1000)
