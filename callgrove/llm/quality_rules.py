@@ -6,7 +6,8 @@ rules aren't evaluated for it. On a sample of bounded size each rule's cost (tim
 (share it rejects) are measured; rules are ordered by rejections per cost. The order changes cost, never the verdict.
 
 Defined results: a null or empty text has no words, so that all figures are 0 and the base rule fails; repeated rows get
-equal results; other columns of the input are dropped but for doc_id.
+equal results; other columns of the input are dropped but for doc_id. An empty table gives no rows (the order is then that of the rules' names).
+A very long text is a row of arrays of its words and windows. Rules of equal worth are ordered by cost, then by name.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callgrove.llm.common import free_name, written
+from callgrove.llm.common import written
 from callgrove.llm.native import let, space_words
 
-#: Rows of the sample that cost and selectivity are measured on, evaluations of a rule on each, and timed runs.
-SAMPLE_ROWS, REPEATS, TIMED = 2000, 5, 2
+#: Rows of the sample that cost and selectivity are measured on, bytes of a text in it, and timed runs of a rule over it.
+SAMPLE_ROWS, SAMPLE_BYTES, TIMED = 1000, 1 << 16, 2
 
 
 def repeated_words(words: Column) -> Column:
@@ -68,32 +69,34 @@ def default_rules() -> dict[str, Column]:
     }
 
 
-def measured_order(figures: DataFrame, rules: dict[str, Column], rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+def first_rows(docs: DataFrame, rows: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """The first rows that a scan gives, without long texts: the scan ends there, and the driver holds rows * most_bytes at most."""
+    few = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).head(rows)
+    return docs.sparkSession.createDataFrame([tuple(r) for r in few], docs.schema)
+
+
+def measured_order(figures: DataFrame, rules: dict[str, Column]) -> list[tuple[str, float, float]]:
     """(rule, seconds for a sample row, share rejected) in the order of the cascade: most rejections per second first.
 
-    A rule is evaluated REPEATS times on each sample row, in TIMED runs after one that compiles it; the least time counts,
-    less that of the same job with a rule that rejects nothing at no cost. Differences below a hundredth of the empty job's time
-    are noise and count as that much.
+    figures are those of a sample, written as one partition. A rule goes over it once to be compiled and TIMED times for the clock; the
+    least time counts, less that of a rule that rejects nothing at no cost. Differences below a hundredth of the empty job's time are noise and count as that much.
     """
-    total = figures.count()
-    sample = figures.sample(min(1.0, rows / max(1, total)), 17) if total > rows else figures
-    sample = written(sample.coalesce(4), "quality-sample")
-    n = max(1, sample.count())
-    again = sample.withColumn(free_name(sample, "again"), F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
-
-    def run(objects: Column) -> tuple[float, int]:
-        times, hits = [], 0
+    sample = written(figures.coalesce(1), "quality-sample")
+
+    def run(objects: Column) -> tuple[float, int, int]:
+        job = sample.agg(F.coalesce(F.sum(F.coalesce(objects, F.lit(False)).cast("int")), F.lit(0)), F.count("*"))
+        times = []
         for _ in range(TIMED + 1):
             began = time.perf_counter()
-            hits = again.agg(F.coalesce(F.sum(F.coalesce(objects, F.lit(False)).cast("int")), F.lit(0))).first()[0]
+            hits, n = job.first()
             times.append(time.perf_counter() - began)
-        return min(times[1:]), hits
+        return min(times[1:]), hits, max(1, n)
 
-    empty, _ = run(F.col("n_words") < 0)
+    empty, _, _ = run(F.col("n_words") < 0)
     found = []
     for name, objects in rules.items():
-        seconds, hits = run(objects)
-        found.append((name, max(seconds - empty, empty / 100) / (n * REPEATS), hits / (n * REPEATS)))
+        seconds, hits, n = run(objects)
+        found.append((name, max(seconds - empty, empty / 100) / n, hits / n))
     return sorted(found, key=lambda x: (-x[2] / x[1], x[1], x[0]))
 
 
@@ -109,7 +112,5 @@ def quality(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows
     """doc_id, the base figures, base_failed and kept for each document."""
     rules = rules or default_rules()
     plain = docs.select("doc_id", "text")
-    total = plain.count()
-    sample = plain.sample(min(1.0, 1.2 * sample_rows / max(1, total)), 17) if total > sample_rows else plain
-    order = [name for name, _, _ in measured_order(base_figures(sample), rules, sample_rows)]
+    order = [name for name, _, _ in measured_order(base_figures(first_rows(plain, sample_rows)), rules)]
     return cascade(base_figures(plain), rules, order).drop("text")
