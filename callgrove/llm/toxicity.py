@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +36,31 @@ from pyspark.sql import types as T
 
 from callgrove.llm.common import add_columns, free_name, sized, written
 
-#: Letters of a gram, of the short runs and how many of them, of the longer runs, labels that may be broadcast, rows of a class that the curve is fitted on.
-ORDER, RUN, STRONGEST, RUNS, BROADCAST_LABELS, CURVE_ROWS = 4, 6, (1, 2, 4, 8), (12, 24, 96), 4_000_000, 20_000
+#: Labels that may be broadcast, and rows of a class that the curve is fitted on.
+BROADCAST_LABELS, CURVE_ROWS = 4_000_000, 20_000
 #: Rows of the two tables in one broadcast (about 20 bytes each), and letters that a task counts or compares at once.
 TABLE_ROWS, COUNTED, COMPARED = 8_000_000, 500_000, 250_000
-FEATURES = len(STRONGEST) + len(RUNS) + 2
 SPACE = 32
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Letters of a gram, letters of the short runs and how many of them are averaged, and letters of the longer runs."""
+
+    order: int
+    run: int
+    strongest: tuple[int, ...]
+    runs: tuple[int, ...]
+
+    @property
+    def features(self) -> int:
+        return len(self.strongest) + len(self.runs) + 2
+
+
+#: Taken by choose() on folds of the learning rows of sf0.1 (README).
+SHAPE = Shape(4, 6, (1, 2, 4, 8), (12, 24, 96))
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string")) % parts
 
@@ -57,44 +75,44 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def streams(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all texts side by side, and where each one's start: ORDER - 1 spaces, letters with single spaces, a space."""
-    pad = " " * (ORDER - 1)
+def streams(texts: list, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all texts side by side, and where each one's start: order - 1 spaces, letters with single spaces, a space."""
+    pad = " " * (order - 1)
     parts = [f"{pad}{t.lower()} " if t else pad for t in texts]
     codes = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
     starts = np.cumsum([0, *map(len, parts)])
     letter = letters()[codes]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # a space after a letter
-    keep[(starts[:-1, None] + np.arange(ORDER - 1)).ravel()] = True
+    keep[(starts[:-1, None] + np.arange(order - 1)).ravel()] = True
     codes = np.where(letter, codes, SPACE)[keep].astype(np.uint64)
     return codes, np.concatenate([[0], np.cumsum(keep)])[starts]
 
 
-def hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the context before each place from ORDER - 1 on, and of the gram that ends there."""
-    n = max(0, len(codes) - ORDER + 1)
+def hashes(codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the context before each place from order - 1 on, and of the gram that ends there."""
+    n = max(0, len(codes) - order + 1)
     h = np.zeros(n, np.uint64)
 
     def taken(h: np.ndarray, k: int) -> np.ndarray:
         h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : n + k]
         return h ^ (h >> np.uint64(29))
 
-    for k in range(ORDER - 1):
+    for k in range(order - 1):
         h = taken(h, k)
-    context, gram = h * np.uint64(0xBF58476D1CE4E5B9), taken(h, ORDER - 1) * np.uint64(0x94D049BB133111EB)
+    context, gram = h * np.uint64(0xBF58476D1CE4E5B9), taken(h, order - 1) * np.uint64(0x94D049BB133111EB)
     return context ^ (context >> np.uint64(32)), gram ^ (gram >> np.uint64(32))
 
 
-def own_places(starts: np.ndarray) -> np.ndarray:
+def own_places(starts: np.ndarray, order: int) -> np.ndarray:
     """Of the places that hashes() covers those that lie in a text, not in the spaces before one."""
-    own = np.ones(max(0, int(starts[-1]) - ORDER + 1), bool)
+    own = np.ones(max(0, int(starts[-1]) - order + 1), bool)
     if len(starts) > 2:
-        own[(starts[1:-1, None] - (ORDER - 1) + np.arange(ORDER - 1)).ravel()] = False
+        own[(starts[1:-1, None] - (order - 1) + np.arange(order - 1)).ravel()] = False
     return own
 
 
-def gram_counts(rows: DataFrame) -> DataFrame:
+def gram_counts(rows: DataFrame, order: int) -> DataFrame:
     """gram with its toxic and ordinary counts over rows of (text, toxic, apart): in all rows, and as toxic_near, ordinary_near in those not apart."""
     names = ["toxic", "ordinary", "toxic_near", "ordinary_near"]
 
@@ -103,14 +121,14 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             nonlocal texts, sides, size
-            codes, starts = streams(texts)
-            own = own_places(starts)
-            _, first, which = np.unique(hashes(codes)[1][own], return_index=True, return_inverse=True)
+            codes, starts = streams(texts, order)
+            own = own_places(starts, order)
+            _, first, which = np.unique(hashes(codes, order)[1][own], return_index=True, return_inverse=True)
             places = np.flatnonzero(own)[first]
-            side = np.repeat(np.array(sides, np.int64), np.diff(starts) - (ORDER - 1))
+            side = np.repeat(np.array(sides, np.int64), np.diff(starts) - (order - 1))
             tally = np.bincount(which * 4 + side, minlength=4 * len(first)).reshape(-1, 4) if len(first) else np.zeros((0, 4), np.int64)
             stream = codes.astype("<u4").tobytes().decode("utf-32-le")
-            grams = pa.array([stream[i : i + ORDER] for i in places.tolist()], pa.string())
+            grams = pa.array([stream[i : i + order] for i in places.tolist()], pa.string())
             toxic, ordinary = tally[:, 0] + tally[:, 2], tally[:, 1] + tally[:, 3]
             texts, sides, size = [], [], 0
             return pa.RecordBatch.from_arrays([grams, *[pa.array(x) for x in (toxic, ordinary, tally[:, 0], tally[:, 1])]], names=["gram", *names])
@@ -118,7 +136,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for text, toxic, apart in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for at in range(0, len(text or ""), COUNTED) or [0]:  # a huge text is counted in parts, which share the context
-                    texts.append(text[max(0, at - ORDER + 1) : at + COUNTED] if text else None)
+                    texts.append(text[max(0, at - order + 1) : at + COUNTED] if text else None)
                     sides.append((0 if toxic else 1) + (2 if apart else 0))
                     size += len(texts[-1] or "")
                     if size >= COUNTED:
@@ -134,11 +152,11 @@ def discount(table: DataFrame, column: str) -> float:
     return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
 
 
-def backoff(grams: DataFrame) -> DataFrame:
+def backoff(grams: DataFrame, order: int) -> DataFrame:
     """tail (a gram without its first letter) and its shared probability, from continuation counts of all shorter orders."""
     kinds = grams.select("gram")
     levels = []
-    for size in range(ORDER - 1, 0, -1):
+    for size in range(order - 1, 0, -1):
         kinds = kinds.select(F.expr(f"substring(gram, 2, {size})").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
         levels.append((size, kinds))
     below: DataFrame | None = None
@@ -157,31 +175,31 @@ def backoff(grams: DataFrame) -> DataFrame:
     return below.select(F.col("gram").alias("tail"), "p")
 
 
-def differences(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+def differences(grams: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
     """(gram, difference of log-likelihoods) of seen grams, and (context, difference) for what was never seen after it."""
     rates = {c: discount(grams, c) for c in ("toxic", "ordinary")}
-    context, tail = F.expr(f"substring(gram, 1, {ORDER - 1})"), F.expr(f"substring(gram, 2, {ORDER - 1})")
+    context, tail = F.expr(f"substring(gram, 1, {order - 1})"), F.expr(f"substring(gram, 2, {order - 1})")
     sides = [x for c in rates for x in (F.sum(c).alias(f"{c}_all"), F.count_if(F.col(c) > 0).alias(f"{c}_kinds"))]
     contexts = written(grams.groupBy(context.alias("context")).agg(*sides), "kn-contexts")
     left = {c: F.when(F.col(f"{c}_all") > 0, rates[c] * F.col(f"{c}_kinds") / F.col(f"{c}_all")).otherwise(1.0) for c in rates}
     unseen = contexts.select("context", (F.log(left["toxic"]) - F.log(left["ordinary"])).alias("d"))
-    joined = grams.withColumn("context", context).withColumn("tail", tail).join(contexts, "context").join(backoff(grams), "tail")
+    joined = grams.withColumn("context", context).withColumn("tail", tail).join(contexts, "context").join(backoff(grams, order), "tail")
     p = {c: F.when(F.col(f"{c}_all") > 0, F.greatest(F.col(c) - rates[c], F.lit(0.0)) / F.col(f"{c}_all")).otherwise(0.0) + left[c] * F.col("p") for c in rates}
     seen = joined.select("gram", (F.log(p["toxic"]) - F.log(p["ordinary"])).alias("d"))
     return seen, unseen
 
 
-def hashed(rows: DataFrame, key: str) -> DataFrame:
+def hashed(rows: DataFrame, key: str, order: int) -> DataFrame:
     """block (of the context), key (hash) and d of rows of the two tables."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, size = batch.column(0).to_pylist(), ORDER if key == "gram" else ORDER - 1
+            texts, size = batch.column(0).to_pylist(), order if key == "gram" else order - 1
             codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").reshape(-1, size)
-            wide = np.zeros((len(codes), ORDER), np.uint64)
+            wide = np.zeros((len(codes), order), np.uint64)
             wide[:, :size] = codes
-            context, gram = hashes(wide.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(context[::ORDER].view(np.int64)), pa.array((gram if key == "gram" else context)[::ORDER].view(np.int64)), batch.column(1)], names=["context", "key", "d"])
+            context, gram = hashes(wide.ravel(), order)
+            yield pa.RecordBatch.from_arrays([pa.array(context[::order].view(np.int64)), pa.array((gram if key == "gram" else context)[::order].view(np.int64)), batch.column(1)], names=["context", "key", "d"])
 
     return rows.select(key, "d").mapInArrow(work, "context long, key long, d double").withColumn("kind", F.lit(key))
 
@@ -215,12 +233,12 @@ class Table:
 class Block:
     """Both tables of the contexts whose hash is `number` modulo `blocks`."""
 
-    def __init__(self, seen: Table, unseen: Table, number: int, blocks: int):
-        self.seen, self.unseen, self.number, self.blocks = seen, unseen, number, blocks
+    def __init__(self, seen: Table, unseen: Table, number: int, blocks: int, order: int):
+        self.seen, self.unseen, self.number, self.blocks, self.order = seen, unseen, number, blocks, order
 
     def differences(self, codes: np.ndarray) -> np.ndarray:
-        """Difference of log-likelihoods at each place from ORDER - 1 on; 0 at those of other blocks."""
-        context, gram = hashes(codes)
+        """Difference of log-likelihoods at each place from order - 1 on; 0 at those of other blocks."""
+        context, gram = hashes(codes, self.order)
         d, known = self.seen.find(gram)
         rest = np.flatnonzero(~known)
         d[rest] = self.unseen.find(context[rest])[0]
@@ -229,21 +247,21 @@ class Block:
         return d
 
 
-def features_of(d: np.ndarray) -> list[float]:
-    """Differences per letter in the strongest separate runs of RUN letters (means of so many), in the strongest longer runs, in the whole text, and its log length."""
+def features_of(d: np.ndarray, shape: Shape) -> list[float]:
+    """Differences per letter in the strongest separate runs of shape.run letters (means of so many), in the strongest longer runs, in the whole text, and its log length."""
     sums = np.concatenate([[0.0], np.cumsum(d, dtype=np.float64)])
 
     def runs(size: int) -> np.ndarray:
         return sums[size:] - sums[:-size] if len(d) > size else sums[-1:]
 
-    own, found = runs(RUN).copy(), []
-    while len(found) < max(STRONGEST):
+    own, found = runs(shape.run).copy(), []
+    while len(found) < max(shape.strongest):
         k = int(own.argmax())
         if own[k] <= 0:
             break
         found.append(float(own[k]))
-        own[max(0, k - RUN + 1) : k + RUN] = -np.inf
-    return [sum(found[:n]) / (RUN * n) for n in STRONGEST] + [float(runs(size).max()) / size for size in RUNS] + [float(sums[-1]) / max(1, len(d)), math.log(len(d) + 10)]
+        own[max(0, k - shape.run + 1) : k + shape.run] = -np.inf
+    return [sum(found[:n]) / (shape.run * n) for n in shape.strongest] + [float(runs(size).max()) / size for size in shape.runs] + [float(sums[-1]) / max(1, len(d)), math.log(len(d) + 10)]
 
 
 def groups(texts: list) -> Iterator[tuple[int, int]]:
@@ -274,8 +292,8 @@ def curve(features: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> tuple
 class Model:
     """A fitted model: broadcast blocks of tables, and the curve; without tables the score is the share."""
 
-    def __init__(self, blocks: list, weights, scale, share: float):
-        self.blocks, self.weights, self.scale, self.share = blocks, weights, scale, share
+    def __init__(self, blocks: list, weights, scale, share: float, shape: Shape = SHAPE):
+        self.blocks, self.weights, self.scale, self.share, self.shape = blocks, weights, scale, share, shape
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -284,33 +302,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((x * self.weights).sum(1), -30, 30)))  # row by row, so that equal rows get equal scores
 
 
-def with_evidence(docs: DataFrame, blocks: list, last, outputs: list) -> DataFrame:
+def with_evidence(docs: DataFrame, blocks: list, last, outputs: list, shape: Shape) -> DataFrame:
     """docs with outputs made by last(features of texts); every block but the last adds its differences to a column that is dropped."""
-    evidence, df = free_name(docs, "evidence"), docs
+    evidence, df, order = free_name(docs, "evidence"), docs, shape.order
 
     def differences(block, batch, held: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         texts = batch.column(0).to_pylist()
         for a, b in groups(texts):
-            codes, starts = streams(texts[a:b])
-            d = block.value.differences(codes) if block else np.zeros(max(0, len(codes) - ORDER + 1), np.float32)
+            codes, starts = streams(texts[a:b], order)
+            d = block.value.differences(codes) if block else np.zeros(max(0, len(codes) - order + 1), np.float32)
             if held:
-                d = d + np.frombuffer(b"".join(x + bytes(4 * (ORDER - 1)) for x in batch.column(1)[a:b].to_pylist())[: 4 * len(d)], "<f4")
+                d = d + np.frombuffer(b"".join(x + bytes(4 * (order - 1)) for x in batch.column(1)[a:b].to_pylist())[: 4 * len(d)], "<f4")
             for x, y in zip(starts.tolist(), starts[1:].tolist()):
-                yield d[x : max(x, y - ORDER + 1)]
+                yield d[x : max(x, y - order + 1)]
 
     for k, block in enumerate(blocks[:-1]):
         needs = ["text", evidence] if k else ["text"]
         df = add_columns(df, [(evidence, T.BinaryType())], lambda block=block, held=k > 0: lambda batch: [[x.tobytes() for x in differences(block, batch, held)]], needs)
     held, block = len(blocks) > 1, blocks[-1] if blocks else None
-    made = add_columns(df, outputs, lambda: lambda batch: last(np.array([features_of(x) for x in differences(block, batch, held)]).reshape(-1, FEATURES)), ["text", evidence] if held else ["text"])
+    made = add_columns(df, outputs, lambda: lambda batch: last(np.array([features_of(x, shape) for x in differences(block, batch, held)]).reshape(-1, shape.features)), ["text", evidence] if held else ["text"])
     return made.drop(evidence)
 
 
-def tables(grams: DataFrame) -> list:
+def tables(grams: DataFrame, order: int) -> list:
     """Broadcast blocks of the differences of grams (gram, toxic, ordinary)."""
     spark = grams.sparkSession
-    seen, unseen = differences(grams)
-    rows = written(hashed(seen, "gram").unionByName(hashed(unseen, "context")), "kn-differences")
+    seen, unseen = differences(grams, order)
+    rows = written(hashed(seen, "gram", order).unionByName(hashed(unseen, "context", order)), "kn-differences")
     blocks = max(1, -(-rows.count() // TABLE_ROWS))
     out = []
     for b in range(blocks):
@@ -320,7 +338,7 @@ def tables(grams: DataFrame) -> list:
         got = own.select("key", F.col("d").cast("float").alias("d"), (F.col("kind") == "gram").alias("seen")).toArrow()
         kind = got["seen"].to_numpy().astype(bool)
         keys, d = got["key"].to_numpy().view(np.uint64), got["d"].to_numpy()
-        out.append(spark.sparkContext.broadcast(Block(Table(keys[kind], d[kind]), Table(keys[~kind], d[~kind]), b, blocks)))
+        out.append(spark.sparkContext.broadcast(Block(Table(keys[kind], d[kind]), Table(keys[~kind], d[~kind]), b, blocks, order)))
     return out
 
 
@@ -335,7 +353,7 @@ def curve_sample(rows: DataFrame) -> DataFrame:
     return out if len(totals) > 1 else None
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, shape: Shape = SHAPE) -> Model:
     """A model from labelled documents; learn tells which doc_id may teach (all by default)."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic")).distinct()
     known = written(known.where(learn) if learn is not None else known, "toxicity-labels")
@@ -343,17 +361,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> Mode
     rows = docs.select("doc_id", "text").join(sized(known, BROADCAST_LABELS), "doc_id").select("doc_id", "text", "toxic", apart)
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or toxic in (0, n):
-        return Model([], None, None, toxic / n if n else 0.0)
-    grams = written(gram_counts(rows), "kn-grams")
+        return Model([], None, None, toxic / n if n else 0.0, shape)
+    grams = written(gram_counts(rows, shape.order), "kn-grams")
     near = grams.where("toxic_near + ordinary_near > 0").select("gram", F.col("toxic_near").alias("toxic"), F.col("ordinary_near").alias("ordinary"))
-    blocks = tables(near)
+    blocks = tables(near, shape.order)
     sample = curve_sample(rows.where("apart"))
-    outputs = [(f"f{i}", T.DoubleType()) for i in range(FEATURES)]
-    got = with_evidence(sample if sample is not None else curve_sample(rows), blocks, lambda x: list(x.T), outputs).drop("text").toPandas()
+    outputs = [(f"f{i}", T.DoubleType()) for i in range(shape.features)]
+    got = with_evidence(sample if sample is not None else curve_sample(rows), blocks, lambda x: list(x.T), outputs, shape).drop("text").toPandas()
     for block in blocks:
         block.unpersist()
-    weights, scale = curve(got[[f"f{i}" for i in range(FEATURES)]].to_numpy(), got["toxic"].to_numpy(float), got["weight"].to_numpy(float))
-    return Model(tables(grams.select("gram", "toxic", "ordinary")), weights, scale, toxic / n)
+    weights, scale = curve(got[[f"f{i}" for i in range(shape.features)]].to_numpy(), got["toxic"].to_numpy(float), got["weight"].to_numpy(float))
+    return Model(tables(grams.select("gram", "toxic", "ordinary"), shape.order), weights, scale, toxic / n, shape)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
@@ -365,7 +383,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, names: tuple[st
         p = curve_only.score(features)
         return [p.tolist(), (p >= threshold).astype(int).tolist()]
 
-    return with_evidence(docs, blocks, last, [(names[0], T.DoubleType()), (names[1], T.IntegerType())])
+    return with_evidence(docs, blocks, last, [(names[0], T.DoubleType()), (names[1], T.IntegerType())], model.shape)
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -375,6 +393,33 @@ def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
 
 
+def area(scored: DataFrame) -> float:
+    """Area under the curve of (score, toxic): the share of pairs of a toxic and another row in which the toxic one has the higher score.
+
+    Rows are counted by their score to six digits first, so a running sum over these values gives it.
+    """
+    counts = scored.groupBy(F.round("score", 6).alias("score")).agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o")).toPandas().sort_values("score")
+    below = counts["o"].cumsum() - counts["o"]
+    return float((counts["t"] * (below + counts["o"] / 2)).sum() / (counts["t"].sum() * counts["o"].sum()))
+
+
+def choose(docs: DataFrame, labels: DataFrame, shapes: list[Shape], learn: Column, folds: Column, numbers: list[int]) -> list[tuple[float, Shape]]:
+    """(mean area under the curve, shape), best first: each fold of the learning rows is scored by models of the other folds.
+
+    Rows that may not teach take no part.
+    """
+    known = labels.where(learn & F.col("toxic").isNotNull()).select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic")).distinct()
+    known = written(known, "choice-labels")
+    found = []
+    for shape in shapes:
+        areas = []
+        for k in numbers:
+            model = fit(docs, known, folds != k, shape)
+            areas.append(area(score(docs.select("doc_id", "text").join(known.where(folds == k), "doc_id"), model).select("score", "toxic")))
+        found.append((sum(areas) / len(areas), shape))
+    return sorted(found, key=lambda x: -x[0])
+
+
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs that are not predicted toxic, with all their columns; all labels teach."""
     names = free_name(docs, "score"), free_name(docs, "predicted")

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from callgrove.llm import language_id, toxicity
@@ -71,12 +72,12 @@ def test_windows_cover_whole_texts():
 
 def plain_stream(text):
     letters = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
-    return " " * (toxicity.ORDER - 1) + "".join(w + " " for w in letters)
+    return " " * (toxicity.SHAPE.order - 1) + "".join(w + " " for w in letters)
 
 
 def plain_differences(rows):
     """Every gram's and every context's difference by the formulas of interpolated Kneser-Ney, in plain Python."""
-    order = toxicity.ORDER
+    order = toxicity.SHAPE.order
     counts = {0: Counter(), 1: Counter()}
     for text, toxic in rows:
         s = plain_stream(text)
@@ -113,17 +114,58 @@ def plain_differences(rows):
 
 def test_kneser_ney_equals_the_formulas(spark):
     rows = [("You zqurv fool, go away!", 1), ("zqurva  zqurv\n\n", 1), ("Go away now, said the fool", 0), ("été 12 an old tale", 0), ("an old an old tale", 0), (None, 0), ("...", 1)]
-    grams = toxicity.gram_counts(spark.createDataFrame([(t, y, False) for t, y in rows], "text string, toxic int, apart boolean"))
-    seen, unseen = toxicity.differences(grams)
+    grams = toxicity.gram_counts(spark.createDataFrame([(t, y, False) for t, y in rows], "text string, toxic int, apart boolean"), toxicity.SHAPE.order)
+    seen, unseen = toxicity.differences(grams, toxicity.SHAPE.order)
     want_seen, want_unseen = plain_differences(rows)
     for got, want, key in ((seen, want_seen, "gram"), (unseen, want_unseen, "context")):
         found = {r[key]: r.d for r in got.collect()}
         assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
-    block = toxicity.tables(grams)[0].value
+    block = toxicity.tables(grams, toxicity.SHAPE.order)[0].value
     text = "the fool went away, qzurv!"
-    s, n = plain_stream(text), toxicity.ORDER
+    s, n = plain_stream(text), toxicity.SHAPE.order
     plain = [want_seen.get(s[i : i + n], want_unseen.get(s[i : i + n - 1], 0.0)) for i in range(len(s) - n + 1)]
-    assert np.allclose(block.differences(toxicity.streams([text])[0]), plain, atol=1e-6)
+    assert np.allclose(block.differences(toxicity.streams([text], toxicity.SHAPE.order)[0]), plain, atol=1e-6)
+
+
+def plain_features(d, shape):
+    """The means of the strongest runs, found one by one, of the whole and the log length."""
+    runs = lambda n: [(sum(d[i : i + n]), i) for i in range(max(1, len(d) - n + 1))]
+    found, taken = [], []
+    while len(found) < max(shape.strongest):
+        left = [(x, -i) for x, i in runs(shape.run) if all(abs(i - j) >= shape.run for j in taken)]
+        if not left or max(left)[0] <= 0:
+            break
+        x, i = max(left)
+        found.append(x)
+        taken.append(-i)
+    return [sum(found[:n]) / (shape.run * n) for n in shape.strongest] + [max(x for x, _ in runs(n)) / n for n in shape.runs] + [sum(d) / max(1, len(d)), math.log(len(d) + 10)]
+
+
+@pytest.mark.parametrize("shape", [toxicity.SHAPE, toxicity.Shape(3, 4, (1, 3), (8,))])
+def test_scores_equal_a_plain_version(spark, shape):
+    """Differences, features and the curve in plain Python, with the weights that the model has."""
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels, shape=shape)
+    block = model.blocks[0].value
+    some = docs.where("doc_id % 7 = 0").union(table(spark, {3000: None, 3001: "", 3002: "x", 3003: "zqurv " * 40, 3004: "12 ..."}))
+    for r in toxicity.score(some, model).collect():
+        d = block.differences(toxicity.streams([r.text], shape.order)[0]).astype(float).tolist()
+        x = [(f - m) / s for f, m, s in zip(plain_features(d, shape), *model.scale.tolist(), strict=True)] + [1.0]
+        want = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(x, model.weights.tolist(), strict=True))))))
+        assert abs(r.score - want) < 1e-5 and r.predicted == int(r.score >= 0.3)
+
+
+def test_the_shape_is_chosen_on_learning_rows(spark):
+    """Folds of the learning rows rank the shapes; labels of other rows change nothing."""
+    docs, labels = labelled(spark)
+    shapes, fold = [toxicity.SHAPE, toxicity.Shape(2, 4, (1,), (8,))], toxicity.fold(F.col("doc_id"), 4)
+    learn = fold != 2
+    got = toxicity.choose(docs, labels, shapes, learn, fold, [0, 1])
+    assert {s for _, s in got} == set(shapes) and 0.5 < got[1][0] <= got[0][0] <= 1
+    turned = labels.withColumn("toxic", F.when(fold == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int"))
+    assert toxicity.choose(docs, turned, shapes[:1], learn, fold, [0, 1])[0][0] == dict((s, a) for a, s in got)[shapes[0]]
+    scored = spark.createDataFrame([(0.1, 0), (0.4, 1), (0.4, 0), (0.9, 1)], "score double, toxic int")
+    assert toxicity.area(scored) == (2 + 1.5) / 4
 
 
 def test_blocks_and_parts_of_texts_change_nothing(spark, monkeypatch):
@@ -136,12 +178,12 @@ def test_blocks_and_parts_of_texts_change_nothing(spark, monkeypatch):
 
 
 def test_evidence_crosses_spaces():
-    one, two = toxicity.streams(["go away", "goaway"]), toxicity.streams(["Go -- away", None])
+    one, two = toxicity.streams(["go away", "goaway"], 4), toxicity.streams(["Go -- away", None], 4)
     assert one[0].tolist()[: one[1][1]] == two[0].tolist()[: two[1][1]] != one[0].tolist()[one[1][1] :]
     d = np.zeros(100)
     d[10:16] = 1
-    found = toxicity.features_of(d)
-    assert found[0] == 1 and abs(found[1] - 0.5) < 1e-12 and abs(found[len(toxicity.STRONGEST)] - 0.5) < 1e-12 and abs(found[-2] - 0.06) < 1e-12
+    found = toxicity.features_of(d, toxicity.SHAPE)
+    assert found[0] == 1 and abs(found[1] - 0.5) < 1e-12 and abs(found[len(toxicity.SHAPE.strongest)] - 0.5) < 1e-12 and abs(found[-2] - 0.06) < 1e-12
 
 
 def test_only_letters_have_a_language(spark):
