@@ -105,11 +105,11 @@ def hashes(words: list[bytes], langs: np.ndarray, names: list[str]) -> np.ndarra
 
 
 def count_buckets(docs: DataFrame) -> DataFrame:
-    """(range, counts, lang, words): counts of a range of buckets, 255 at most, as a zstandard frame; and, of range -1, words by language."""
+    """(range, counts): counts of a range of buckets, 255 at most, as a zstandard frame; a task gives one for each range that it meets."""
     width = (2 << BITS) // RANGES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = np.zeros(2 << BITS, np.uint8), {}
+        table = np.zeros(2 << BITS, np.uint8)
         for batch in batches:
             for block, langs, names in blocks(batch):
                 coded = block.words.dictionary_encode()
@@ -117,8 +117,6 @@ def count_buckets(docs: DataFrame) -> DataFrame:
                 pair, back = np.unique(coded.indices.to_numpy().astype(np.int64) * len(names) + word_lang, return_inverse=True)
                 known = coded.dictionary.to_pylist()
                 h = hashes([known[i] for i in pair // len(names)], pair % len(names), names)
-                for name, c in zip(names, np.bincount(word_lang, minlength=len(names)).tolist(), strict=True):
-                    total[name] = total.get(name, 0) + c
                 joined = np.flatnonzero(~block.new_piece)
                 third = joined[~block.new_piece[joined - 1]]
                 single, own = np.bincount(back, minlength=len(pair)), h[back]
@@ -133,13 +131,9 @@ def count_buckets(docs: DataFrame) -> DataFrame:
         zip_ = zstandard.ZstdCompressor(level=3)
         parts = table.reshape(RANGES, width)
         ranges = np.flatnonzero(parts.any(axis=1)).tolist()
-        names = list(total)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(ranges + [-1] * len(names), pa.int32()), pa.array([zip_.compress(parts[k].tobytes()) for k in ranges] + [None] * len(names), pa.binary()),
-            pa.array([None] * len(ranges) + names, pa.string()), pa.array([None] * len(ranges) + list(total.values()), pa.int64()),
-        ], names=["range", "counts", "lang", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array([zip_.compress(parts[k].tobytes()) for k in ranges], pa.binary())], names=["range", "counts"])
 
-    return docs.select("lang", "text").mapInArrow(count, "range int, counts binary, lang string, words long")
+    return docs.select("lang", "text").mapInArrow(count, "range int, counts binary")
 
 
 def frequent_buckets(counted: DataFrame, least: int) -> np.ndarray:
@@ -162,7 +156,7 @@ def frequent_buckets(counted: DataFrame, least: int) -> np.ndarray:
         if at is not None:
             yield done()
 
-    parts = counted.where("range >= 0").select("range", "counts").repartition("range").sortWithinPartitions("range").mapInArrow(add, "range int, bits binary")
+    parts = counted.repartition("range").sortWithinPartitions("range").mapInArrow(add, "range int, bits binary")
     bitmap = np.zeros((RANGES, width // 8), np.uint8)
     for k, bits in parts.collect():  # at most RANGES rows, twice 2^BITS bits
         bitmap[k] = np.frombuffer(bits, np.uint8)
@@ -224,7 +218,8 @@ class BidirectionalIndex:
 
 
 def shard_phrases(words: pa.Array, langs: np.ndarray, names: list[str], new_piece: np.ndarray, bitmap: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, f): counts in a shard of all words and phrases that the bitmap lets pass."""
+    """(lang, phrase, f): counts in a shard of all words and phrases that the bitmap lets pass; the empty phrase counts all words."""
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([""] * len(names), pa.string()), pa.array(np.bincount(langs, minlength=len(names)), pa.int64())], names=["lang", "phrase", "f"])
     coded = words.dictionary_encode()
     pair, back = np.unique(coded.indices.to_numpy().astype(np.int64) * len(names) + langs, return_inverse=True)
     known = coded.dictionary.to_pylist()
@@ -267,7 +262,7 @@ def shard_phrases(words: pa.Array, langs: np.ndarray, names: list[str], new_piec
 
 
 def phrase_counts(docs: DataFrame, bitmap: np.ndarray, longest: int, least: int, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(lang, phrase, f) of all words and phrases of at least that count."""
+    """(lang, phrase, f) of all words and phrases of at least that count; f of the empty phrase is the number of all words."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def enumerate_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,8 +296,9 @@ def collocations(counts: DataFrame, share: int) -> DataFrame:
     part = lambda start, n: F.array_join(F.slice(words, start, n), " ")
     phrases = counts.where(size > 1).withColumnRenamed("f", "a")
     inner = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: part(i, n)))))
-    longer = phrases.where(size > 2).select("lang", inner.alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longest"))
-    kept = phrases.join(longer, ["lang", "phrase"], "left").where(F.col("longest").isNull() | (100 * F.col("longest") < share * F.col("a"))).drop("longest")
+    longer = phrases.where(size > 2).select("lang", inner.alias("phrase"), F.lit(None).cast("long").alias("a"), F.col("a").alias("longest"))
+    both = phrases.withColumn("longest", F.lit(None).cast("long")).unionByName(longer).groupBy("lang", "phrase").agg(F.max("a").alias("a"), F.max("longest").alias("longest"))
+    kept = both.where(F.col("longest").isNull() | (100 * F.col("longest") < share * F.col("a"))).drop("longest")
     cuts = kept.withColumn("k", F.explode(F.sequence(F.lit(1), size - 1)))
     # the parts are keys of the joins and no columns, so that only phrases are shuffled
     of = lambda p, n: counts.select(F.col("lang").alias(f"{n}_lang"), F.col("phrase").alias(p), F.col("f").alias(n))
@@ -325,8 +321,7 @@ def ranked(found: DataFrame, top: int) -> DataFrame:
 def mine(docs: DataFrame, longest: int = 3, least: int = 10, share: int = 50, top: int = 2000, shard_words: int = SHARD_WORDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score."""
     docs = docs.select(F.col("lang").cast("string").alias("lang"), "text")
-    counted = written(count_buckets(docs), "phrase-buckets")
-    bitmap = frequent_buckets(counted, min(least, 255))
+    bitmap = frequent_buckets(count_buckets(docs), min(least, 255))
     counts = written(phrase_counts(docs, bitmap, longest, least, shard_words), "phrase-counts")
-    totals = counted.where("range = -1").groupBy("lang").agg(F.sum("words").alias("n"))
-    return ranked(collocations(counts, share), top).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    totals = counts.where("phrase = ''").select("lang", F.col("f").alias("n"))
+    return ranked(collocations(counts.where("phrase <> ''"), share), top).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
