@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callgrove.shared import written
+
 
 def pareto_front(df: DataFrame, m1: str, m2: str, max1: bool = True, max2: bool = False, by: list[str] = ()) -> DataFrame:
     """Rows that no row of their group beats in one metric without losing in the other; exact ties all stay.
@@ -58,3 +60,17 @@ def recommend(summary: DataFrame, m1: str, m2: str, weights: list[float], by: li
 def by_number(chrom: Column) -> Column:
     """Sort key of chromosome names: their number, names without one last."""
     return F.coalesce(F.regexp_replace(chrom, "^chr", "").try_cast("int"), F.lit(1000))
+
+
+def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df with the place of each row, from 1, in the order of the given columns; equal rows have places next to each other.
+
+    Rows are dealt to partitions by ranges and sorted there; counts of the partitions, a row for each, tell where a partition begins.
+    """
+    numbered = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("__at", 33)
+    counts = numbered.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # as many rows as partitions
+    bases = counts.select("__part", before.alias("__before"))
+    within = F.col("__at") - F.shiftleft(F.col("__part"), 33)
+    return numbered.withColumn("__part", part).join(F.broadcast(bases), "__part").withColumn(name, F.col("__before") + within + 1).drop("__at", "__part", "__before")

@@ -183,13 +183,7 @@ def win5_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _placed(v: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    number = selection.by_number(F.col("chrom"))
-    before = v.groupBy(number.alias("number")).agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = v.withColumn("number", number).join(F.broadcast(before), "number")
-    place = F.col("before") + F.row_number().over(Window.partitionBy("number").orderBy("pos", "variant_id"))
-    return placed.orderBy("number", "pos", "variant_id").select("chrom", "pos", "variant_id", place.alias("place"))
+    return selection.placed(v.select("chrom", "pos", "variant_id"), [selection.by_number(F.col("chrom")), F.col("pos"), F.col("variant_id")])
 
 
 @query("SELECT variant_id, mq FROM variants WHERE vqslod > 10")

@@ -6,24 +6,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgrove.functions.expr import clean_num, dosage
+from callgrove.shared import sized, written
 
 SITE = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format"]
 
 
-def sample_names(spark: SparkSession, path: str) -> list[str]:
-    """Samples in the order of the header line."""
-    head = spark.read.text(path).where(F.col("value").startswith("#CHROM")).first()
-    return head.value.split("\t")[9:] if head else []
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with the file that each is from."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, k, sample): the samples of each file's header line by their place; a file may have others, or another order, than the next."""
+    found = lines_of(spark, path).where(F.col("value").startswith("#CHROM")).select("file", F.split("value", "\t").alias("h"))
+    return found.select("file", F.posexplode(F.slice("h", 10, F.greatest(F.size("h") - 9, F.lit(0)))).alias("k", "sample")).dropDuplicates(["file", "k"])
+
+
+def common_header(names: DataFrame) -> DataFrame:
+    """(k, sample) of the header that all files with one have; empty if they differ."""
+    by_place = names.groupBy("k").agg(F.min("sample").alias("sample"), F.max("sample").alias("last"), F.count("*").alias("n"))
+    files = names.select("file").distinct().agg(F.count("*").alias("files"))
+    same = by_place.crossJoin(F.broadcast(files)).agg(F.min((F.col("sample") == F.col("last")) & (F.col("n") == F.col("files"))).alias("same"))  # one row each
+    return by_place.crossJoin(F.broadcast(same)).where("same").select("k", "sample")
 
 
 def sites(spark: SparkSession, path: str) -> DataFrame:
-    """Site columns; the rest of each line stays an array of sample fields."""
+    """Site columns and the file; the rest of each line stays an array of sample fields."""
     cells = F.split("value", "\t")
-    rows = spark.read.text(path).where((F.col("value") != "") & ~F.col("value").startswith("#"))
+    rows = lines_of(spark, path).where((F.col("value") != "") & ~F.col("value").startswith("#"))
     dot = lambda c: F.when(c != ".", c)
     return rows.select(
         cells[0].alias("chrom"), cells[1].cast("long").alias("pos"), dot(cells[2]).alias("id"), cells[3].alias("ref"), F.split(cells[4], ",").alias("alts"), clean_num(cells[5]).alias("qual"),
-        dot(cells[6]).alias("filter"), F.str_to_map(cells[7], F.lit(";"), F.lit("=")).alias("info"), F.split(F.try_element_at(cells, F.lit(9)), ":").alias("format"), F.slice(cells, 10, F.greatest(F.size(cells) - 9, F.lit(0))).alias("fields"),
+        dot(cells[6]).alias("filter"), F.str_to_map(cells[7], F.lit(";"), F.lit("=")).alias("info"), F.split(F.try_element_at(cells, F.lit(9)), ":").alias("format"), F.slice(cells, 10, F.greatest(F.size(cells) - 9, F.lit(0))).alias("fields"), "file",
     )
 
 
@@ -37,10 +51,17 @@ def field(name: str) -> Column:
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """Long calls: one row per site and sample, with dosage, depth, quality, allele depths and allele fraction.
 
-    The dosage is that of the first alternate allele; other genotypes, half calls included, are NULL.
+    The dosage is that of the first alternate allele; other genotypes, half calls included, are NULL. Fields get their names from
+    the header of their own file, by a join on file and place. A file without a header is a part of a set whose other files have one
+    in common; where these differ, and beyond a header, fields have no name.
     """
-    names = F.array(*[F.lit(n) for n in sample_names(spark, path)])
-    long = sites(spark, path).select("*", F.posexplode("fields").alias("k", "field")).withColumn("sample", names[F.col("k")])
+    names = written(headers(spark, path), "headers")
+    own = names.select(F.col("file").alias("of"), F.col("k").alias("at"), F.col("sample").alias("own"))
+    whole = names.select(F.col("file").alias("headed")).distinct()
+    rest = common_header(names).select(F.col("k").alias("place"), F.col("sample").alias("other"))
+    split = sites(spark, path).join(sized(whole), F.col("file") == F.col("headed"), "left").select("*", F.posexplode("fields").alias("k", "field"))
+    long = split.join(sized(own), (F.col("headed") == F.col("of")) & (F.col("k") == F.col("at")), "left")
+    long = long.join(sized(rest), F.col("headed").isNull() & (F.col("k") == F.col("place")), "left").withColumn("sample", F.coalesce("own", "other"))
     ad = F.transform(F.split(field("AD"), ","), lambda x: x.try_cast("int"))
     return long.select("chrom", "pos", "id", "ref", "alts", "filter", "sample", dosage(field("GT")).alias("gt"), field("DP").try_cast("int").alias("dp"), field("GQ").try_cast("int").alias("gq"), clean_num(F.split(field("AF"), ",")[0]).alias("af"), ad.alias("ad"))
 

@@ -300,6 +300,16 @@ def test_components_of_dependent_samples(spark):
     assert scores.count() == 6 and weights.count() > 0
 
 
+def test_places_count_over_partitions(spark):
+    r = random.Random(2)
+    rows = [(r.choice([None, "chr2", "chr10", "chr1"]), r.randrange(50), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "chrom string, pos long, variant_id long").repartition(7)
+    got = selection.placed(df, [selection.by_number(F.col("chrom")), F.col("pos"), F.col("variant_id")]).collect()
+    number = lambda c: 1000 if c is None else int(c[3:])
+    assert {(x.chrom, x.pos, x.variant_id): x.place for x in got} == {row: k for k, row in enumerate(sorted(rows, key=lambda x: (number(x[0]), *x[1:])), 1)}
+    assert selection.placed(df.limit(0), [F.col("pos")]).count() == 0
+
+
 def test_folders_are_removed(spark):
     from callgrove.shared import remove_intermediates, written
 

@@ -23,6 +23,28 @@ def test_vcf(spark, tmp_path):
     assert [tuple(r) for r in sites] == [(10, 50.0, "PASS", "a", 60.0, 12.5), (20, None, "LowQual", None, None, None), (30, None, None, "c", None, -1.0)]
 
 
+def test_files_of_a_folder_have_their_own_headers(spark, tmp_path):
+    """Other samples, another order, no samples at all, and a second file of the same samples."""
+    line = lambda pos, *fields: "\t".join(["chr1", str(pos), ".", "A", "C", ".", "PASS", ".", "GT:DP", *fields])
+    head = lambda *names: "##x\n" + "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", *(["FORMAT"] if names else []), *names])
+    texts = {
+        "a.vcf": [head("s1", "s2"), line(1, "0/0:1", "0/1:2"), line(2, "1/1:3", "0/0:4")], "b.vcf": [head("s2", "s3", "s1"), line(3, "0/1:5", "1/1:6", "0/0:7")],
+        "c.vcf": [head(), "chr1\t4\t.\tA\tC\t.\tPASS\t."], "d.vcf": [head("s1", "s2"), line(5, "1/1:8", "0/1:9", "0/0:10")],
+    }
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    got = sorted((r.pos, r["sample"] or "", r.gt, r.dp) for r in vcf.read_vcf(spark, str(tmp_path)).collect())
+    assert got == [(1, "s1", 0, 1), (1, "s2", 1, 2), (2, "s1", 2, 3), (2, "s2", 0, 4), (3, "s1", 0, 7), (3, "s2", 1, 5), (3, "s3", 2, 6), (5, "", 0, 10), (5, "s1", 2, 8), (5, "s2", 1, 9)]
+    assert vcf.sites(spark, str(tmp_path)).count() == 5
+    (tmp_path / "parts").mkdir()
+    (tmp_path / "parts" / "a.vcf").write_text(head("s1", "s2") + "\n")
+    (tmp_path / "parts" / "b.vcf").write_text(line(1, "0/0:1", "0/1:2") + "\n")
+    parts = lambda: {(r.pos, r["sample"], r.gt) for r in vcf.read_vcf(spark, str(tmp_path / "parts")).collect()}
+    assert parts() == {(1, "s1", 0), (1, "s2", 1)}
+    (tmp_path / "parts" / "c.vcf").write_text(head("s2", "s1") + "\n")
+    assert parts() == {(1, None, 0), (1, None, 1)}
+
+
 def test_text_tables(spark, tmp_path):
     (tmp_path / "a.txt").write_text("#ID  P\n 1   0.5\n2\tNA\n\n")
     rows = tables.read_ws(spark, str(tmp_path / "a.txt"), "id long, p double", "#ID").collect()
