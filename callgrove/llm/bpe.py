@@ -6,12 +6,15 @@ steps. Merging leaves old entries in their buckets; an entry is stale when its p
 The work is linear in the pre-token, which keeps pre-tokens of megabytes usable.
 
 Defined results: a null text counts as the empty text; the empty text has no ids and decodes to no bytes; ids outside the
-vocabulary make decoding fail; repeated rows are encoded alike; an input column named like an output column is replaced.
+vocabulary make decoding fail; repeated rows are encoded alike; an input column named like an output column is replaced; an empty table gives
+no rows. A long text comes in blocks of pre-tokens; a pre-token of megabytes takes some 60 bytes a byte.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
+from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
@@ -24,8 +27,10 @@ from callgrove.llm.common import add_columns
 
 #: Pre-tokens of a long text that are held at once, and that go through the rank queue together.
 BLOCK, QUEUED = 100_000, 10_000
-#: Pre-tokens whose ids a process keeps: about 200 bytes each.
-MEMO = 200_000
+#: Bytes of pre-tokens and ids that a process keeps, and letters of the longest one that is kept.
+KEPT_BYTES, LONGEST = 42 << 20, 200
+#: Bytes of pre-tokens from which on numbers are held in arrays, and bytes whose first pairs are found at once.
+LARGE, FILLED = 1 << 20, 1 << 22
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -68,27 +73,39 @@ class RankQueueEncoder:
                 self.top &= self.top - 1
         return rank
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+    def fill(self, data: bytes, make: Callable[[], list | array]) -> array | list:
+        """The rank of the pair that starts at each place, which goes into the bucket of its rank; a part of a long text at a time."""
+        pair, buckets = make(), self.buckets
+        for at in range(0, len(data), FILLED):
+            codes = np.frombuffer(data[at : at + FILLED + 1], np.uint8).astype(np.uint16)
+            first = self.pairs[codes[:-1] << 8 | codes[1:]] if len(codes) > 1 else np.zeros(0, np.int32)
+            places = np.flatnonzero(first >= 0).astype(np.int32)
+            places = places[np.argsort(first[places], kind="stable")]
+            starts = np.flatnonzero(np.diff(first[places], prepend=-1)).tolist()
+            for x, y in zip(starts, [*starts[1:], len(places)]):
+                rank = int(first[places[x]])
+                if not buckets[rank]:
+                    self.mark(rank)
+                    buckets[rank] = make()
+                buckets[rank].extend((places[x:y] + at).tolist())
+            pair.extend(first.tolist())
+        pair.extend([-1] * (len(data) + 1 - len(pair)))
+        return pair
+
+    def encode(self, pieces: list[bytes]) -> list[list[int] | array]:
         data = b"\xff" + b"\xff".join(pieces) + b"\xff\xff"
         n = len(data)
+        make = (lambda: array("i")) if n > LARGE else list  # numbers of four bytes where there are many, else the faster lists
         get, buckets = self.merges.get, self.buckets
-        after = list(range(1, n + 1))  # where the token that starts here ends
-        before = list(range(-1, n - 1))  # where the token before it starts
-        codes = np.frombuffer(data, np.uint8).astype(np.int32)
-        first = self.pairs[codes[:-1] << 8 | codes[1:]]  # rank of the pair that starts here
-        pair = [*first.tolist(), -1, -1]
-        places = np.flatnonzero(first >= 0)
-        places = places[np.argsort(first[places], kind="stable")]
-        starts = np.flatnonzero(np.diff(first[places], prepend=-1)).tolist()
-        for x, y in zip(starts, [*starts[1:], len(places)]):
-            rank = int(first[places[x]])
-            buckets[rank] = places[x:y].tolist()
-            self.mark(rank)
+        after, before = make(), make()
+        after.extend(range(1, n + 1))  # where the token that starts here ends
+        before.extend(range(-1, n - 1))  # where the token before it starts
+        pair = self.fill(data, make)
         while self.top:
             rank = self.first()
-            bucket, buckets[rank] = buckets[rank], []
+            bucket, buckets[rank] = buckets[rank], make()
             if len(bucket) > 1:
-                bucket.sort()  # equal ranks merge from the left
+                bucket = sorted(bucket)  # equal ranks merge from the left
             for k, i in enumerate(bucket):
                 if pair[i] != rank:
                     continue  # stale
@@ -113,11 +130,11 @@ class RankQueueEncoder:
                 if lower and k + 1 < len(bucket):  # a lower rank has come up: it goes first
                     if not buckets[rank]:
                         self.mark(rank)
-                    buckets[rank] += bucket[k + 1 :]
+                    buckets[rank].extend(bucket[k + 1 :])
                     break
         ranks, i, out = self.ranks, 1, []
         for piece in pieces:
-            stop, ids = i + len(piece), []
+            stop, ids = i + len(piece), make()
             while i < stop:
                 end = after[i]
                 ids.append(ranks[data[i:end]])
@@ -133,19 +150,24 @@ class TextEncoder:
     def __init__(self, path: str, pattern: str):
         self.split = regex.compile(pattern)
         self.queue = RankQueueEncoder(load_ranks(path))
-        self.memo: dict[str, bytes] = {}
+        self.memo, self.long, self.kept = {}, {}, 0
 
     def learn(self, held: list[list[str]]) -> None:
+        """Ids of all pre-tokens that are held; those of short ones are kept after that, up to KEPT_BYTES."""
         wanted = set().union(*held)
         new = wanted.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
+        if self.kept > KEPT_BYTES:
             self.memo.clear()
-            new = wanted
-        new = list(new)
-        for at in range(0, len(new), QUEUED):
-            part = new[at : at + QUEUED]
+            self.kept, new = 0, wanted
+        short, long = [w for w in new if len(w) <= LONGEST], [w for w in new if len(w) > LONGEST]
+        for part in [*(short[at : at + QUEUED] for at in range(0, len(short), QUEUED)), *([w] for w in long)]:
             for word, ids in zip(part, self.queue.encode([w.encode() for w in part]), strict=True):
-                self.memo[word] = np.array(ids, "<u4").tobytes()
+                packed = np.asarray(ids, "<u4").tobytes()
+                if len(word) <= LONGEST:
+                    self.memo[word] = packed
+                    self.kept += 160 + len(word) + len(packed)
+                else:
+                    self.long[word] = packed
 
     def blocks(self, texts: list):
         """(place, pre-tokens) of all texts; a long text comes in several blocks."""
@@ -165,8 +187,9 @@ class TextEncoder:
         def flush() -> None:
             self.learn([p for _, p in held])
             for k, part in held:
-                out[k].append(b"".join(map(self.memo.__getitem__, part)))
+                out[k].append(b"".join([self.memo.get(p) or self.long[p] for p in part] if self.long else map(self.memo.__getitem__, part)))
             held.clear()
+            self.long = {}
 
         n = 0
         for k, part in self.blocks(texts):
