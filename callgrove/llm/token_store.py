@@ -37,8 +37,8 @@ FRAME, FILE_IDS = 1 << 18, 1 << 27
 #: Fixed values of the seekable format: skippable frames, and the magic number at the end.
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "<u1"), ("start", "<u8"), ("n", "<u8")])
-#: Documents encoded at once; chunks of text, and letters of words, whose ids a process keeps.
-SLICE, MEMO, CORES = 1024, 900_000, 1_200_000
+#: Documents encoded at once; chunks of text, and letters of words, whose ids a process keeps, and the longest of them: some 300 MB at most.
+SLICE, MEMO, CORES, LONGEST = 1024, 900_000, 1_200_000, 64
 #: Letters of one byte in Latin-1, which are in composed form and have simple lower case, and marks after them; or anything else.
 LINES = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)|(.*))$", re.MULTILINE)
 #: A character that is a token of its own between white space, and no letter or digit.
@@ -198,7 +198,10 @@ class ChunkTokenizer:
         for missing, encode in ((list(cores.difference(known)), self.encode_letters), (list(rest.difference(known)), self.encode_chunks)):
             known.update(zip(missing, encode(missing), strict=True))
         got = [known[core] + known[tail] if tail else known[core or other] for core, tail, other in parts]
-        self.chunks.update(zip(new, got, strict=True))
+        long = [w for w in (*cores, *rest) if len(w) > LONGEST]
+        for w in long:
+            del known[w]
+        self.chunks.update([(w, x) for w, x in zip(new, got, strict=True) if len(w) <= LONGEST] if long else zip(new, got, strict=True))
         return got
 
     def pack(self, texts: list) -> list[bytes]:
