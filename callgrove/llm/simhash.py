@@ -38,6 +38,8 @@ from callgrove.llm.common import add_columns, free_name, sized, written
 SEED = 42
 #: Members of a block of a posting.
 BLOCK = 1024
+#: Shingles of a block of a posting of shingle sets, about: 8 bytes each.
+BLOCK_SHINGLES = 1 << 21
 #: Postings of a shingle set, least hashes in each, and how many of all must agree for a pair to be verified: at similarity 0.8
 #: a pair shares a posting but for 3 in a million, and agrees in fewer hashes once in 10**8.
 BANDS, BAND_ROWS, AGREE = 24, 4, 54
@@ -207,8 +209,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         seen = mark
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        # written, so that the join below deals both sides anew and a star with many ends can be split
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-heads")
+        large = both.where("v > u").join(sized(least), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a")
@@ -242,7 +245,7 @@ def set_prints(df: DataFrame, size: int, text: str = "text", out: str = "fingerp
 
 
 def set_postings(prints: DataFrame) -> DataFrame:
-    """key and fp_id of each shingle set (fp_id, fingerprint) under each of its bands; empty sets have none."""
+    """key, fp_id and number of shingles of each shingle set (fp_id, fingerprint) under each of its bands; empty sets have none."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -253,9 +256,10 @@ def set_postings(prints: DataFrame) -> DataFrame:
                 bands = np.ascontiguousarray(b[some, 24:]).view("<u8")
                 keys = np.stack([widened(bands[:, k], k + 1) for k in range(BANDS)], axis=1).view(np.int64)
                 named = batch.column(0).take(pa.array(np.repeat(np.flatnonzero(some), BANDS)))
-                yield pa.RecordBatch.from_arrays([named, pa.array(keys.ravel())], names=["fp_id", "key"])
+                sizes = np.repeat(np.ascontiguousarray(b[some, :8]).view("<i8").ravel(), BANDS)
+                yield pa.RecordBatch.from_arrays([named, pa.array(keys.ravel()), pa.array(sizes)], names=["fp_id", "key", "size"])
 
-    return prints.select("fp_id", "fingerprint").mapInArrow(post, "fp_id binary, key long")
+    return prints.select("fp_id", "fingerprint").mapInArrow(post, "fp_id binary, key long, size long")
 
 
 def similar(sets: list[np.ndarray], lengths: np.ndarray, least: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
@@ -320,9 +324,9 @@ def set_links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     Postings of the same members are one (by number and XOR of their hashes). Sets are made again from the texts of members.
     """
     posts = set_postings(classes)
-    groups = posts.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(fp_id))").alias("who")).where("n > 1")
-    groups = groups.groupBy("n", "who").agg(F.min("key").alias("key"))
-    shared = written(posts.join(groups, "key").select("key", "n", "fp_id"), "postings")
+    groups = posts.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(fp_id))").alias("who"), F.sum("size").alias("shingles")).where("n > 1")
+    groups = groups.groupBy("n", "who").agg(F.min_by(F.struct("key", "shingles"), "key").alias("g")).select("n", "g.key", "g.shingles")
+    shared = written(posts.join(groups, "key").select("key", "n", "shingles", "fp_id"), "postings")
     wanted = written(classes.join(shared.select("fp_id").distinct(), "fp_id", "left_semi").select("fp_id", "fingerprint", F.col("first.doc_id").alias("named"), F.col("first.text_key").alias("text_key")), "members")
     texts = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), "text")
     members = texts.join(sized(wanted), "text_key").where(F.col("doc_id").eqNullSafe(F.col("named"))).dropDuplicates(["fp_id"]).select("fp_id", "fingerprint", "text")
@@ -331,7 +335,9 @@ def set_links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         return lambda batch: [[shingle_set(x.as_py(), size).tobytes() for x in batch.column(0)]]
 
     sets = add_columns(members, [("shingles", T.BinaryType())], make, ["text"]).drop("text")
-    placed = shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp_id"), "blocks").cast("int"))
+    # two blocks meet in a group, and neither their members nor their shingles pass a bound
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    placed = shared.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp_id"), "blocks").cast("int"))
     met = placed.select("key", "fp_id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp_id").join(sets, "fp_id")
     dealt = met.select("key", "i", "j", "fp_id", "fingerprint", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp_id")
@@ -345,8 +351,8 @@ def labelled(docs: DataFrame, prints: Callable[[DataFrame], DataFrame], links: C
     classes = written(made.groupBy("fingerprint").agg(F.min(row).alias("first")).withColumn("fp_id", fp_id), "classes")
     roots = components(links(classes))
     placed = classes.join(roots, F.col("fp_id") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("root", "fp_id").alias("root"))
-    named = placed.groupBy("root").agg(F.min("first").alias("first"))
-    return made.join(placed.drop("first").join(named, "root").select("fingerprint", "first"), "fingerprint").select("doc_id", "text_key", "fingerprint", "first")
+    named = written(placed.groupBy("root").agg(F.min("first").alias("first")), "roots")
+    return made.join(placed.drop("first").join(sized(named), "root").select("fingerprint", "first"), "fingerprint").select("doc_id", "text_key", "fingerprint", "first")
 
 
 def hex_digits(print_: Column) -> Column:
