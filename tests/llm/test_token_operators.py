@@ -46,6 +46,35 @@ def test_bpe_lower_rank_comes_up():
     assert queue.encode(pieces) == [plain(p) for p in pieces]
 
 
+def test_bpe_in_arrays_and_parts(monkeypatch):
+    """Long pre-tokens: numbers in arrays and first pairs found part by part give what lists give; they are not kept."""
+    import random
+
+    r = random.Random(7)
+    pieces = ["".join(r.choice("abcdefgh") for _ in range(n)).encode() for n in (5000, 1, 700, 3000)]
+    queue = bpe.RankQueueEncoder(bpe.load_ranks(RANKS))
+    want = queue.encode(pieces)
+    monkeypatch.setattr(bpe, "FILLED", 97)
+    assert queue.encode(pieces) == want
+    monkeypatch.setattr(bpe, "LARGE", 10)
+    assert [list(x) for x in queue.encode(pieces)] == want
+    library, text = tiktoken_encoding(), pieces[0].decode() + " so " + "x" * 1000 + " on"
+    assert want == [library.encode_ordinary(p.decode()) for p in pieces]
+    encoder = bpe.TextEncoder(RANKS, P.PATTERN)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 300)
+    for _ in range(3):
+        assert np.frombuffer(encoder.pack([text, None, "one two"])[0], "<u4").tolist() == library.encode_ordinary(text)
+        assert not encoder.long and max(map(len, encoder.memo)) <= bpe.LONGEST and len(encoder.memo) < 20
+
+
+def test_bpe_pre_token_of_a_megabyte():
+    text = "ab" * 700_000
+    assert bpe.LARGE < len(text)
+    got = np.frombuffer(bpe.TextEncoder(RANKS, P.PATTERN).pack([text])[0], "<u4")
+    words = {rank: word for word, rank in bpe.load_ranks(RANKS).items()}
+    assert b"".join(words[i] for i in got.tolist()).decode() == text
+
+
 def test_bpe_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "ab cd", b"x", None)], "doc_id long, text string, ids binary, decoded string")
     got = bpe.decode(bpe.encode(df, RANKS, P.PATTERN), RANKS).first()
@@ -72,6 +101,18 @@ def test_token_store(spark):
     assert token_store.read_store(spark, token_store.write_store(empty(spark), path, 2, 2)).count() == 0
 
 
+def test_store_keeps_no_long_chunks():
+    """Text without spaces is one chunk, and letters may be long; neither stays in the memos."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    own, library = token_store.ChunkTokenizer(path), Tokenizer.from_file(path)
+    some = ["一二三" * 200 + "x1y2" * 300, "q" * 500 + "!", "short words, " * 3, "q" * 500]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.pack(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+        assert max(map(len, own.chunks)) <= token_store.LONGEST and max(map(len, own.cores)) <= token_store.LONGEST
+
+
 def test_store_ids_equal_the_library():
     """Odd and random texts, with the memos emptied in between, against the library on whole texts."""
     import random
