@@ -100,7 +100,7 @@ def lin6_ibd_pi_hat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related(spark: SparkSession, sf_dir: str, above: float = 0.02) -> DataFrame:
-    return expr.round_filter(kinship.pi_hat(schema.calls(spark, sf_dir)).select("id1", "id2", "pi_hat"), "pi_hat", above)
+    return expr.round_filter(kinship.pi_hat(schema.calls(spark, sf_dir), above=above).select("id1", "id2", "pi_hat"), "pi_hat", above)
 
 
 @query()

@@ -100,7 +100,7 @@ def reference_projection(calls: DataFrame, ref_calls: DataFrame, variants: DataF
 
 def related_pairs(calls: DataFrame, samples: DataFrame, above: float = 0.2) -> DataFrame:
     """id1, id2, pi_hat (rounded) and pair_type of the pairs above the bound."""
-    pairs = expr.round_filter(kinship.pi_hat(calls).select("id1", "id2", "pi_hat"), "pi_hat", above)
+    pairs = expr.round_filter(kinship.pi_hat(calls, above=above).select("id1", "id2", "pi_hat"), "pi_hat", above)
     one, two = (samples.select(F.col("sample_id").alias(f"id{k}"), F.col("pheno").alias(f"pheno{k}")) for k in (1, 2))
     typed = pairs.join(sized(one), "id1", "left").join(sized(two), "id2", "left")
     return typed.select("id1", "id2", "pi_hat", expr.pair_type(F.col("pheno1"), F.col("pheno2")).alias("pair_type"))

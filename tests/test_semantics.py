@@ -331,6 +331,32 @@ def test_duplicates_share_everything(spark):
     assert max(x.pi_hat for x in got if (x.id1, x.id2) != (0, 8)) < 0.5
 
 
+def test_pairs_of_many_blocks_equal_plain_counts(spark):
+    """Blocks of a few samples and variants, missing calls, samples and variants without any, and ids that are strings."""
+    r = random.Random(11)
+    rows = [(v, s, r.choice([0, 1, 2, None])) for v in range(90) for s in range(-4, 19) if s != 3 and v != 5 and (v + s) % 3]
+    rows += [(5, s, None) for s in range(6)] + [(v, 40, 1) for v in range(3)] + [(99, 41, 2)]
+    by = {}
+    for v, s, g in rows:
+        if g is not None:
+            by.setdefault(s, {})[v] = g
+    want = {}
+    for a in by:
+        for b in by:
+            n = [sum(2 - abs(by[a][v] - by[b][v]) == k for v in by[a] if v in by[b]) for k in range(3)]
+            if a < b and sum(n):
+                want[a, b] = n
+    c = calls(spark, rows)
+    got = {(x.id1, x.id2): [x.n0, x.n1, x.n2] for x in kinship.sample_pairs(c, block=4, variants=20).collect()}
+    assert got == want
+    named = c.withColumn("sample_id", F.concat(F.lit("s"), F.col("sample_id").cast("string")))
+    assert {frozenset((x.id1, x.id2)): [x.n0, x.n1, x.n2] for x in kinship.sample_pairs(named, block=4).collect()} == {frozenset((f"s{a}", f"s{b}")): n for (a, b), n in want.items()}
+    full = {(x.id1, x.id2): x.pi_hat for x in kinship.pi_hat(c).collect()}
+    near = {(x.id1, x.id2): x.pi_hat for x in kinship.pi_hat(c, above=0.1).collect()}
+    assert set(near) <= set(full) and {k for k, x in full.items() if x is not None and round(x, 3) > 0.1} <= set(near) and len(near) < len(full)
+    assert kinship.sample_pairs(c.limit(0)).count() == 0 and kinship.pi_hat(c.limit(0), above=0.1).count() == 0
+
+
 def test_logistic_scan(spark):
     r = random.Random(8)
     rows, pheno = [], []
