@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from callgrove.shared import sized, written
 
-#: Evenly wide buckets between the least and the greatest value in which ranks are looked for.
-BUCKETS = 4096
-
 
 def names(by: str | list[str] | None) -> list[str]:
     return [] if by is None else [by] if isinstance(by, str) else list(by)
@@ -167,41 +164,50 @@ def af_grid(df: DataFrame, hwe: list[float], rare: list[float], pass_only: bool
 
 
 def moments(df: DataFrame, column: str, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), F.percentile(column, 0.5).alias("median"))
+    """Mean, standard deviation (n - 1) and median of each group."""
+    got = df.groupBy(*by).agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"))
+    middle = quantiles(df, column, [0.5], by).select(*[F.col(k).alias(f"__{k}") for k in by], F.col("q")[0].alias("median"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]) if by else F.lit(True)
+    return got.join(sized(middle), same, "left").select(*by, "mean", "sd", "median")
 
 
 def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.corr(x, y).alias("r"))
 
 
+def cumulated(values: DataFrame, keys: list[str], column: str, count: str) -> DataFrame:
+    """values (keys, column, count and more; a row for each distinct value) with __before, the counts of the group's lesser values, and __all, those of all.
+
+    Ranges of (keys, column) with about as many values each, taken from a sample by Spark, are the partitions, whatever the
+    values are: an outlier or a large group changes nothing. Counts of the partitions carry the ranks over; a window takes
+    a group's values of one partition, never a group.
+    """
+    order = [*keys, column]
+    numbered = written(values.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "cumulated")
+    sums = numbered.groupBy("__part", *keys).agg(F.sum(count).alias("__s"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions of a group
+    bases = written(sums.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__{k}") for k in keys], F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"), F.sum("__s").over(Window.partitionBy(*keys)).alias("__all")), "cumulated-bases")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col("__part") == F.col("__p"))
+    within = Window.partitionBy("__part", *keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    met = numbered.join(sized(bases), same)
+    return met.withColumn("__before", F.col("__base") + F.coalesce(F.sum(count).over(within), F.lit(0))).select(*values.columns, "__before", "__all")
+
+
 def quantiles(df: DataFrame, column: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
     """Exact linear quantiles q (array<double>, one for each of probs) of each group that has a value; NULLs are left out.
 
-    Distinct values are counted, then counted by evenly wide buckets between a group's extremes. Running sums over the
-    buckets tell which of them hold the wanted ranks, and only the values of those are sorted: no task takes a whole group.
+    Distinct values are counted and get the ranks that they span; those that hold a wanted rank stay.
     """
-    keys = by or ["__all"]
-    rows = df.where(F.col(column).isNotNull()).select(*(by or [F.lit(0).alias("__all")]), F.col(column).cast("double").alias("__v"))
-    values = written(rows.groupBy(*keys, "__v").agg(F.count("*").alias("__k")), "quantile-values")
-    span = written(values.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__k").alias("__n")), "quantile-span")
-    same = lambda a, b, names: reduce(and_, [a[k].eqNullSafe(b[k]) for k in names])
-    met = values.alias("a").join(span.alias("b"), same(values, span, keys)).select("a.*", "__lo", "__hi", "__n")
-    share = F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    placed = met.withColumn("__b", F.coalesce(F.floor(share * BUCKETS), F.lit(0))).drop("__lo", "__hi")
-    counts = placed.groupBy(*keys, "__b").agg(F.sum("__k").alias("__k"), F.first("__n").alias("__n"))
-    ends = counts.withColumn("__end", F.sum("__k").over(Window.partitionBy(*keys).orderBy("__b")))  # at most BUCKETS + 1 rows a group
-    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("__n") - 1)).alias("r")) for i, p in enumerate(probs)])).alias("__x")
-    ranks = ends.select(*keys, "__b", (F.col("__end") - F.col("__k")).alias("__start"), "__end", at)
-    ranks = ranks.select(*keys, "__b", "__start", "__end", "__x.i", "__x.r", F.explode(F.array(F.floor("__x.r"), F.ceil("__x.r"))).alias("__rank"))
-    held = ranks.where((F.col("__rank") >= F.col("__start")) & (F.col("__rank") < F.col("__end")))
-    wanted = written(held.groupBy(*keys, "__b", "__start").agg(F.collect_list(F.struct("i", "r", "__rank")).alias("__asked")), "quantile-ranks")
-    inside = placed.alias("a").join(wanted.alias("b"), same(placed, wanted, [*keys, "__b"])).select("a.*", "__start", "__asked")
-    upto = F.col("__start") + F.sum("__k").over(Window.partitionBy(*keys, "__b").orderBy("__v"))
-    asked = inside.withColumn("__upto", upto).select(*keys, "__v", "__k", "__upto", F.inline("__asked"))
-    found = asked.where((F.col("__rank") >= F.col("__upto") - F.col("__k")) & (F.col("__rank") < F.col("__upto")))
-    ends_of = found.groupBy(*keys, "i").agg(F.first("r").alias("r"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    keys = by or ["__one"]
+    rows = df.where(F.col(column).isNotNull()).select(*(by or [F.lit(0).alias("__one")]), F.col(column).cast("double").alias("__v"))
+    placed = cumulated(rows.groupBy(*keys, "__v").agg(F.count("*").alias("__k")), keys, "__v", "__k")
+    rank = lambda p: F.lit(float(p)) * (F.col("__all") - 1)
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), rank(p).alias("r"), f(rank(p)).cast("long").alias("at")) for i, p in enumerate(probs) for f in (F.floor, F.ceil)])
+    held = F.filter(asked, lambda x: (x["at"] >= F.col("__before")) & (x["at"] < F.col("__before") + F.col("__k")))
+    found = placed.select(*keys, "__v", F.inline(held))
+    ends = found.groupBy(*keys, "i").agg(F.first("r").alias("r"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
     value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((F.ceil("r") - F.col("r")) * F.col("lo") + (F.col("r") - F.floor("r")) * F.col("hi"))
-    got = ends_of.withColumn("v", value).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("q"))
+    got = ends.withColumn("v", value).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("q"))
     return got.select(*(by or []), F.transform("q", lambda x: x["v"]).alias("q"))
 
 
@@ -217,9 +223,8 @@ def box_stats(df: DataFrame, column: str, by: list[str]) -> DataFrame:
 
 def rank_avg(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Distinct values with their count and average rank within the group."""
-    counts = df.groupBy(*by, column).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("rank", before + (F.col("n") + 1) / 2.0)
+    counts = cumulated(df.groupBy(*by, column).agg(F.count("*").alias("n")), by, column, "n")
+    return counts.withColumn("rank", F.col("__before") + (F.col("n") + 1) / 2.0).drop("__before", "__all")
 
 
 def two_sided(z: Column) -> Column:
@@ -243,15 +248,14 @@ def mann_whitney(df: DataFrame, column: str, by: str, groups: list[str]) -> Data
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(by).alias("g"), F.col(column).alias("v")).agg(F.count("*").alias("n"))
     met = counts.join(F.broadcast(pairs), (F.col("g") == F.col("g1")) | (F.col("g") == F.col("g2")))
     values = met.groupBy("g1", "g2", "v").agg(F.sum(F.when(F.col("g") == F.col("g1"), F.col("n")).otherwise(0)).alias("n1"), F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("g1", "g2").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = values.withColumn("rank", before + (F.col("n") + 1) / 2.0)
+    ranked = cumulated(values, ["g1", "g2"], "v", "n").withColumn("rank", F.col("__before") + (F.col("n") + 1) / 2.0)
     got = ranked.groupBy("g1", "g2").agg(F.sum(F.col("n1") * F.col("rank")).alias("r1"), F.sum("n1").alias("m1"), F.sum("n").alias("m"), F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"))
     m1, m = F.col("m1").cast("double"), F.col("m").cast("double")
     u = F.col("r1") - m1 * (m1 + 1) / 2
     sd = F.sqrt(m1 * (m - m1) / 12 * ((m + 1) - F.col("ties") / (m * (m - 1))))
     apart = F.abs(u - m1 * (m - m1) / 2) - 0.5
     out = got.select("g1", "g2", u.alias("u"), F.greatest(F.try_divide(apart, sd), F.lit(0.0)).alias("z"))
-    middle = df.groupBy(F.col(by).alias("g")).agg(F.percentile(column, 0.5).alias("median"), F.avg(column).alias("mean"))
+    middle = written(moments(df.where(F.col(by).isin(groups)), column, [by]).select(by, "median", "mean"), "middles")  # a row for each of the groups
     one, two = middle.toDF("g1", "median1", "mean1"), middle.toDF("g2", "median2", "mean2")
     full = out.join(F.broadcast(one), "g1").join(F.broadcast(two), "g2")
     return full.select("g1", "g2", "u", "z", two_sided(F.col("z")).alias("p"), (F.col("median1") - F.col("median2")).alias("median_diff"), (F.col("mean1") - F.col("mean2")).alias("mean_diff"))
