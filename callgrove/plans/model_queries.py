@@ -10,9 +10,11 @@ from callgrove.functions import expr
 from callgrove.operators import association, kinship, linalg, linkage, stats
 from callgrove.plans.filter_queries import SCORES, some_scores
 from callgrove.plans.registry import query
-from callgrove.plans.statistic_queries import rounded
+from callgrove.plans.statistic_queries import COUNTS, HWE_SQL, rounded
 from callgrove.shared import sized, written
 
+HWE_COUNTS = f", counts AS (SELECT variant_id, {COUNTS} FROM calls GROUP BY 1), {HWE_SQL}"
+
 LD_SQL = """, ix AS (SELECT chrom, variant_id, row_number() OVER (PARTITION BY chrom ORDER BY pos, variant_id) AS i FROM variants),
 pr AS (SELECT a.variant_id AS v1, b.variant_id AS v2 FROM ix a JOIN ix b ON a.chrom = b.chrom AND b.i > a.i AND b.i - a.i < 50),
 g AS (SELECT * FROM calls WHERE gt IS NOT NULL),
@@ -59,6 +61,15 @@ def lin3_pca_group_plot_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(linalg.pca_view(scores, values, labels(spark, sf_dir)), 6)
 
 
+@query(f"""{SCORES} SELECT sample_id, pc_name, round(score, 6) AS score, pct, CASE WHEN starts_with(iid, 'PHOM') THEN 'CTEPH' ELSE 'AGP3K' END AS label
+FROM (SELECT sample_id, 'pc1' AS pc_name, pc1_avg AS score, CAST(75 AS DOUBLE) AS pct FROM sc UNION ALL SELECT sample_id, 'pc2', pc2_avg, CAST(25 AS DOUBLE) FROM sc) JOIN samples USING (sample_id)""")
+def lin3_view_of_given_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view of two given scores, whose values are as three to one."""
+    values = spark.createDataFrame([(1, 3.0), (2, 1.0)], "pc int, eigenvalue double")
+    scores = some_scores(spark, sf_dir).select("sample_id", F.col("pc1_avg").alias("pc1"), F.col("pc2_avg").alias("pc2"))
+    return rounded(linalg.pca_view(scores, values, labels(spark, sf_dir)), 6)
+
+
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Given weights: functions of a variant's number."""
     v = schema.variants(spark, sf_dir)
@@ -227,6 +238,16 @@ def lin9_association_table_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(view.select("variant_id", "chrom", "pos", "p", "neg_log10_p", "expected", "is_lead"), 6)
 
 
+@query(f"""{HWE_COUNTS}, a AS (SELECT variant_id, round(p, 12) AS p FROM counts LEFT JOIN hw USING (hom_ref, het, hom_alt)), w AS (SELECT a.*, chrom, pos FROM a JOIN variants USING (variant_id) WHERE p IS NOT NULL)
+SELECT variant_id, chrom, pos, round(p, 6) AS p, round(-log10(p), 6) + 0.0 AS neg_log10_p, round(-log10((row_number() OVER (ORDER BY p, variant_id) - 0.5) / count(*) OVER ()), 6) + 0.0 AS expected,
+    p < 0.01 AND variant_id = first_value(variant_id) OVER (PARTITION BY chrom, pos // 1000 ORDER BY p, variant_id) AS is_lead FROM w""")
+def lin9_view_of_given_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view of the exact Hardy-Weinberg p of all variants."""
+    given = stats.hwe_exact(stats.geno_counts(schema.calls(spark, sf_dir))).select("variant_id", F.round("p", 12).alias("p"))
+    view = association.assoc_view(given, schema.variants(spark, sf_dir), 1e-2, 1000)
+    return rounded(view.select("variant_id", "chrom", "pos", "p", "neg_log10_p", "expected", "is_lead"), 6)
+
+
 @query(f"{SCORES} SELECT s.sample_id AS sample_id, iid, pheno, sex, pc1_avg FROM samples s LEFT JOIN sc USING (sample_id) WHERE s.sample_id % 2 = 0 AND s.sample_id % 5 <> 0")
 def lin10_cohort_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = schema.samples(spark, sf_dir)

@@ -14,7 +14,7 @@ from callgrove.plans.concordance_queries import FULL, FULL_SQL, WEIGHTS, knee_sq
 from callgrove.functions.expr import strip_chr
 from callgrove.plans.filter_queries import CASE_CONTROL, COUNTS, HWE_SQL, MASK, some_scores
 from callgrove.plans.model_queries import KIN_SQL, cover_counts, labels
-from callgrove.plans.projection_queries import refseq
+from callgrove.plans.projection_queries import _BASE, refseq
 from callgrove.plans.registry import query
 from callgrove.plans.statistic_queries import rounded, sweep_sql
 
@@ -78,7 +78,12 @@ def pip5_pca_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pipelines.pca_run(calls, schema.variants(spark, sf_dir), schema.regions(spark), ids, 0.05, 5)[0], 6)
 
 
-@query()
+_TURNED = f"(pos > 0 AND ref <> {_BASE} AND alt = {_BASE})"
+
+
+@query(f"""SELECT variant_id, concat(CASE chrom WHEN 'chr23' THEN 'chrX' WHEN 'chr24' THEN 'chrY' ELSE chrom END, ':', CAST(pos AS VARCHAR), ':', CASE WHEN {_TURNED} THEN alt ELSE ref END, ':', CASE WHEN {_TURNED} THEN ref ELSE alt END) AS id,
+    CAST(sum(CASE WHEN {_TURNED} THEN 2 - gt ELSE gt END) AS BIGINT) AS dosage, count(gt) AS called
+FROM variants JOIN freq f USING (variant_id) JOIN calls USING (variant_id) WHERE least(f.alt_freq, 1 - f.alt_freq) >= 0.05 GROUP BY variant_id, chrom, pos, ref, alt""")
 def pip6_reference_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = spark.createDataFrame([("chr23", "chrX"), ("chr24", "chrY")], "old string, new string")
     v, c = pipelines.reference_prepare(schema.calls(spark, sf_dir), schema.variants(spark, sf_dir), refseq(spark, sf_dir), mapping, 0.05)
