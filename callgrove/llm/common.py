@@ -55,8 +55,11 @@ def add_columns(df: DataFrame, outputs: list[tuple[str, T.DataType]], make: Call
     names = {n for n, _ in outputs}
     kept = [f for f in df.schema.fields if f.name not in names]
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in outputs])
-    carried = df.select(*[df[f"`{f.name}`"] for f in kept], *[df[f"`{c}`"].alias(f"__need{i}") for i, c in enumerate(needs)])
-    n_kept = len(kept)
+    place = {f.name: i for i, f in enumerate(kept)}
+    apart = [c for c in dict.fromkeys(needs) if c not in place]  # a needed column that is kept travels once
+    place |= {c: len(kept) + i for i, c in enumerate(apart)}
+    carried = df.select(*[df[f"`{f.name}`"] for f in kept], *[df[f"`{c}`"].alias(f"__need{i}") for i, c in enumerate(apart)])
+    n_kept, where = len(kept), [place[c] for c in needs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -64,7 +67,7 @@ def add_columns(df: DataFrame, outputs: list[tuple[str, T.DataType]], make: Call
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(at, SLICE_ROWS)
-                given = pa.RecordBatch.from_arrays(batch.columns[n_kept:], names=[str(i) for i in range(len(needs))])
+                given = pa.RecordBatch.from_arrays([batch.column(i) for i in where], names=[str(i) for i in range(len(needs))])
                 types = types or [_arrow(t) for _, t in outputs]
                 made = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(work(given), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *made], names=schema.names)
