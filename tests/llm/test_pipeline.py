@@ -2,7 +2,12 @@
 
 import random
 
+import numpy as np
+import public_tokenizers
+import tiktoken
+
 import corpus_pipeline
+from callgrove.llm import bpe
 from callgrove.llm.common import written
 from tests.llm import brute
 from tests.llm.data import table
@@ -37,4 +42,9 @@ def test_stages(spark, tmp_path):
     assert ids["benchmark_decontamination"] == clean and 402 not in clean
     assert ids["secret_scans"] == clean and ids["byte_bpe"] == clean
     assert "password" not in seen["secret_scans"].where("doc_id = 403").first().text
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    texts = {x.doc_id: x.text for x in seen["secret_scans"].collect()}
+    for x in seen["byte_bpe"].collect():
+        want = library.encode_ordinary(texts[x.doc_id] or "")
+        assert np.frombuffer(x.ids, "<u4").tolist() == want and x.n_tokens == len(want)
     assert corpus_pipeline.run(spark, sf).count() == len(clean)
