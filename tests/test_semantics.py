@@ -378,6 +378,27 @@ def test_pairs_of_many_blocks_equal_plain_counts(spark):
     assert kinship.sample_pairs(c.limit(0)).count() == 0 and kinship.pi_hat(c.limit(0), above=0.1).count() == 0
 
 
+def test_listed_pairs_equal_products(spark, monkeypatch):
+    """Few calls a variant: pairs are listed, in squares of samples or not, in chunks of one variant, and with a bound."""
+    from callgrove.operators import tiles
+
+    r = random.Random(12)
+    rows = [(v, 100 * (v // 50) + s, r.choice([0, 1, 2])) for v in range(200) for s in r.sample(range(40), 6)]
+    c = calls(spark, rows)
+    look = lambda df: {(x.id1, x.id2): [x.n0, x.n1, x.n2] for x in df.collect()}
+    want = look(kinship.multiplied_pairs(c, 16, 64))
+    monkeypatch.setattr(tiles, "blocks_of", lambda *_: pytest.fail("sparse calls are not multiplied"))
+    assert look(kinship.sample_pairs(c)) == want
+    few = lambda n: n.sum(0) > 3
+    assert look(kinship.sample_pairs(c, keep=few)) == {k: n for k, n in want.items() if sum(n) > 3} != want
+    monkeypatch.setattr(kinship, "SQUARE", 3)
+    monkeypatch.setattr(kinship, "LISTED", 7)
+    monkeypatch.setattr(kinship, "CHUNK", 5)
+    assert look(kinship.sample_pairs(c)) == want
+    named = c.withColumn("sample_id", F.concat(F.lit("s"), F.col("sample_id").cast("string")))
+    assert {frozenset(k): n for k, n in look(kinship.sample_pairs(named)).items()} == {frozenset((f"s{a}", f"s{b}")): n for (a, b), n in want.items()}
+
+
 def test_logistic_scan(spark):
     r = random.Random(8)
     rows, pheno = [], []
