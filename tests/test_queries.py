@@ -43,3 +43,21 @@ def test_every_sql_has_a_query():
 @pytest.mark.parametrize("name", ["win5_sort", "win5_sort_all"])
 def test_sort(spark, duck, name):
     test_query(spark, duck, name)
+
+
+def test_counts_without_a_call_are_zero(spark, tmp_path):
+    """Variants whose cases, or whose samples at all, have no genotype: counts are 0 and no frequency is taken for none."""
+    import pyarrow.parquet as pq
+
+    line = pq.read_table(f"{DIR}/lineitem.parquet").to_pandas()
+    case = pq.read_table(f"{DIR}/supplier.parquet").to_pandas().query("s_nationkey < 8")["s_suppkey"]
+    line["l_linenumber"] = line["l_linenumber"].where((line["l_partkey"] % 5 != 0) | ~line["l_suppkey"].isin(case), 7).where(line["l_partkey"] % 7 != 0, 7)
+    line.to_parquet(tmp_path / "lineitem.parquet")
+    own = duckdb.connect()
+    for name in ("supplier", "part"):
+        pq.write_table(pq.read_table(f"{DIR}/{name}.parquet"), tmp_path / f"{name}.parquet")
+    for name in ("supplier", "part", "lineitem"):
+        own.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    got, want = catalog.queries()["pip12_frequency_split"](spark, str(tmp_path)).toPandas(), own.execute(catalog.oracle_sql()["pip12_frequency_split"]).df()
+    assert (got[["hom_ref", "het", "hom_alt"]].sum(axis=1) == 0).any()
+    pd.testing.assert_frame_equal(shaped(got), shaped(want))
