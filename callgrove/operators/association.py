@@ -19,16 +19,18 @@ VALUES = ["beta", "se", "odds_ratio", "ci_low", "ci_high", "z", "p"]
 STEPS, TOLERANCE, LARGEST, LARGEST_SE = 25, 1e-8, 30.0, 1e3
 OPEN, DONE, FAILED = 0.0, 1.0, 2.0
 
+#: Calls of a variant up to which a task fits it whole, and calls of the variants that are fitted together.
+LIGHT, TOGETHER = 1 << 18, 1 << 18
+
 
 def person_blocks(people: DataFrame, samples: DataFrame, names: list[str]) -> DataFrame:
     """(block, data): a row for each sample of the block: 1, the covariates less their mean over their spread, and case status.
 
     Covariates that do not vary are left out. Case status is the last column.
     """
-    spread = people.agg(*[F.struct(F.avg(n).alias("m"), F.stddev_pop(n).alias("s")).alias(n) for n in names]).first() if names else {}
-    used = [n for n in names if spread[n]["s"]]
-    row = F.array(F.lit(1.0), *[(F.col(n) - spread[n]["m"]) / spread[n]["s"] for n in used], F.col("__y"))
-    placed = samples.join(people.select("sample_id", row.alias("row")), "sample_id").select("block", "at", "row")
+    who, used = standardised(people, names)
+    row = F.array(F.lit(1.0), *used, "__y")
+    placed = samples.join(who.select("sample_id", row.alias("row")), "sample_id").select("block", "at", "row")
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by("at")
@@ -114,39 +116,102 @@ def newton(cells: DataFrame, people: DataFrame, variants: DataFrame, width: int,
     return state.select("block", "data", "error")
 
 
-def logistic_scan(calls: DataFrame, pheno: DataFrame, covars: DataFrame, names: list[str], ci: float = 0.95, steps: int = STEPS, tolerance: float = TOLERANCE, unsettled: bool = False) -> DataFrame:
-    """Odds ratio, standard error, interval, z and p of the dosage for each variant, with covariates (sample_id, names).
-
-    pheno is 1 (control) or 2 (case). Variants and samples are tiles: all variants of a block share the matrix of covariates of a block of
-    samples, and a step of Newton's method adds up the normal equations over these blocks, so no group grows with the cohort.
-    A fit that fails has NULLs and an error code; `unsettled` keeps coefficients that are still moving after the last step.
-    """
-    people = written(pheno.join(covars, "sample_id").select("sample_id", (F.col("pheno") == 2).cast("double").alias("__y"), *names).dropna(subset=["__y", *names]), "people-rows")
-    rows = calls.where("gt IS NOT NULL").select("variant_id", "sample_id", "gt").join(sized(people.select("sample_id", "__y")), "sample_id")
-    rows = written(rows, "scan-calls")
-    counts = rows.groupBy("variant_id").agg(F.count("*").alias("n"), (F.min("__y") == F.max("__y")).alias("one_class"), (F.min("gt") == F.max("gt")).alias("one_dosage"))
-    counts = written(counts, "scan-counts")
-    usable = rows.join(counts.where("NOT one_class AND NOT one_dosage").select("variant_id"), "variant_id", "left_semi")
+def standardised(people: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """people with covariates less their mean over their spread, and the names of those that vary."""
+    spread = people.agg(*[F.struct(F.avg(n).alias("m"), F.stddev_pop(n).alias("s")).alias(n) for n in names]).first() if names else {}
+    used = [n for n in names if spread[n]["s"]]
+    return people.select("sample_id", "__y", *[((F.col(n) - spread[n]["m"]) / spread[n]["s"]).alias(n) for n in used]), used
+
+
+def values_of(beta: np.ndarray, se: np.ndarray, done: np.ndarray, quantile: float) -> list[pa.Array]:
+    """VALUES and the code of fits; NULLs where they are not done."""
+    beta, se = np.where(done, beta, 0.0), np.where(done, se, 1.0)
+    z = beta / se
+    tail = np.fromiter(map(math.erfc, np.abs(z) / math.sqrt(2)), float, len(z))
+    values = (beta, se, np.exp(beta), np.exp(beta - quantile * se), np.exp(beta + quantile * se), z, tail)
+    return [*[pa.array(v, mask=~done) for v in values], pa.array(np.where(done, ".", "UNFINISHED").tolist(), pa.string())]
+
+
+def light_fits(usable: DataFrame, people: DataFrame, names: list[str], steps: int, tolerance: float, unsettled: bool, quantile: float) -> DataFrame:
+    """(v, VALUES, code) of variants whose calls fit into a task: each call takes its sample's covariates once, all steps run there."""
+    who, used = standardised(people, names)
+    rows = usable.join(sized(who.drop("__y").withColumnsRenamed({n: f"__c{k}" for k, n in enumerate(used)})), "sample_id")
+    columns = [f"__c{k}" for k in range(len(used))]
+    width = len(used) + 2
+    upper = [(a, b) for a in range(width) for b in range(a, width)]
+
+    def sums(x: list[np.ndarray], y: np.ndarray, starts: np.ndarray, lengths: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        line = sum(np.repeat(beta[:, k], lengths) * c for k, c in enumerate(x))
+        p = 1 / (1 + np.exp(-np.clip(line, -35, 35)))
+        rest, w = y - p, p * (1 - p)
+        out = np.empty((len(starts), width + width * width))
+        for k, c in enumerate(x):
+            out[:, k] = np.add.reduceat(rest * c, starts)
+        for a, b in upper:
+            out[:, width + a * width + b] = out[:, width + b * width + a] = np.add.reduceat(w * x[a] * x[b], starts)
+        return out
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tiles.whole_groups(batches, "variant_id", TOGETHER):
+            variant = table["variant_id"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, variant[1:] != variant[:-1]])
+            lengths = np.diff(np.r_[starts, len(variant)])
+            g, y = table["gt"].to_numpy().astype(float), table["__y"].to_numpy()
+            x = [g, np.ones(len(g)), *[table[c].to_numpy() for c in columns]]
+            fits, errors = np.zeros((len(starts), width + 1)), np.full(len(starts), np.nan)
+            for _ in range(steps):
+                at = np.flatnonzero(fits[:, -1] == OPEN)
+                if not len(at):
+                    break
+                mine = np.repeat(fits[:, -1] == OPEN, lengths)
+                many = lengths[at]
+                new, se = newton_step(fits[at], sums([c[mine] for c in x], y[mine], np.cumsum(many) - many, many, fits[at, :-1]), tolerance)
+                fits[at], errors[at] = new, np.where(np.isnan(se), errors[at], se)
+            done = (fits[:, -1] == DONE) | (unsettled & (fits[:, -1] == OPEN) & np.isfinite(errors))
+            yield pa.RecordBatch.from_arrays([pa.array(variant[starts]), *values_of(fits[:, 0], errors, done, quantile)], names=["v", *VALUES, "code"])
+
+    kind = usable.schema["variant_id"].dataType.simpleString()
+    together = rows.select("variant_id", "gt", "__y", *columns).repartition("variant_id").sortWithinPartitions("variant_id")
+    return together.mapInArrow(fitted, f"v {kind}, " + ", ".join(f"{v} double" for v in VALUES) + ", code string")
+
+
+def heavy_fits(usable: DataFrame, people: DataFrame, names: list[str], steps: int, tolerance: float, unsettled: bool, quantile: float) -> DataFrame:
+    """(v, VALUES, code) by tiles: all variants of a block share the matrix of covariates of a block of samples, and a step of
+    Newton's method adds up the normal equations over these blocks, so no group grows with the cohort."""
     samples, variants = tiles.blocks_of(people, "sample_id"), tiles.blocks_of(usable, "variant_id")
     who = person_blocks(people, samples, names)
     width = who.select("width").head(1)[0][0] if who.head(1) else 2
     fits = newton(tiles.tiled(usable, "gt", variants, samples), who, variants, width, steps, tolerance)
-    quantile = 1.959963984540054 if ci == 0.95 else float(np.sqrt(2) * _erfinv(ci))
 
     def said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, fit, error in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 own, se = tiles.matrix(fit, width + 1), np.frombuffer(error, "<f8")
                 done = (own[:, -1] == DONE) | (unsettled & (own[:, -1] == OPEN) & np.isfinite(se))
-                beta, se = np.where(done, own[:, 0], 0.0), np.where(done, se, 1.0)
-                z = beta / se
-                tail = np.fromiter(map(math.erfc, np.abs(z) / math.sqrt(2)), float, len(z))
-                values = (beta, se, np.exp(beta), np.exp(beta - quantile * se), np.exp(beta + quantile * se), z, tail)
-                codes = pa.array(np.where(done, ".", "UNFINISHED").tolist(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), b)), pa.array(np.arange(len(own), dtype=np.int32)), *[pa.array(v, mask=~done) for v in values], codes], names=["b", "place", *VALUES, "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), b)), pa.array(np.arange(len(own), dtype=np.int32)), *values_of(own[:, 0], se, done, quantile)], names=["b", "place", *VALUES, "code"])
 
     found = fits.mapInArrow(said, "b long, place int, " + ", ".join(f"{v} double" for v in VALUES) + ", code string")
-    placed = variants.join(found, (F.col("block") == F.col("b")) & (F.col("at") == F.col("place"))).select(F.col("variant_id").alias("v"), *VALUES, "code")
+    return variants.join(found, (F.col("block") == F.col("b")) & (F.col("at") == F.col("place"))).select(F.col("variant_id").alias("v"), *VALUES, "code")
+
+
+def logistic_scan(calls: DataFrame, pheno: DataFrame, covars: DataFrame, names: list[str], ci: float = 0.95, steps: int = STEPS, tolerance: float = TOLERANCE, unsettled: bool = False) -> DataFrame:
+    """Odds ratio, standard error, interval, z and p of the dosage for each variant, with covariates (sample_id, names).
+
+    pheno is 1 (control) or 2 (case). Variants of LIGHT calls at most are fitted in the task that has their calls; those of more go by tiles.
+    A fit that fails has NULLs and an error code; `unsettled` keeps coefficients that are still moving after the last step.
+    """
+    people = written(pheno.join(covars, "sample_id").select("sample_id", (F.col("pheno") == 2).cast("double").alias("__y"), *names).dropna(subset=["__y", *names]), "people-rows")
+    rows = calls.where("gt IS NOT NULL").select("variant_id", "sample_id", "gt").join(sized(people.select("sample_id", "__y")), "sample_id")
+    rows = written(rows, "scan-calls")
+    counts = rows.groupBy("variant_id").agg(F.count("*").alias("n"), (F.min("__y") == F.max("__y")).alias("one_class"), (F.min("gt") == F.max("gt")).alias("one_dosage"))
+    counts = written(counts, "scan-counts")
+    quantile = 1.959963984540054 if ci == 0.95 else float(np.sqrt(2) * _erfinv(ci))
+    fit = counts.where("NOT one_class AND NOT one_dosage")
+    light, heavy = fit.where(F.col("n") <= LIGHT).select("variant_id"), fit.where(F.col("n") > LIGHT).select("variant_id")
+    asked = (people, names, steps, tolerance, unsettled, quantile)
+    placed = light_fits(rows.join(light, "variant_id", "left_semi"), *asked)
+    if heavy.head(1):
+        placed = placed.unionByName(heavy_fits(rows.join(heavy, "variant_id", "left_semi"), *asked))
     code = F.when(F.col("one_class"), "NO_CONTRAST").when(F.col("one_dosage"), "CONST_ALLELE").otherwise(F.coalesce("code", F.lit("UNFINISHED")))
     return counts.join(placed, F.col("variant_id") == F.col("v"), "left").select("variant_id", "n", *VALUES, code.alias("errcode"))
 

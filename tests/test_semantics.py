@@ -445,6 +445,27 @@ def test_logistic_scan_in_tiles_equals_plain_fits(spark, monkeypatch):
     assert [got[v].errcode for v in (100, 101, 102)] == ["UNFINISHED", "NO_CONTRAST", "CONST_ALLELE"] and got[100].beta is None
 
 
+def test_light_and_heavy_fits_agree(spark, monkeypatch):
+    """Variants below a number of calls are fitted in one task, no tile is made for them; the others give the same by tiles."""
+    from callgrove.operators import tiles
+
+    r = np.random.default_rng(16)
+    p = spark.createDataFrame([(s, 2 if r.random() < 0.4 else 1, float(r.normal(50, 20)), float(s % 2)) for s in range(90)], "sample_id long, pheno int, age double, sex double")
+    c = calls(spark, [(v, s, int(r.integers(0, 3))) for v in range(30) for s in range(90) if r.random() < (0.9 if v % 2 else 0.5)])
+    run = lambda: {x.variant_id: x for x in association.logistic_scan(c, p.select("sample_id", "pheno"), p.drop("pheno"), ["age", "sex"]).collect()}
+    made = tiles.blocks_of
+    monkeypatch.setattr(association, "TOGETHER", 150)
+    monkeypatch.setattr(tiles, "blocks_of", lambda *_: pytest.fail("light variants have no tiles"))
+    light = run()
+    monkeypatch.setattr(tiles, "blocks_of", made)
+    for least in (0, 60):
+        monkeypatch.setattr(association, "LIGHT", least)
+        mixed = run()
+        assert set(mixed) == set(light) and len({x.errcode for x in mixed.values()}) >= 1
+        for v, x in mixed.items():
+            assert (x.n, x.errcode) == (light[v].n, light[v].errcode) and (x.beta is None or (x.beta, x.se, x.p) == pytest.approx((light[v].beta, light[v].se, light[v].p), abs=1e-7))
+
+
 def test_pca_matches_numpy(spark):
     from callgrove.operators import linalg
 
