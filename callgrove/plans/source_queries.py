@@ -14,14 +14,13 @@ from callgrove.sources import tables, vcf
 
 def _vcf(spark: SparkSession, sf_dir: str) -> str:
     path = new_folder(spark, "vcf")
-    vcf.vcf_lines(schema.variants(spark, sf_dir), schema.calls(spark, sf_dir)).write.text(path)
-    return path
+    return vcf.write_vcf(schema.variants(spark, sf_dir), schema.calls(spark, sf_dir), path)
 
 
 @query("SELECT CAST(variant_id AS VARCHAR) AS id, CAST(sample_id AS VARCHAR) AS sample, gt, dp, gq, af FROM calls")
 def src1_vcf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls that were written; pairs that were not assayed have no field and are left out."""
-    return vcf.read_vcf(spark, _vcf(spark, sf_dir)).where("dp IS NOT NULL").select("id", "sample", "gt", "dp", "gq", "af")
+    return vcf.read_vcf(spark, _vcf(spark, sf_dir), absent=False).where("dp IS NOT NULL").select("id", "sample", "gt", "dp", "gq", "af")
 
 
 @query("SELECT chrom, pos, CAST(variant_id AS VARCHAR) AS id, ref, alt, filter, mq, vqslod FROM variants WHERE variant_id IN (SELECT variant_id FROM calls)")
@@ -73,17 +72,17 @@ def _matrix(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _depths(spark: SparkSession, path: str) -> DataFrame:
-    return tables.read_matrix_blocks(spark, path, "dp").groupBy("sample_id").agg(F.count("dp").alias("n"), F.sum("dp").alias("depth"))
+    return tables.read_matrix_blocks(spark, path, "dp", blanks=False).groupBy("sample_id").agg(F.count("dp").alias("n"), F.sum("dp").alias("depth"))
 
 
 @query("SELECT CAST(sample_id AS VARCHAR) AS sample_id, CAST(variant_id AS VARCHAR) AS variant_id, CAST(dp AS DOUBLE) AS dp FROM calls WHERE dp IS NOT NULL")
 def src7_wide_matrix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read_matrix_blocks(spark, _matrix(spark, sf_dir), "dp").where("dp IS NOT NULL")
+    return tables.read_matrix_blocks(spark, _matrix(spark, sf_dir), "dp", blanks=False).where("dp IS NOT NULL")
 
 
 @query("SELECT CAST(sample_id AS VARCHAR) AS sample_id, CAST(variant_id AS VARCHAR) AS variant_id, CAST(dp AS DOUBLE) AS dp FROM calls WHERE dp IS NOT NULL")
 def src7_wide_matrix_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read_matrix_blocks(spark, _matrix(spark, sf_dir), "dp").where("dp IS NOT NULL")
+    return tables.read_matrix_blocks(spark, _matrix(spark, sf_dir), "dp", blanks=False).where("dp IS NOT NULL")
 
 
 @query("SELECT chrom, count(*) AS sites FROM variants GROUP BY chrom")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callgrove.functions.expr import clean_num, dosage
@@ -32,12 +32,12 @@ def common_header(names: DataFrame) -> DataFrame:
 
 def sites(spark: SparkSession, path: str) -> DataFrame:
     """Site columns and the file; the rest of each line stays an array of sample fields."""
-    cells = F.split("value", "\t")
+    cells = F.split("value", "\t", 10)
     rows = lines_of(spark, path).where((F.col("value") != "") & ~F.col("value").startswith("#"))
     dot = lambda c: F.when(c != ".", c)
     return rows.select(
         cells[0].alias("chrom"), cells[1].cast("long").alias("pos"), dot(cells[2]).alias("id"), cells[3].alias("ref"), F.split(cells[4], ",").alias("alts"), clean_num(cells[5]).alias("qual"),
-        dot(cells[6]).alias("filter"), F.str_to_map(cells[7], F.lit(";"), F.lit("=")).alias("info"), F.split(F.try_element_at(cells, F.lit(9)), ":").alias("format"), F.slice(cells, 10, F.greatest(F.size(cells) - 9, F.lit(0))).alias("fields"), "file",
+        dot(cells[6]).alias("filter"), F.str_to_map(cells[7], F.lit(";"), F.lit("=")).alias("info"), F.split(F.try_element_at(cells, F.lit(9)), ":").alias("format"), F.coalesce(F.split(F.try_element_at(cells, F.lit(10)), "\t"), F.array().cast("array<string>")).alias("fields"), "file",
     )
 
 
@@ -48,18 +48,21 @@ def field(name: str) -> Column:
     return F.when(value != ".", value)
 
 
-def read_vcf(spark: SparkSession, path: str) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str, absent: bool = True) -> DataFrame:
     """Long calls: one row per site and sample, with dosage, depth, quality, allele depths and allele fraction.
 
     The dosage is that of the first alternate allele; other genotypes, half calls included, are NULL. Fields get their names from
     the header of their own file, by a join on file and place. A file without a header is a part of a set whose other files have one
-    in common; where these differ, and beyond a header, fields have no name.
+    in common; where these differ, and beyond a header, fields have no name. Without absent pairs, fields of nothing but dots are left
+    out before they get names; in a sparse file they are nearly all.
     """
     names = written(headers(spark, path), "headers")
     own = names.select(F.col("file").alias("of"), F.col("k").alias("at"), F.col("sample").alias("own"))
     whole = names.select(F.col("file").alias("headed")).distinct()
     rest = common_header(names).select(F.col("k").alias("place"), F.col("sample").alias("other"))
-    split = sites(spark, path).join(sized(whole), F.col("file") == F.col("headed"), "left").select("*", F.posexplode("fields").alias("k", "field"))
+    split = sites(spark, path).join(sized(whole), F.col("file") == F.col("headed"), "left")
+    split = split.withColumn("none", F.concat(F.lit("./."), F.repeat(F.lit(":."), F.size("format") - 1))).select("*", F.posexplode("fields").alias("k", "field"))
+    split = split if absent else split.where((F.col("field") != F.col("none")) & ~F.col("field").isin(".", "./.", ".|."))
     long = split.join(sized(own), (F.col("headed") == F.col("of")) & (F.col("k") == F.col("at")), "left")
     long = long.join(sized(rest), F.col("headed").isNull() & (F.col("k") == F.col("place")), "left").withColumn("sample", F.coalesce("own", "other"))
     ad = F.transform(F.split(field("AD"), ","), lambda x: x.try_cast("int"))
@@ -70,15 +73,28 @@ def info_field(name: str, kind: str = "double") -> Column:
     return F.try_element_at("info", F.lit(name)).try_cast(kind)
 
 
-def vcf_lines(variants: DataFrame, calls: DataFrame) -> DataFrame:
-    """Text lines (order_key, value) of variants and their calls, samples in order of id; an absent pair is ./. and a dot."""
-    ids = [r.sample_id for r in calls.select("sample_id").distinct().orderBy("sample_id").collect()]  # the header is one line in any case
+def write_vcf(variants: DataFrame, calls: DataFrame, path: str, width: int = 10_000) -> str:
+    """Compressed call text, a file for each range of `width` ids with a header of the samples that have a call in it, in order of id.
+
+    An absent pair is ./. and dots. Only calls are shuffled: absent pairs come in as lines are written.
+    """
+    block = F.floor(F.col("variant_id") / width).alias("block")
     gt = F.when(F.col("gt") == 0, "0/0").when(F.col("gt") == 1, F.when(F.col("dp") % 2 == 0, "0/1").otherwise("0|1")).when(F.col("gt") == 2, "1/1").otherwise("./.")
     text = F.concat_ws(":", gt, F.coalesce(F.col("dp").cast("string"), F.lit(".")), F.coalesce(F.col("gq").cast("string"), F.lit(".")), F.coalesce(F.col("af").cast("string"), F.lit(".")))
-    row = calls.groupBy("variant_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", text))).alias("m"))
-    wanted = F.array(*[F.lit(i).cast("long") for i in ids])
-    cells = F.transform(wanted, lambda i: F.coalesce(F.try_element_at("m", i), F.lit("./.:.:.:.")))
+    cells = calls.join(variants.select("variant_id"), "variant_id", "left_semi").select(block, "variant_id", "sample_id", text.alias("t"))
+    columns = cells.select("block", "sample_id").distinct().withColumn("k", F.row_number().over(Window.partitionBy("block").orderBy("sample_id")))
+    columns = written(columns, "vcf-columns")
+    heads = columns.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "sample_id"))), lambda x: x["sample_id"].cast("string")).alias("names"))
+    rows = cells.join(sized(columns), ["block", "sample_id"]).groupBy("block", "variant_id").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("c"))
+    none = F.lit(None).cast("array<struct<k:int,t:string>>").alias("c")
+    fixed = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"]
+    first = heads.select("block", F.lit(0).alias("part"), F.lit("##fileformat=VCFv4.2").alias("start"), none, F.lit(0).alias("n"))
+    names = heads.select("block", F.lit(1).alias("part"), F.concat_ws("\t", F.lit("\t".join(fixed)), "names").alias("start"), none, F.lit(0).alias("n"))
     info = F.concat(F.lit("MQ="), F.col("mq").cast("string"), F.lit(";VQSLOD="), F.col("vqslod").cast("string"))
-    body = variants.join(row, "variant_id").select(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.col("variant_id").cast("string"), "ref", "alt", F.lit("."), "filter", info, F.lit("GT:DP:GQ:AF"), F.array_join(cells, "\t")).alias("value"))
-    head = variants.sparkSession.createDataFrame([("##fileformat=VCFv4.2",), ("\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *map(str, ids)]),)], "value string")
-    return head.unionByName(body)
+    site = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.col("variant_id").cast("string"), "ref", "alt", F.lit("."), "filter", info, F.lit("GT:DP:GQ:AF"))
+    body = rows.join(variants, "variant_id").join(sized(heads.select("block", F.size("names").alias("n"))), "block").select("block", F.lit(2).alias("part"), site.alias("start"), "c", "n")
+    ordered = first.unionByName(names).unionByName(body).repartition("block").sortWithinPartitions("block", "part")
+    gap = "repeat('\\t./.:.:.:.', {})"
+    fields = f"if(c IS NULL, '', concat(array_join(transform(c, (x, i) -> concat({gap.format('x.k - 1 - if(i = 0, 0, c[i - 1].k)')}, '\\t', x.t)), ''), {gap.format('n - element_at(c, -1).k')}))"
+    ordered.select("block", F.concat("start", F.expr(fields)).alias("value")).write.partitionBy("block").option("compression", "gzip").text(path)
+    return path

@@ -82,3 +82,29 @@ def test_matrix_queries_against_their_sql(spark):
         got = catalog.queries()[name](spark, folder)
         want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want), name
+
+
+def test_sparse_call_text_has_own_headers(spark, tmp_path):
+    """Files of ranges of variants name the samples called there alone, and absent pairs are read or left out."""
+    import gzip
+
+    calls = spark.createDataFrame([(1, 5, 0, 8, 30, 0.0), (1, 7, 1, 9, 20, 0.5), (2, 9, None, 4, None, None), (11, 7, 2, 6, 10, 1.0), (12, 30, 1, 3, 40, 0.4)], "variant_id long, sample_id long, gt int, dp int, gq int, af double")
+    sites = spark.createDataFrame([(v, "chr1", 10 * v, "A", "C", "PASS", 60.0, 1.5) for v in (1, 2, 3, 11, 12)], "variant_id long, chrom string, pos long, ref string, alt string, filter string, mq double, vqslod double")
+    path = vcf.write_vcf(sites, calls, str(tmp_path / "v"), width=10)
+    files = [gzip.open(f, "rt").read().splitlines() for f in sorted((tmp_path / "v").glob("block=*/*.gz"))]
+    assert [[line.split("\t")[9:] for line in f if line.startswith("#CHROM")] for f in files] == [[["5", "7", "9"]], [["7", "30"]]]
+    assert all(f[0].startswith("##") and f[1].startswith("#CHROM") for f in files)
+    want = {("1", "5", 0, 8, 30, 0.0), ("1", "7", 1, 9, 20, 0.5), ("2", "9", None, 4, None, None), ("11", "7", 2, 6, 10, 1.0), ("12", "30", 1, 3, 40, 0.4)}
+    got = [(r.id, r["sample"], r.gt, r.dp, r.gq, r.af) for r in vcf.read_vcf(spark, path, absent=False).collect()]
+    assert len(got) == 5 and set(got) == want
+    assert vcf.read_vcf(spark, path).count() == 10 and vcf.sites(spark, path).count() == 4
+
+
+def test_sparse_matrix_without_blanks(spark, tmp_path):
+    df = spark.createDataFrame([(1, 7, 5), (1, 13, None), (2, 13, 7), (4, 8, None)], "sample_id long, variant_id long, dp int")
+    keys = spark.createDataFrame([(k,) for k in (6, 7, 8, 13, 14)], "variant_id long")
+    path = tables.write_matrix_blocks(df, keys, "dp", str(tmp_path / "m"), width=10)
+    rows = tables.read_matrix_blocks(spark, path, "dp", blanks=False).collect()
+    assert {(r.sample_id, r.variant_id, r.dp) for r in rows if r.variant_id} == {("1", "7", 5.0), ("2", "13", 7.0)}
+    assert {r.sample_id for r in rows} == {"1", "2", "4"} and len(rows) == 2 + 4
+    assert tables.read_matrix_blocks(spark, path, "dp").count() == 2 * 3 + 2 * 2 and list((tmp_path / "m").glob("block=*/*.gz"))
