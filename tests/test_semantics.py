@@ -285,6 +285,38 @@ def test_both_ways_of_components_agree(spark, monkeypatch):
         linalg.pca(c, 2)
 
 
+def test_components_beyond_the_exact_way(spark, monkeypatch):
+    """More samples than the exact way takes: `auto` comes near by subspace iteration; sparse neighbours share few tiles."""
+    from callgrove.operators import linalg, tiles
+
+    monkeypatch.setattr(tiles.blocks_of, "__defaults__", (16,))
+    r = np.random.default_rng(14)
+    p = r.uniform(0.1, 0.9, (2, 160))
+    c = calls(spark, [(v, s, int(r.binomial(2, p[s % 2, v]))) for v in range(160) for s in range(48) if r.random() < 0.6])
+    exact = linalg.pca(c, 1, method="auto")
+    monkeypatch.setattr(linalg, "EXACT_SAMPLES", 10)
+    got = linalg.pca(c, 1, method="auto")
+    for a, b, key in zip(exact, got, ("sample_id", "pc", "variant_id"), strict=True):
+        assert np.allclose(a.orderBy(key).toPandas().to_numpy(float), b.orderBy(key).toPandas().to_numpy(float), atol=1e-4)  # six passes, not a limit
+    apart = calls(spark, [(v, 16 * (v // 16) + s, 1) for v in range(160) for s in range(0, 16, 3)])
+    variants, samples = tiles.blocks_of(apart, "variant_id", 16), tiles.blocks_of(apart, "sample_id", 6)
+    assert tiles.tiled(apart, "gt", variants, samples).count() == 10 and variants.groupBy("block").count().where("count <> 16").count() == 0
+
+
+def test_tile_products(spark):
+    """Dense or not, a tile's product is the matrix's."""
+    from callgrove.operators import tiles
+
+    r = np.random.default_rng(15)
+    for share in (0.0, 0.02, 0.9):
+        m = r.normal(size=(40, 30)) * (r.random((40, 30)) < share)
+        i, j = np.nonzero(m)
+        order = r.permutation(len(i))
+        i, j = i[order], j[order]
+        sides = i.astype("<i2").tobytes(), j.astype("<i2").tobytes(), m[i, j].tobytes()
+        assert np.allclose(tiles.times(*sides, 40, 30, np.eye(30)), m) and np.allclose(tiles.times(sides[1], sides[0], sides[2], 30, 40, np.eye(40)), m.T)
+
+
 def test_components_of_dependent_samples(spark):
     """Fewer directions than asked for: samples that are copies of two."""
     from callgrove.operators import linalg
