@@ -512,3 +512,24 @@ def test_pca_matches_numpy(spark):
     v = np.array([[x.pc1, x.pc2, x.pc3] for x in scores.orderBy("sample_id").collect()])
     u = np.array([[x.pc1, x.pc2, x.pc3] for x in weights.orderBy("variant_id").collect()])
     assert np.allclose(z @ v, u * s[:3], atol=1e-8)
+
+
+def test_sparse_pairs_match_bit_planes(spark, monkeypatch):
+    """Variants of few calls meet by sample in one task, across blocks of ranks; the bound is applied there."""
+    r = random.Random(9)
+    monkeypatch.setattr(linkage, "SPARSE_RANKS", 8)
+    c = calls(spark, [(v, s, r.choice([0, 1, 2, None])) for v in range(40) for s in r.sample(range(60), 12)])
+    v = spark.createDataFrame([(i, "chr1" if i < 30 else None, i // 2, "A", "C", "PASS", 60.0, 20.0) for i in range(41)], schema.VARIANTS)
+    plain = lambda rows: {(x.v1, x.v2): (x.n, x.r2) for x in rows.collect()}
+    sparse, above = plain(linkage.correlations(c, v, 6)), plain(linkage.correlations(c, v, 6, 0.5))
+    monkeypatch.setattr(linkage, "SPARSE_CALLS", 0)
+    assert sparse == plain(linkage.correlations(c, v, 6)) and any(x[1] is None for x in sparse.values())
+    assert above == {k: x for k, x in sparse.items() if x[1] is not None and x[1] > 0.5} == plain(linkage.correlations(c, v, 6, 0.5))
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(shared, "LEAST_ROWS", 10)
+    monkeypatch.setattr(shared, "TASK_ROWS", 50)
+    assert shared.dealt(spark.range(1000), "id").rdd.getNumPartitions() == 20
+    assert shared.dealt(spark.range(5), "id").rdd.getNumPartitions() == 1
+    assert shared.dealt(spark.range(0), "id").count() == 0
