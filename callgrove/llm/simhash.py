@@ -11,9 +11,10 @@ Pairs don't leave a posting: it is cut into blocks, each two blocks meet in one
 returns a spanning forest of its links instead of all pairs. Components are found by alternating stars on the links of
 distinct fingerprints, each round written to the shared folder.
 
-The pipeline's stage (5-word shingles, similarity 0.8 of the distinct shingles) can't be read off fingerprints: their bits are
-weighted by repeats, and short texts have many ties. There the index posts least hashes of the shingle sets (BANDS postings of
-BAND_ROWS hashes), hits are candidates only, and each link is verified on the sets themselves; see near_duplicates().
+The pipeline's stage (5-word shingles, similarity 0.8 of the distinct shingles) takes fingerprints of the distinct shingles through the
+same index, and its links are candidates that are verified on the sets themselves. At 0.8 a pair differs in some ten of 64 bits, which no
+index of bytes reaches, so least hashes of the sets (BANDS postings of BAND_ROWS hashes) add the candidates that are further apart in
+bits; see near_duplicates().
 
 Defined results: null, empty and word-less texts have fingerprint zero and are linked like others (in the stage they are one class); a text of fewer words
 than a shingle is one shingle; repeated rows share a class; a null doc_id never names a component unless all of its
@@ -235,11 +236,11 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 def set_prints(df: DataFrame, size: int, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """df with a binary column that names the shingle set of each text: number of shingles, 128-bit hash of all, least hashes."""
+    """df with a binary column that names the shingle set of each text: number of shingles, 128-bit hash of all, least hashes, SimHash."""
 
     def one(value: str | None) -> bytes:
         hashes = shingle_set(value, size)
-        return len(hashes).to_bytes(8, "little") + xxhash.xxh3_128_digest(hashes.tobytes()) + least_hashes(hashes).tobytes()
+        return len(hashes).to_bytes(8, "little") + xxhash.xxh3_128_digest(hashes.tobytes()) + least_hashes(hashes).tobytes() + np.packbits(2 * bit_counts(hashes) > len(hashes), bitorder="little").tobytes()
 
     return add_columns(df, [(out, T.BinaryType())], lambda: lambda batch: [[one(x.as_py()) for x in batch.column(0)]], [text])
 
@@ -253,7 +254,7 @@ def set_postings(prints: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 1000)
                 b = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
                 some = b[:, :8].any(1)
-                bands = np.ascontiguousarray(b[some, 24:]).view("<u8")
+                bands = np.ascontiguousarray(b[some, 24:-8]).view("<u8")
                 keys = np.stack([widened(bands[:, k], k + 1) for k in range(BANDS)], axis=1).view(np.int64)
                 named = batch.column(0).take(pa.array(np.repeat(np.flatnonzero(some), BANDS)))
                 sizes = np.repeat(np.ascontiguousarray(b[some, :8]).view("<i8").ravel(), BANDS)
@@ -262,6 +263,24 @@ def set_postings(prints: DataFrame) -> DataFrame:
     return prints.select("fp_id", "fingerprint").mapInArrow(post, "fp_id binary, key long, size long")
 
 
+def simhash_candidates(classes: DataFrame) -> DataFrame:
+    """fp_id, key and size of the members of pairs of shingle sets (fp_id, fingerprint) whose SimHash differs in 4 bits at most; a key is a pair.
+
+    Sets of one SimHash are paired with the least of them, and these by the links of the index.
+    """
+    print_ = F.substring("fingerprint", 25 + 2 * BANDS * BAND_ROWS, 8)
+    size = F.conv(hex_digits(F.substring("fingerprint", 1, 8)), 16, -10).cast("long")
+    one = classes.select(F.struct("fp_id", size.alias("size")).alias("row"), print_.alias("print"), F.conv(F.hex(print_), 16, -10).cast("long").alias("number"))
+    one = written(one.where("row.size > 0"), "simhashes")
+    heads = written(one.groupBy("number", "print").agg(F.min("row").alias("head")), "simhash-heads")
+    near = links(heads.select(F.col("number").alias("fp_id"), F.col("print").alias("fingerprint")), covering_triples(8), 4, 4)
+    a, b = (heads.select(F.col("number").alias(c), F.col("head").alias(f"row_{c}")) for c in ("a", "b"))
+    pairs = near.join(a, "a").join(b, "b").select("row_a", "row_b")
+    same = one.join(heads.select("number", "head"), "number").where(F.col("row.fp_id") != F.col("head.fp_id")).select(F.col("head").alias("row_a"), F.col("row").alias("row_b"))
+    rows = pairs.unionByName(same).select(F.xxhash64("row_a.fp_id", "row_b.fp_id").alias("key"), F.explode(F.array("row_a", "row_b")).alias("row"))
+    return rows.select("row.fp_id", "key", "row.size")
+
+
 def similar(sets: list[np.ndarray], lengths: np.ndarray, least: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
     """Which of the others have a set whose similarity with that of x (shared of the union) is 0.8 or more."""
     sizes = lengths[others]
@@ -286,7 +305,7 @@ def set_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return [], []
         ids = [r[0] for r in rows]
         sets = [np.frombuffer(r[2], "<u8") for r in rows]
-        least = np.stack([np.frombuffer(r[1], "<u2", offset=24) for r in rows])
+        least = np.stack([np.frombuffer(r[1], "<u2", BANDS * BAND_ROWS, 24) for r in rows])
         lengths = np.array([len(x) for x in sets])
         left, a, b = np.arange(len(rows)), [], []
         while len(left):
@@ -319,11 +338,12 @@ def set_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def set_links(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """a, b: links that connect every two shingle sets (fp_id, fingerprint, first) that share a posting and have similarity 0.8 or more.
+    """a, b: links that connect every two shingle sets (fp_id, fingerprint, first) that the index of SimHashes links or that share a posting
+    of least hashes, and that have similarity 0.8 or more.
 
     Postings of the same members are one (by number and XOR of their hashes). Sets are made again from the texts of members.
     """
-    posts = set_postings(classes)
+    posts = set_postings(classes).unionByName(written(simhash_candidates(classes), "simhash-pairs"))
     groups = posts.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(fp_id))").alias("who"), F.sum("size").alias("shingles")).where("n > 1")
     groups = groups.groupBy("n", "who").agg(F.min_by(F.struct("key", "shingles"), "key").alias("g")).select("n", "g.key", "g.shingles")
     shared = written(posts.join(groups, "key").select("key", "n", "shingles", "fp_id"), "postings")
@@ -371,7 +391,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_key and first, the row that stands for its component: 5-word shingles, similarity 0.8 or more.
 
-    Similarity is the share of common shingles in the distinct shingles of both texts, whatever their length. Candidates share
+    The SimHash index gives candidates of few differing bits, the least hashes the rest.
+    Similarity is the share of common shingles in the distinct shingles of both texts, whatever their length. Its candidates share
     BAND_ROWS least hashes, which a pair of similarity s does in a band with probability s ** 4: at 0.8 one of the 24 bands
     fails to show it in 3 pairs of a million, above it less. Links are exact (up to equal 64-bit hashes of shingles).
     """

@@ -83,3 +83,11 @@ def test_ties_and_clashing_columns(spark):
         assert sorted((r.doc_id, r.root) for r in got.collect()) == sorted((r.doc_id, r.root) for r in simhash.first_of_each(df).collect())
         assert sorted(r.doc_id for r in got.collect()) == [1, 2]
     assert simhash.near_copies(df).count() == len(rows)
+
+
+def test_stage_links_by_simhash(spark, monkeypatch):
+    """Without the postings of least hashes, the SimHash index still gives the pairs of few differing bits, and those alone that hold on the sets."""
+    monkeypatch.setattr(simhash, "set_postings", lambda classes: classes.limit(0).selectExpr("fp_id", "0L AS key", "0L AS size"))
+    words = [f"w{k * 7919 % 4001}" for k in range(3000)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:1500], "other", *words[1501:]])), (3, " ".join(words[::-1])), (4, "a b c d e f"), (5, None), (6, "")]
+    assert {r.doc_id for r in simhash.first_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {1, 3, 4, 5}
