@@ -84,7 +84,7 @@ def cnc4_full_grid_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cnc4_full_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 3,240 threshold sets with the moments of missing rates; too many pairs for the plain SQL."""
-    return rounded(concordance.concordance_grid(schema.calls(spark, sf_dir), schema.samples(spark, sf_dir), *FULL), 8, ["vmiss_mean", "vmiss_sd", "vmiss_median"])
+    return rounded(concordance.concordance_grid(schema.kept_calls(spark, sf_dir), schema.samples(spark, sf_dir), *FULL), 8, ["vmiss_mean", "vmiss_sd", "vmiss_median"])
 
 
 @query(f"{STATE_SQL} SELECT * FROM sd")
