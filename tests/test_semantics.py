@@ -533,3 +533,36 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
     assert shared.dealt(spark.range(1000), "id").rdd.getNumPartitions() == 20
     assert shared.dealt(spark.range(5), "id").rdd.getNumPartitions() == 1
     assert shared.dealt(spark.range(0), "id").count() == 0
+
+
+def test_missing_rate_grid_by_brute_force(spark, monkeypatch):
+    """Variants of several blocks and packs, counts sent on early, with NULLs and a depth that only some have."""
+    monkeypatch.setattr(concordance, "PACK_ROWS", 40)
+    monkeypatch.setattr(concordance, "BLOCK", 3)
+    monkeypatch.setattr(concordance, "SLICE", 5)
+    monkeypatch.setattr(concordance.tiles, "HELD", 2000)
+    r = random.Random(4)
+    rows = [(v, s, r.choice([0, 1, 2, None]), r.choice([2, 9, 40, None]), r.choice([5, 15, 25, None]), r.choice([0.1, 0.4, 0.9, None])) for v in range(20) for s in range(12) if r.random() < 0.7]
+    depth = {s: ["15x", "30x", None][s % 3] for s in range(12)}
+    samples = spark.createDataFrame([(s, str(s), 1, 1, d) for s, d in depth.items()], schema.SAMPLES)
+    grid = ([5, 10], [10, 20], [0.0, 0.3], [1.0, 0.5])
+    got = {(x.platform, x.dp, x.gq, x.laf, x.haf): (x.vmiss_mean, x.vmiss_median, x.vmiss_sd) for x in concordance.vmiss_grid(calls(spark, rows), samples, *grid).collect()}
+    assert len(got) == 3 * 16
+    for (platform, dp, gq, laf, haf), found in got.items():
+        of = {}
+        for v, s, gt, d, q, af in rows:
+            if platform == "ALL" or (depth[s] or "").upper() == platform:
+                gone = gt is None or (d is not None and d < dp) or (q is not None and q < gq) or (gt == 1 and af is not None and not laf <= af <= haf)
+                of.setdefault(v, []).append(gone)
+        rates = [math.floor(10_000 * sum(x) / len(x) + 0.5) / 10_000 for x in of.values()]
+        assert np.allclose(found, (np.mean(rates), np.median(rates), np.std(rates, ddof=1)), atol=1e-9)
+    assert concordance.vmiss_grid(calls(spark, rows).limit(0), samples, *grid).count() == 0
+
+
+@pytest.mark.parametrize("name", ["jon10_merge_sets", "pip9_array_truth", "pip9_array_truth_normalised", "pip10_tune", "pip1_wgs_select_raw"])
+def test_calls_are_derived_once(spark, name):
+    """What a query returns reads what was written of the calls; the rows that they come from are read once before."""
+    import __spark_entry__
+
+    got = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    assert not [x for x in got.inputFiles() if "lineitem" in x]
