@@ -18,6 +18,7 @@ from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +26,16 @@ from pyspark.sql import types as T
 
 from callgrove.llm.common import add_columns
 
-#: Pre-tokens of a long text that are held at once, and that go through the rank queue together.
-BLOCK, QUEUED = 100_000, 10_000
+#: Pre-tokens of a long text that are split off at once, new ones that go through the rank queue together, and numbers of any that are held.
+BLOCK, QUEUED, HELD = 100_000, 60_000, 2_000_000
 #: Bytes of pre-tokens and ids that a process keeps, and letters of the longest one that is kept.
 KEPT_BYTES, LONGEST = 42 << 20, 200
 #: Bytes of pre-tokens from which on numbers are held in arrays, and bytes whose first pairs are found at once.
 LARGE, FILLED = 1 << 20, 1 << 22
+#: Rows that are encoded together where they are short.
+ROWS = 2048
+#: Places of a bucket from which on they are merged at once.
+WIDE = 32
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,16 +48,26 @@ class RankQueueEncoder:
     """Encodes pre-tokens by merge ranks, all pre-tokens of a batch in one queue: byte 0xFF, which UTF-8 never has, parts them."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.most = max(ranks.values(), default=0)
+        self.edge = self.most + 1  # stands for byte 0xFF; bytes without a rank have numbers beyond it
+        known = {bytes([b]): self.edge + 1 + b for b in range(255)} | ranks
+        self.singles = np.array([*(known[bytes([b])] for b in range(255)), self.edge], np.int32)
         self.merges = {t: r for t, r in ranks.items() if len(t) > 1 and b"\xff" not in t}
         self.pairs = np.full(1 << 16, -1, np.int32)
+        self.base = self.edge + 256
+        joins = {}
         for token, rank in self.merges.items():
             if len(token) == 2:
                 self.pairs[token[0] << 8 | token[1]] = rank
-        most = max(ranks.values(), default=0)
-        self.buckets: list[list[int]] = [[] for _ in range(most + 1)]
-        self.low = [0] * ((most >> 6) + 1)
-        self.mid = [0] * ((most >> 12) + 1)
+            for k in range(1, len(token)):
+                left, right = known.get(token[:k]), known.get(token[k:])
+                if left is not None and right is not None:
+                    joins[left * self.base + right] = rank
+        self.keys = np.array([*sorted(joins), np.iinfo(np.int64).max], np.int64)
+        self.joined = np.array([*map(joins.__getitem__, self.keys[:-1].tolist()), -1], np.int32)
+        self.buckets: list[list[int]] = [[] for _ in range(self.most + 1)]
+        self.low = [0] * ((self.most >> 6) + 1)
+        self.mid = [0] * ((self.most >> 12) + 1)
         self.top = 0
 
     def mark(self, r: int) -> None:
@@ -73,9 +88,9 @@ class RankQueueEncoder:
                 self.top &= self.top - 1
         return rank
 
-    def fill(self, data: bytes, make: Callable[[], list | array]) -> array | list:
+    def fill(self, data: bytes, make: Callable[[], list | array]) -> array:
         """The rank of the pair that starts at each place, which goes into the bucket of its rank; a part of a long text at a time."""
-        pair, buckets = make(), self.buckets
+        pair, buckets = array("i"), self.buckets
         for at in range(0, len(data), FILLED):
             codes = np.frombuffer(data[at : at + FILLED + 1], np.uint8).astype(np.uint16)
             first = self.pairs[codes[:-1] << 8 | codes[1:]] if len(codes) > 1 else np.zeros(0, np.int32)
@@ -88,23 +103,64 @@ class RankQueueEncoder:
                     self.mark(rank)
                     buckets[rank] = make()
                 buckets[rank].extend((places[x:y] + at).tolist())
-            pair.extend(first.tolist())
+            pair.frombytes(first.tobytes())
         pair.extend([-1] * (len(data) + 1 - len(pair)))
         return pair
 
-    def encode(self, pieces: list[bytes]) -> list[list[int] | array]:
+    def push(self, places: np.ndarray, ranks: np.ndarray) -> None:
+        buckets, found = self.buckets, ranks >= 0
+        for i, r in zip(places[found].tolist(), ranks[found].tolist()):
+            if not buckets[r]:
+                self.mark(r)
+            buckets[r].append(i)
+
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        return [np.frombuffer(x, "<u4").tolist() for x in self.pack(pieces)]
+
+    def pack(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as little-endian unsigned 32-bit integers.
+
+        A bucket of WIDE places or more is merged at once, the first live place of each piece, and the others go back into the
+        bucket; a smaller one, or one whose pieces have it often, is merged place by place.
+        """
         data = b"\xff" + b"\xff".join(pieces) + b"\xff\xff"
         n = len(data)
         make = (lambda: array("i")) if n > LARGE else list  # numbers of four bytes where there are many, else the faster lists
         get, buckets = self.merges.get, self.buckets
-        after, before = make(), make()
-        after.extend(range(1, n + 1))  # where the token that starts here ends
-        before.extend(range(-1, n - 1))  # where the token before it starts
+        codes = np.frombuffer(data, np.uint8)
+        after, before, token = (array("i", bytes(4 * (n + 1))) for _ in range(3))
         pair = self.fill(data, make)
+        # the same numbers for numpy
+        ends, starts, tokens, ranks = (np.frombuffer(x, np.int32) for x in (after, before, token, pair))
+        ends[:], starts[:] = np.arange(1, n + 2), np.arange(-1, n)  # where the token that starts here ends; where the token before it starts
+        tokens[:-1], tokens[-1] = self.singles[codes], self.edge
+        piece = np.cumsum(codes == 0xFF, dtype=np.int32)
         while self.top:
             rank = self.first()
             bucket, buckets[rank] = buckets[rank], make()
-            if len(bucket) > 1:
+            if len(bucket) >= WIDE:
+                at = np.array(bucket, np.int32)
+                at = np.sort(at[ranks[at] == rank])
+                own = piece[at]
+                leads = np.concatenate([[True], own[1:] != own[:-1]]) if len(at) else np.zeros(0, bool)
+                many = int(np.count_nonzero(leads))
+                if 2 * many >= len(at):
+                    if many < len(at):
+                        self.mark(rank)
+                        buckets[rank].extend(at[~leads].tolist())
+                        at = at[leads]
+                    inner = ends[at]
+                    end = ends[inner]
+                    ends[at], starts[end], ranks[inner], tokens[inner], tokens[at] = end, at, -1, -1, rank
+                    both = np.concatenate([at, starts[at]])
+                    keys = np.concatenate([tokens[end] + np.int64(rank * self.base), tokens[starts[at]] * np.int64(self.base) + rank])
+                    slot = np.searchsorted(self.keys, keys)
+                    found = np.where(self.keys[slot] == keys, self.joined[slot], np.int32(-1))
+                    ranks[both] = found
+                    self.push(both, found)
+                    continue
+                bucket = at.tolist()
+            elif len(bucket) > 1:
                 bucket = sorted(bucket)  # equal ranks merge from the left
             for k, i in enumerate(bucket):
                 if pair[i] != rank:
@@ -112,7 +168,8 @@ class RankQueueEncoder:
                 j = after[i]
                 end = after[i] = after[j]
                 before[end] = i
-                pair[j] = -1
+                pair[j] = token[j] = -1
+                token[i] = rank
                 r = pair[i] = get(data[i : after[end]], -1)
                 lower = False
                 if r >= 0:
@@ -132,16 +189,27 @@ class RankQueueEncoder:
                         self.mark(rank)
                     buckets[rank].extend(bucket[k + 1 :])
                     break
-        ranks, i, out = self.ranks, 1, []
-        for piece in pieces:
-            stop, ids = i + len(piece), make()
-            while i < stop:
-                end = after[i]
-                ids.append(ranks[data[i:end]])
-                i = end
-            out.append(ids)
-            i += 1
-        return out
+        live = np.flatnonzero((tokens[:n] >= 0) & (codes != 0xFF))
+        ids = tokens[live].astype("<u4")
+        if len(ids) and int(ids.max()) > self.most:
+            raise KeyError("a byte has no rank")
+        cuts = [0, *(4 * np.cumsum(np.bincount(piece[live] - 1, minlength=len(pieces)))).tolist()]
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+class Numbers(dict):
+    """Numbers of pre-tokens, in the order in which they first came; long ones, which are not kept, have -1, -2 and so on."""
+
+    def __init__(self, *given):
+        super().__init__(*given)
+        self.long: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        if len(word) > LONGEST:
+            return self.long.setdefault(word, -1 - len(self.long))
+        self[word] = n = len(self)
+        return n
 
 
 class TextEncoder:
@@ -150,24 +218,32 @@ class TextEncoder:
     def __init__(self, path: str, pattern: str):
         self.split = regex.compile(pattern)
         self.queue = RankQueueEncoder(load_ranks(path))
-        self.memo, self.long, self.kept = {}, {}, 0
-
-    def learn(self, held: list[list[str]]) -> None:
-        """Ids of all pre-tokens that are held; those of short ones are kept after that, up to KEPT_BYTES."""
-        wanted = set().union(*held)
-        new = wanted.difference(self.memo)
+        self.memo, self.ids, self.kept = Numbers(), [], 0  # ids[memo[word]]: the packed ids of a word
+        self.used = np.zeros(0, np.int64)
+
+    @property
+    def long(self) -> dict[str, int]:
+        return self.memo.long
+
+    def learn(self) -> list[bytes]:
+        """Finds the ids of all words that have a number and no ids yet; returns those of the long ones."""
+        new = list(islice(reversed(self.memo), len(self.memo) - len(self.ids)))[::-1]
+        for at in range(0, len(new), QUEUED):
+            part = [w.encode() for w in new[at : at + QUEUED]]
+            packed = self.queue.pack(part)
+            self.ids += packed
+            self.kept += 160 * len(part) + sum(map(len, part)) + sum(map(len, packed))
+        return [self.queue.pack([w.encode()])[0] for w in self.long]
+
+    def forget(self) -> None:
+        """Beyond KEPT_BYTES the half of the words that came up most often stays, and what it counted weighs half."""
         if self.kept > KEPT_BYTES:
-            self.memo.clear()
-            self.kept, new = 0, wanted
-        short, long = [w for w in new if len(w) <= LONGEST], [w for w in new if len(w) > LONGEST]
-        for part in [*(short[at : at + QUEUED] for at in range(0, len(short), QUEUED)), *([w] for w in long)]:
-            for word, ids in zip(part, self.queue.encode([w.encode() for w in part]), strict=True):
-                packed = np.asarray(ids, "<u4").tobytes()
-                if len(word) <= LONGEST:
-                    self.memo[word] = packed
-                    self.kept += 160 + len(word) + len(packed)
-                else:
-                    self.long[word] = packed
+            stay = np.sort(np.argsort(-self.used, kind="stable")[: len(self.ids) // 2])
+            words = list(self.memo)
+            self.memo = Numbers((words[i], n) for n, i in enumerate(stay.tolist()))
+            self.ids = [self.ids[i] for i in stay.tolist()]
+            self.used = self.used[stay] // 2
+            self.kept = 160 * len(self.ids) + sum(len(w.encode()) for w in self.memo) + sum(map(len, self.ids))
 
     def blocks(self, texts: list):
         """(place, pre-tokens) of all texts; a long text comes in several blocks."""
@@ -182,20 +258,25 @@ class TextEncoder:
     def pack(self, texts: list) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; none for null."""
         out: list[list[bytes]] = [[] for _ in texts]
-        held: list[tuple[int, list[str]]] = []
+        held: list[tuple[int, array]] = []
 
         def flush() -> None:
-            self.learn([p for _, p in held])
-            for k, part in held:
-                out[k].append(b"".join([self.memo.get(p) or self.long[p] for p in part] if self.long else map(self.memo.__getitem__, part)))
+            long = self.learn()
+            self.used = np.concatenate([self.used, np.zeros(len(self.ids) - len(self.used), np.int64)])
+            for k, numbers in held:
+                out[k].append(b"".join([self.ids[n] if n >= 0 else long[~n] for n in numbers] if long else map(self.ids.__getitem__, numbers)))
+            if held:
+                met = np.concatenate([np.frombuffer(numbers, np.int32) for _, numbers in held])
+                self.used += np.bincount(met[met >= 0], minlength=len(self.used))
             held.clear()
-            self.long = {}
+            self.long.clear()
+            self.forget()
 
         n = 0
         for k, part in self.blocks(texts):
-            held.append((k, part))
+            held.append((k, array("i", map(self.memo.__getitem__, part))))
             n += len(part)
-            if n >= BLOCK:
+            if n >= HELD or self.long or len(self.memo) - len(self.ids) >= QUEUED:
                 flush()
                 n = 0
         flush()
@@ -219,7 +300,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
         encoder = text_encoder(ranks_path, pattern)
         return lambda batch: [encoder.pack(batch.column(0).to_pylist())]
 
-    return add_columns(df, [(ids, T.BinaryType())], make, [text])
+    return add_columns(df, [(ids, T.BinaryType())], make, [text], ROWS)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -230,9 +311,17 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
         words: list = [None] * (max(ranks.values(), default=-1) + 1)
         for word, rank in ranks.items():
             words[rank] = word
+        vocabulary = pa.array(words, pa.binary())
+
+        def some(packed: pa.Buffer) -> bytes:
+            taken = vocabulary.take(pa.Array.from_buffers(pa.uint32(), packed.size // 4, [None, packed]))
+            if taken.null_count:
+                raise IndexError("an id has no bytes")
+            return taken.buffers()[2].to_pybytes()
 
         def plain(packed: bytes | None) -> bytes:
-            return b"".join([b"".join(map(words.__getitem__, np.frombuffer(packed, "<u4", min(BLOCK, len(packed) // 4 - at), 4 * at).tolist())) for at in range(0, len(packed) // 4, BLOCK)]) if packed else b""
+            whole = pa.py_buffer(packed or b"")
+            return b"".join([some(whole.slice(at, min(4 * BLOCK, len(packed) - at))) for at in range(0, whole.size // 4 * 4, 4 * BLOCK)])
 
         return lambda batch: [[plain(x.as_py()) for x in batch.column(0)]]
 

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from callgrove.shared import new_folder, shared_dir, sized, written  # noqa: F401
 
-#: Rows of one Arrow batch that a Python task holds at once.
-SLICE_ROWS = 256
+#: Rows of one Arrow batch that a Python task holds at once, and bytes of them up to which an operator may ask for more rows.
+SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +46,12 @@ def put_file(uri: str, write: Callable[[object], None]) -> None:
     fs.move(own, path)
 
 
-def add_columns(df: DataFrame, outputs: list[tuple[str, T.DataType]], make: Callable[[], Callable[[pa.RecordBatch], list]], needs: list[str]) -> DataFrame:
+def add_columns(df: DataFrame, outputs: list[tuple[str, T.DataType]], make: Callable[[], Callable[[pa.RecordBatch], list]], needs: list[str], rows: int = SLICE_ROWS) -> DataFrame:
     """df with columns computed by Python on Arrow batches.
 
     make() runs once per task and returns a function from a batch (columns `needs`, renamed to their place: "0", "1", ...)
-    to one list of values per output. An input column named like an output is replaced by it.
+    to one list of values per output. An input column named like an output is replaced by it. A batch has SLICE_ROWS rows, or
+    up to `rows` where they are short.
     """
     names = {n for n, _ in outputs}
     kept = [f for f in df.schema.fields if f.name not in names]
@@ -65,8 +66,9 @@ def add_columns(df: DataFrame, outputs: list[tuple[str, T.DataType]], make: Call
         work = make()
         types = None
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(at, SLICE_ROWS)
+            step = max(SLICE_ROWS, min(rows, SLICE_BYTES * whole.num_rows // max(1, whole.nbytes)))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 given = pa.RecordBatch.from_arrays([batch.column(i) for i in where], names=[str(i) for i in range(len(needs))])
                 types = types or [_arrow(t) for _, t in outputs]
                 made = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(work(given), types, strict=True)]

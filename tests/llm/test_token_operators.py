@@ -46,6 +46,45 @@ def test_bpe_lower_rank_comes_up():
     assert queue.encode(pieces) == [plain(p) for p in pieces]
 
 
+def test_bpe_merges_wide_buckets_at_once(monkeypatch):
+    """Buckets merged at once or place by place give the same ids, also where pieces repeat a pair or bring up lower ranks."""
+    import random
+
+    r = random.Random(11)
+    small = {bytes([b]): 50 + b for b in range(256)} | {b"ab": 9, b"abc": 2, b"ca": 5, b"aa": 3, b"aab": 1, b"caab": 0, b"abca": 12}
+    for ranks in (small, bpe.load_ranks(RANKS)):
+        queue = bpe.RankQueueEncoder(ranks)
+
+        def plain(piece: bytes) -> list[int]:
+            parts = [piece[i : i + 1] for i in range(len(piece))]
+            while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+                i = min(pairs)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            return [ranks[p] for p in parts]
+
+        pieces = ["".join(r.choice(letters) for _ in range(r.randrange(14))).encode() for letters in ("abc", "aab", " theanr", "éß日a") for _ in range(300)]
+        for wide in (1, 8, 1 << 30):
+            monkeypatch.setattr(bpe, "WIDE", wide)
+            assert queue.encode([*pieces, b"ab" * 300]) == [plain(p) for p in [*pieces, b"ab" * 300]]
+        assert not queue.top and not any(queue.buckets)
+    with pytest.raises(KeyError):
+        bpe.RankQueueEncoder({b"a": 0, b"b": 1, b"ab": 2}).encode([b"abc"])
+
+
+def test_bpe_keeps_what_comes_often(monkeypatch):
+    """A full memo keeps the words that come up most, so they are not encoded again; before, it forgot all."""
+    encoder = bpe.TextEncoder(RANKS, P.PATTERN)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 20_000)
+    often, seen, plain = [f" often{chr(97 + i)}" for i in range(20)], [], encoder.queue.pack
+    monkeypatch.setattr(encoder.queue, "pack", lambda pieces: seen.extend(pieces) or plain(pieces))
+    library = tiktoken_encoding()
+    for turn in range(40):
+        text = "".join(often) * 5 + "".join(f" w{chr(97 + turn % 26)}{chr(97 + turn // 26)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+        assert np.frombuffer(encoder.pack([text])[0], "<u4").tolist() == library.encode_ordinary(text)
+    assert all(seen.count(w.encode()) == 1 for w in often)
+    assert encoder.kept <= bpe.KEPT_BYTES and len(encoder.memo) == len(encoder.ids) == len(encoder.used) < 200
+
+
 def test_bpe_in_arrays_and_parts(monkeypatch):
     """Long pre-tokens: numbers in arrays and first pairs found part by part give what lists give; they are not kept."""
     import random
