@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import io
 import json
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,10 +36,10 @@ FRAME, FILE_IDS = 1 << 18, 1 << 27
 #: Fixed values of the seekable format: skippable frames, and the magic number at the end.
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "<u1"), ("start", "<u8"), ("n", "<u8")])
-#: Documents encoded at once; chunks of text, and letters of words, whose ids a process keeps, and the longest of them: some 300 MB at most.
-SLICE, MEMO, CORES, LONGEST = 1024, 900_000, 1_200_000, 64
-#: Letters of one byte in Latin-1, which are in composed form and have simple lower case, and marks after them; or anything else.
-LINES = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)|(.*))$", re.MULTILINE)
+#: Documents encoded at once, and bytes of them; chunks of text, and letters of words, whose ids a process keeps, and the longest of them: some 300 MB at most.
+SLICE, SLICE_BYTES, MEMO, CORES, LONGEST = 4096, 16 << 20, 900_000, 1_200_000, 64
+#: Letters of one byte in Latin-1, which are in composed form and have simple lower case; marks after them, and how many are told apart.
+LETTERS, MARKS, TAIL = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", ".,;:!?", 3
 #: A character that is a token of its own between white space, and no letter or digit.
 MARK = "\x00"
 
@@ -131,8 +130,8 @@ class WholeTokenizer:
 class ChunkTokenizer:
     """Ids by the tokenizers library, with two bounded memos, for lower-case vocabularies with word ends.
 
-    White space parts tokens in these vocabularies, so a chunk between it is encoded alone. A chunk of plain letters and
-    marks after them is two tokens at least, and case does not matter, so its letters are looked up in lower case. Letters
+    White space parts tokens in these vocabularies, so a chunk between it is encoded alone, and so are marks after its last
+    letter. Of a chunk of plain letters case does not matter, so they are looked up in lower case. Letters
     go to the library's model without its normaliser, which would leave them as they are, and their ids part where a token
     ends a word; other chunks go to the whole tokenizer with a mark between them that is a token of its own.
     """
@@ -189,36 +188,68 @@ class ChunkTokenizer:
 
     def learn(self, new: list[bytes]) -> list[bytes]:
         """Packed ids of chunks, which are kept."""
-        parts = [(core.lower(), tail, other) for core, tail, other in LINES.findall(b"\n".join(new).decode())]
-        cores = {core for core, _, _ in parts if core}
-        rest = {x for _, tail, other in parts for x in (tail, other) if x}
-        if len(self.cores) + len(cores) + len(rest) > CORES:
+        given = pc.cast(pa.array(new, pa.large_binary()), pa.large_string())
+        plain = pc.match_substring_regex(given, LETTERS)
+        letters, words = plain.to_numpy(zero_copy_only=False).tolist(), pc.if_else(plain, pc.utf8_lower(given), given).to_numpy(zero_copy_only=False).tolist()
+        if len(self.cores) + len(words) > CORES:
             self.cores.clear()
         known = self.cores
-        for missing, encode in ((list(cores.difference(known)), self.encode_letters), (list(rest.difference(known)), self.encode_chunks)):
+        for kind, encode in ((True, self.encode_letters), (False, self.encode_chunks)):
+            missing = list(dict.fromkeys([w for w, x in zip(words, letters) if x is kind and w not in known]))
             known.update(zip(missing, encode(missing), strict=True))
-        got = [known[core] + known[tail] if tail else known[core or other] for core, tail, other in parts]
-        long = [w for w in (*cores, *rest) if len(w) > LONGEST]
-        for w in long:
+        got = [known[w] for w in words]
+        for w in {w for w in words if len(w) > LONGEST}:
             del known[w]
-        self.chunks.update([(w, x) for w, x in zip(new, got, strict=True) if len(w) <= LONGEST] if long else zip(new, got, strict=True))
+        self.chunks.update([(w, x) for w, x in zip(new, got, strict=True) if len(w) <= LONGEST])
         return got
 
-    def pack(self, texts: list) -> list[bytes]:
-        """Packed ids of each text: its chunks become numbers of distinct chunks, whose ids are taken in order."""
-        split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        words = pc.cast(coded.dictionary, pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct chunks; new ones are learned."""
         ids = list(map(self.chunks.get, words))
         new = [w for w, x in zip(words, ids) if x is None and w]
         if len(self.chunks) + len(new) > MEMO:
             self.chunks.clear()
-        if new:
-            fresh = iter(self.learn(new))
-            ids = [x if x is not None else next(fresh) if w else b"" for w, x in zip(words, ids)]
-        else:
-            ids = [x or b"" for x in ids]
-        taken = pa.array(ids, pa.large_binary()).take(coded.indices)
+        if not new:
+            return [x or b"" for x in ids]
+        fresh = iter(self.learn(new))
+        return [x if x is not None else next(fresh) if w else b"" for w, x in zip(words, ids)]
+
+    @staticmethod
+    def without_marks(chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Chunks without the marks after their last letter, and these (TAIL at most, else none) as a number of their bytes.
+
+        A token never goes on from a plain letter to a mark after it, so the ids of both follow each other.
+        """
+        short = pc.ascii_rtrim(chunks, MARKS)
+        n = pc.binary_length(short).to_numpy()
+        tail = pc.binary_length(chunks).to_numpy() - n
+        data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)
+        stop = np.frombuffer(chunks.buffers()[1], "<i8", len(chunks), 8 * chunks.offset) + n  # where the marks begin
+        key = np.zeros(len(chunks), np.int64)
+        at = np.flatnonzero((tail > 0) & (tail <= TAIL) & (n > 0))
+        last, before = data[stop[at] - 1], data[np.maximum(stop[at] - 2, 0)]
+        two = (n[at] > 1) & (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+        at = at[two | ((last | 0x20) >= 0x61) & ((last | 0x20) <= 0x7A)]
+        for k in range(TAIL):
+            more = at[tail[at] > k]
+            key[more] |= data[stop[more] + k].astype(np.int64) << (8 * k)
+        return pc.if_else(pa.array(key > 0), short, chunks), key
+
+    def pack(self, texts: list | pa.Array) -> list[bytes]:
+        """Packed ids of each text: its chunks become numbers of distinct chunks, whose ids are taken in order."""
+        split = pc.ascii_split_whitespace(pc.fill_null(pc.cast(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), pa.large_string()), ""))
+        coded = split.flatten().dictionary_encode()
+        heads, marks = self.without_marks(coded.dictionary)
+        heads = heads.dictionary_encode()
+        tails, place = np.unique(marks, return_inverse=True)
+        parts = [
+            pa.array(self.known(words), pa.large_binary()).take(where)
+            for words, where in (
+                (pc.cast(heads.dictionary, pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), heads.indices),
+                ([int(x).to_bytes(TAIL, "little").rstrip(b"\0") for x in tails], pa.array(place)),
+            )
+        ]
+        taken = pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary())).take(coded.indices)
         taken = taken.combine_chunks() if isinstance(taken, pa.ChunkedArray) else taken
         ends = np.frombuffer(taken.buffers()[1], "<i8", len(taken) + 1, 8 * taken.offset)[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
         data = taken.buffers()[2]
@@ -258,8 +289,9 @@ def write_store(df: DataFrame, tokenizer_path: str, end_id: int, partitions: int
                 raw, store, number = None, None, number + 1
 
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
+            step = max(1, min(SLICE, SLICE_BYTES * whole.num_rows // max(1, whole.nbytes)))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 for doc_id, packed in zip(batch.column(0).to_pylist(), tokenizer.pack(batch.column(1).to_pylist()), strict=True):
                     if store is None:
                         raw = io.BytesIO()

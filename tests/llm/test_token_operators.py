@@ -171,6 +171,27 @@ def test_store_ids_equal_the_library():
     assert np.frombuffer(other.pack(["It's 5"])[0], "<u4").tolist() == other.tokenizer.encode("It's 5", add_special_tokens=False).ids
 
 
+def test_store_parts_marks_from_letters(monkeypatch):
+    """Marks after a letter are taken off before chunks are looked up, so a word with other marks is no new chunk; ids stay the library's."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, r = P.path("word_bpe_49k.json"), random.Random(5)
+    library, own = Tokenizer.from_file(path), token_store.ChunkTokenizer(path)
+    some = ["so, so. so! so?! so... so.... SO: so;", None, ""]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.pack(some)] == [library.encode(t or "", add_special_tokens=False).ids for t in some]
+    assert sorted(own.chunks) == sorted([b"so", b"SO", b"so....", b",", b".", b"!", b"?!", b"...", b":", b";"])
+    assert own.pack([None, ""]) == [b"", b""] and own.pack([]) == []
+    odd = ["<|endoftext|>.", "x<|endoftext|>,", "É. É\u0301. h\u0331. Σ. ΑΣ.ΑΣ: aΣ.b, ª. º, ×. ÷! ÿ. x1. 1a, a1.. a'.s a's. ,. .a .,;:!? a.,;:!?", "\x00. a\x00. a.\x00 a..\x00"]
+    odd += ["".join(r.choice("aZéÿ×ªΣ1'. ,,!?:;..\u0301\u0338\x00 日") for _ in range(r.randrange(50))) for _ in range(3000)]
+    monkeypatch.setattr(token_store, "MEMO", 500)
+    monkeypatch.setattr(token_store, "CORES", 700)
+    for at in range(0, len(odd), 100):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.pack(odd[at : at + 100])] == [library.encode(t, add_special_tokens=False).ids for t in odd[at : at + 100]]
+
+
 def test_token_store_finds_damage(tmp_path):
     import io
 
