@@ -27,13 +27,13 @@ from pyspark.sql import types as T
 from callgrove.llm.common import add_columns
 
 #: Pre-tokens of a long text that are split off at once, new ones that go through the rank queue together, and numbers of any that are held.
-BLOCK, QUEUED, HELD = 100_000, 60_000, 2_000_000
+BLOCK, QUEUED, HELD = 100_000, 20_000, 500_000
 #: Bytes of pre-tokens and ids that a process keeps, and letters of the longest one that is kept.
-KEPT_BYTES, LONGEST = 42 << 20, 200
+KEPT_BYTES, LONGEST = 24 << 20, 200
 #: Bytes of pre-tokens from which on numbers are held in arrays, and bytes whose first pairs are found at once.
 LARGE, FILLED = 1 << 20, 1 << 22
-#: Rows that are encoded together where they are short.
-ROWS = 2048
+#: Rows that are encoded together where they are short: their texts, ids and new pre-tokens are what a worker holds beside its memo.
+ROWS = 512
 #: Places of a bucket from which on they are merged at once.
 WIDE = 32
 
@@ -293,14 +293,22 @@ def text_encoder(path: str, pattern: str) -> TextEncoder:
     return _loaded[path, pattern]
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with the ids of each text, packed as little-endian unsigned 32-bit integers in a binary column."""
+def binaries(values: list[bytes]) -> pa.Array:
+    """A binary column from one buffer; a builder would grow to twice its size."""
+    ends = np.cumsum([0, *map(len, values)])
+    if ends[-1] > np.iinfo(np.int32).max:
+        raise OverflowError("ids of a slice pass 2 GiB")
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(b"".join(values))])
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
+    """df with the ids of each text, packed as little-endian unsigned 32-bit integers in a binary column; without keep_text the text goes."""
 
     def make():
         encoder = text_encoder(ranks_path, pattern)
-        return lambda batch: [encoder.pack(batch.column(0).to_pylist())]
+        return lambda batch: [binaries(encoder.pack(batch.column(0).to_pylist()))]
 
-    return add_columns(df, [(ids, T.BinaryType())], make, [text], ROWS)
+    return add_columns(df, [(ids, T.BinaryType())], make, [text], ROWS, () if keep_text else (text,))
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -330,5 +338,5 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "dec
 
 def token_digests(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of documents, encoded and decoded again."""
-    got = decode(encode(df.select("doc_id", "text"), ranks_path, pattern).drop("text"), ranks_path)
+    got = decode(encode(df.select("doc_id", "text"), ranks_path, pattern, keep_text=False), ranks_path)
     return got.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

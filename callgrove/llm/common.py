@@ -46,15 +46,15 @@ def put_file(uri: str, write: Callable[[object], None]) -> None:
     fs.move(own, path)
 
 
-def add_columns(df: DataFrame, outputs: list[tuple[str, T.DataType]], make: Callable[[], Callable[[pa.RecordBatch], list]], needs: list[str], rows: int = SLICE_ROWS) -> DataFrame:
+def add_columns(df: DataFrame, outputs: list[tuple[str, T.DataType]], make: Callable[[], Callable[[pa.RecordBatch], list]], needs: list[str], rows: int = SLICE_ROWS, without: tuple[str, ...] = ()) -> DataFrame:
     """df with columns computed by Python on Arrow batches.
 
     make() runs once per task and returns a function from a batch (columns `needs`, renamed to their place: "0", "1", ...)
-    to one list of values per output. An input column named like an output is replaced by it. A batch has SLICE_ROWS rows, or
-    up to `rows` where they are short.
+    to one list of values per output. An input column named like an output is replaced by it, and those of `without` do not
+    come back from Python. A batch has SLICE_ROWS rows, or up to `rows` where they are short.
     """
     names = {n for n, _ in outputs}
-    kept = [f for f in df.schema.fields if f.name not in names]
+    kept = [f for f in df.schema.fields if f.name not in names and f.name not in without]
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in outputs])
     place = {f.name: i for i, f in enumerate(kept)}
     apart = [c for c in dict.fromkeys(needs) if c not in place]  # a needed column that is kept travels once
