@@ -242,6 +242,25 @@ def test_cover_equals_one_pair_after_another(spark):
     assert all(a in gone or b in gone for a, b in pairs) and all(any(i in p and not gone >= set(p) for p in pairs) for i in gone)
 
 
+def test_cover_takes_few_rounds(spark, monkeypatch):
+    """An id of many pairs does not take a round for each of them, and parts of the pairs in order of the hash give the same."""
+    r = random.Random(5)
+    pairs = sorted({(0, k) for k in range(1, 60)} | {tuple(sorted(r.sample(range(40), 2))) for _ in range(300)})
+    nodes = spark.createDataFrame([(i, i % 9 == 0, 0.01 + i / 500) for i in range(60)], "id long, is_case boolean, f_miss double")
+    want = plain_cover(spark, pairs, {i: kinship.CASE_WEIGHT if i % 9 == 0 else 1 / (0.01 + i / 500) for i in range(60)})
+    rounds = []
+    monkeypatch.setattr(kinship, "written", lambda df, name: (rounds.append(name), shared.written(df, name))[1])
+    look = lambda: {x.id for x in kinship.relative_removal(spark.createDataFrame(pairs, "id1 long, id2 long"), nodes).collect()}
+    assert look() == want and rounds.count("cover-paid") == 1
+    monkeypatch.setattr(kinship, "ORDERED", 40)
+    monkeypatch.setattr(linkage, "ORDERED", 2)
+    rounds.clear()
+    assert look() == want and 1 < rounds.count("cover-paid") < 20
+    named = [(f"s{a}", f"s{b}") for a, b in pairs]
+    gone = {x.id for x in kinship.relative_removal(spark.createDataFrame(named, "id1 string, id2 string"), nodes.withColumn("id", F.concat(F.lit("s"), F.col("id").cast("string")))).collect()}
+    assert all(a in gone or b in gone for a, b in named)
+
+
 def test_one_end_of_a_tied_pair_goes(spark):
     nodes = spark.createDataFrame([(1, False, 0.01), (2, False, 0.01), (3, True, 0.5), (4, True, 0.1), (5, False, 0.3), (6, True, 0.3)], "id long, is_case boolean, f_miss double")
     gone = kinship.relative_removal(spark.createDataFrame([(1, 2), (4, 3), (6, 5), (5, 5)], "id1 long, id2 long"), nodes)
