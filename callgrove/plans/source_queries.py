@@ -20,7 +20,7 @@ def _vcf(spark: SparkSession, sf_dir: str) -> str:
 @query("SELECT CAST(variant_id AS VARCHAR) AS id, CAST(sample_id AS VARCHAR) AS sample, gt, dp, gq, af FROM calls")
 def src1_vcf_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls that were written; pairs that were not assayed have no field and are left out."""
-    return vcf.read_vcf(spark, _vcf(spark, sf_dir), absent=False).where("dp IS NOT NULL").select("id", "sample", "gt", "dp", "gq", "af")
+    return vcf.read_vcf(spark, _vcf(spark, sf_dir), whole=True).where("dp IS NOT NULL").select("id", "sample", "gt", "dp", "gq", "af")
 
 
 @query("SELECT chrom, pos, CAST(variant_id AS VARCHAR) AS id, ref, alt, filter, mq, vqslod FROM variants WHERE variant_id IN (SELECT variant_id FROM calls)")

@@ -138,3 +138,24 @@ def test_fields_that_say_something():
         want = [(i, k, f) for i, one in enumerate(lines) for k, f in enumerate(one.split("\t")) if f and not (dots and f in (".", "./.", ".|."))]
         assert list(zip(line.tolist(), place.tolist(), text.to_pylist(), strict=True)) == want
     assert sum(len(p) for p in fields.parts_of(pa.array(lines, pa.large_string()))) == len(lines)
+
+
+def test_whole_files_of_sparse_call_text(spark, tmp_path, monkeypatch):
+    """Fields are no more than FILL for each call, and names come from the header above the lines; a file without one is an error."""
+    import gzip
+
+    import pytest
+
+    monkeypatch.setattr(tables, "FILL", 4)
+    calls = [(v, 100 + 7 * v % 50, v % 3, v % 9, 30, 0.5) for v in range(60)] + [(61, 5, None, None, None, None), (62, 5, None, 4, None, None)]
+    df = spark.createDataFrame(calls, "variant_id long, sample_id long, gt int, dp int, gq int, af double")
+    sites = spark.createDataFrame([(v, "chr1", 10 * v, "A", "C", "PASS", 60.0, 1.5) for v in range(70)], "variant_id long, chrom string, pos long, ref string, alt string, filter string, mq double, vqslod double")
+    path = vcf.write_vcf(sites, df, str(tmp_path / "v"), width=100)
+    lines = [line for f in (tmp_path / "v").glob("block=*/*.gz") for line in gzip.open(f, "rt").read().splitlines() if not line.startswith("#")]
+    assert len(lines) == 62 and sum(line.count("\t") - 8 for line in lines) <= 4 * len(calls)
+    look = lambda **how: sorted((int(r.id), int(r["sample"]), r.gt, r.dp, r.gq, r.af) for r in vcf.read_vcf(spark, path, **how).where("dp IS NOT NULL").collect())
+    assert look(whole=True) == look() == sorted(c for c in calls if c[3] is not None)
+    with gzip.open(tmp_path / "b.gz", "wt") as f:
+        f.write(lines[0] + "\n")
+    with pytest.raises(Exception, match="begin with its header"):
+        vcf.read_vcf(spark, str(tmp_path / "b.gz"), whole=True).collect()
