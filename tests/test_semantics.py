@@ -322,6 +322,24 @@ def test_components_beyond_the_exact_way(spark, monkeypatch):
     assert tiles.tiled(apart, "gt", variants, samples).count() == 10 and variants.groupBy("block").count().where("count <> 16").count() == 0
 
 
+def test_subspace_by_variants_stores_no_products(spark, monkeypatch):
+    """Scattered calls: products of variants are never stored, and both kinds of passes agree."""
+    from callgrove.operators import linalg, tiles
+
+    monkeypatch.setattr(tiles.blocks_of, "__defaults__", (16,))
+    monkeypatch.setattr(linalg, "PACK", 50)
+    r = np.random.default_rng(24)
+    p = r.uniform(0.1, 0.9, (2, 120))
+    c = calls(spark, [(v, s, int(r.binomial(2, p[s % 2, v]))) for v in range(120) for s in range(40) if r.random() < 0.5])
+    made = []
+    monkeypatch.setattr(linalg, "written", lambda df, name: (made.append(name), shared.written(df, name))[1])
+    one = [x.orderBy(x.columns[0]).toPandas().to_numpy(float) for x in linalg.pca(c, 1, method="approximate")]
+    assert made.count("pca-back") == 6 and not {"tiles", "pca-products"} & set(made)
+    monkeypatch.setattr(linalg, "VECTORS", 0)
+    two = [x.orderBy(x.columns[0]).toPandas().to_numpy(float) for x in linalg.pca(c, 1, method="approximate")]
+    assert "pca-products" in made and all(np.allclose(a, b, atol=1e-6) for a, b in zip(one, two, strict=True))
+
+
 def test_tile_products(spark):
     """Dense or not, a tile's product is the matrix's."""
     from callgrove.operators import tiles
